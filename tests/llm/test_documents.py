@@ -68,7 +68,7 @@ def test_share_matches_brute_force():
 
 def test_repetitive_documents(spark):
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)) + ".", "e") for i in range(60)]
-    rows += [(100 + i, f"one more line about subject a{i} and b{i}.\n" * 9, "e") for i in range(30)]
+    rows += [(100 + i, f"one more line about subject a{i} and b{i} here.\n" * 9, "e") for i in range(30)]
     rows += [(200, None, "e"), (201, "", "e"), (202, "x " * 100_000, "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, share string")
     got = {r["doc_id"] for r in repeats.repetitive(df).collect()}

@@ -32,7 +32,7 @@ WORD_ORDERS = (1, 3, 5, 8)
 CHAR_ORDERS = (16,)
 N_FEATURES = 2 * (len(WORD_ORDERS) + len(CHAR_ORDERS)) + 2
 
-_WORD = re.compile(r"[^\W\d_]+(?:[\d_]*[^\W\d_]+)*")
+_WORD = re.compile(r"[\d_]*[^\W\d_]\w*")
 _LINE = re.compile(r"[\r\n  \u0085]+")
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])[\s\"'”’»“)\]]*\s+|(?<=[。！？])")
 
