@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread, table
-from . import leaks, repeats, tokens
+from . import garbled, leaks, repeats, tokens
 
 #: Folder of the vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -15,6 +15,19 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 BYTE_BPE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def _pages(spark, root, *columns):
+    return table(spark, root, "pages").select(*columns)
+
+
+def p4_restored(spark, root):
+    pages = _pages(spark, root, "page_id", "title", "content")
+    return garbled.find_garbled(spread(pages), garbled.learn_transforms(pages))
+
+
+def p4_found(spark, root):
+    return p4_restored(spark, root).select("page_id", "field")
+
+
 def p8_ids(spark, root):
     docs = spread(table(spark, root, "documents").select("doc_id", "text"))
     return tokens.encode_texts(docs, "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
@@ -35,6 +48,8 @@ def p10_shares(spark, root):
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_restored": p4_restored,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,
