@@ -18,7 +18,7 @@ from collections.abc import Iterable
 
 # Encodings in which web pages are read by mistake, and those they are written in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp437", "mac-roman", "cp1251", "iso8859-15", "iso8859-2", "koi8-r", "cp866")
-SINGLE = (("cp1251", "cp1252"), ("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("koi8-r", "cp1252"), ("koi8-r", "latin-1"), ("cp866", "cp1251"), ("cp866", "cp1252"), ("cp1251", "koi8-r"), ("cp1251", "cp866"), ("cp1251", "mac-roman"), ("cp1251", "cp437"))
+SINGLE = (("cp1251", "cp1252"), ("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("koi8-r", "cp1252"), ("cp866", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "cp866"))
 #: All transformations: (written in, read as).
 TRANSFORMS = tuple(("utf-8", r) for r in READ_AS) + SINGLE
 
@@ -99,6 +99,10 @@ def _common(s: str) -> float:
     return sum(c in _COMMON_RU for c in letters) / len(letters) if letters else 0.0
 
 
+_TURNED = re.compile("[а-яё][А-ЯЁ]{2}|[А-ЯЁ]{4}")
+_HIGH = re.compile("[À-ÿ]{3}")
+
+
 class Repairer:
     """Applies transformations; of several that fit, the one that explains most characters."""
 
@@ -119,6 +123,8 @@ class Repairer:
 
     @staticmethod
     def _one_to_one(text: str, transform: tuple[str, str]) -> list[tuple[int, int, str]]:
+        if (_TURNED if transform[1] in ("cp1251", "koi8-r", "cp866") else _HIGH).search(text) is None:
+            return []
         out, start = [], 0
         cyrillic = transform[1] in ("cp1251", "koi8-r", "cp866")
         for line in text.split("\n"):

@@ -26,9 +26,10 @@ NAV = {
     """.replace("\n", "|").split("|")
     if w.strip()
 }
+NAV |= {re.sub(r"[^\x00-\x7f]", "\ufffd", w) for w in NAV}
 _NAV_SORTED = sorted(NAV, key=len, reverse=True)
 _NAV_RUN = re.compile(r"(?:%s)(?:\s+(?:%s))*" % (("|".join(map(re.escape, _NAV_SORTED)),) * 2))
-_PARTS = re.compile(r"\s*[|»·/•›>]\s*")
+_PARTS = re.compile(r"\s*(?:[|»·/•›>]|\s\ufffd\s)\s*")
 
 # Wording of notices, prompts and list headings.
 _COOKIE = re.compile(
@@ -51,7 +52,7 @@ _LEGAL = re.compile(
     r"|without warranty of any kind|se ofrece sin garantía|sont données sans garantie|erfolgen ohne gewähr|é dada sem qualquer garantia|sono fornite senza alcuna garanzia|без каких-либо гарантий",
     re.I,
 )
-_FOOT = re.compile(r"^(?:©|\(c\)\s|copyright\b)|\b(?:imprint|aviso legal|impressum|mentions légales|ficha técnica|note legali|выходные данные)\s*[–|·-]", re.I)
+_FOOT = re.compile(r"^\ufffd \S.* (?:19|20)\d\d\b|^(?:©|\(c\)\s|copyright\b)|\b(?:imprint|aviso legal|impressum|mentions légales|ficha técnica|note legali|выходные данные)\s*[–|·-]", re.I)
 _HEAD = re.compile(
     r"^(?:popular this week|most read today|you may also like|related (?:articles|stories)|read (?:also|next|more)|lo más (?:visto|leído)(?: de la semana| hoy)?|también te puede interesar"
     r"|les plus (?:lus|vus) (?:du jour|de la semaine)|vous aimerez aussi|heute meistgelesen|beliebt in dieser woche|das könnte sie auch interessieren"
@@ -60,13 +61,19 @@ _HEAD = re.compile(
     re.I,
 )
 _INLINE = re.compile(
-    r"^(?:read also|see also|read more|related|más información|lea también|lee también|ver también|leia também|veja também|lire aussi|à lire aussi|voir aussi|lesen sie auch|siehe auch|mehr dazu|leggi anche|vedi anche|читайте также|см\. также)\s*:",
+    r"^(?:read also|see also|read more|related|más información|lea también|lee también|ver también|leia também|veja também|lire aussi|à lire aussi|voir aussi|lesen sie auch|siehe auch|mehr dazu|leggi anche|vedi anche|читайте также|см\. также|zum thema|véase también|relacionado|correlati|sullo stesso tema|sur le même sujet|по теме|on this topic|sobre este tema|related stor(?:y|ies))\s*:",
     re.I,
 )
 _SPACE = re.compile(r"\s+")
 _SENTENCE_END = re.compile(r"[.!?…;:][\"'”’»“)\]]*$")
 
 
+def _lossy(pattern: re.Pattern[str]) -> re.Pattern[str]:
+    """The same wording with replacement characters in place of non-ASCII letters."""
+    return re.compile("".join(c if c.isascii() else f"[{c}\ufffd]" for c in pattern.pattern), pattern.flags)
+
+
+_COOKIE, _SHARE, _LETTER, _LEGAL, _HEAD, _INLINE = map(_lossy, (_COOKIE, _SHARE, _LETTER, _LEGAL, _HEAD, _INLINE))
 def squeeze(line: str) -> str:
     """Runs of white space become one space; the ends are trimmed."""
     return " ".join(line.split())
@@ -85,6 +92,17 @@ def is_nav(s: str, site: str = "") -> bool:
     return _NAV_RUN.fullmatch(low) is not None
 
 
+def _triggers(*patterns: re.Pattern[str]) -> frozenset[str]:
+    """Words of four letters or more in the patterns, one of which a line must hold to be worth a search."""
+    words = {w for p in patterns for w in re.findall(r"[^\W\d_]{4,}", re.sub(r"\[(.)\ufffd\]", r"\1", p.pattern).replace("\\b", " ")) if w}
+    words = {w.lower() for w in words}
+    return frozenset(words | {re.sub(r"[^\x00-\x7f]", "\ufffd", w) for w in words})
+
+
+_TRIGGERS = _triggers(_COOKIE, _LETTER, _LEGAL) | {"cookie", "cookies"}
+_STRIP = ".,;:!?–—-()«»„“”\"'"
+
+
 def kind(s: str) -> str:
     """Kind of one squeezed line, without its neighbours."""
     if not s:
@@ -93,7 +111,7 @@ def kind(s: str) -> str:
     if n <= 240 and is_nav(s):
         return "nav"
     if n <= 320:
-        if _FOOT.search(s):
+        if s[0] in "©\ufffd(Cc" and _FOOT.search(s) or "–" in s and n <= 160 and _FOOT.search(s):
             return "foot"
         if _HEAD.match(s):
             return "head"
@@ -101,17 +119,21 @@ def kind(s: str) -> str:
             return "point"
         if _SHARE.match(s):
             return "share"
-        if _LETTER.search(s):
-            return "letter"
-        if _LEGAL.search(s):
-            return "legal"
-        if _COOKIE.search(s):
-            return "cookie"
-        if n <= 140 and _BYLINE.match(s) and (n <= 60 and not _SENTENCE_END.search(s) or _BYTAIL.search(s)):
+        if not _TRIGGERS.isdisjoint([w.strip(_STRIP) for w in s.lower().replace("-", " ").replace("’", " ").split()]):
+            if _LETTER.search(s):
+                return "letter"
+            if _LEGAL.search(s):
+                return "legal"
+            if _COOKIE.search(s):
+                return "cookie"
+        if n <= 140 and s[0] in _BY_FIRST and _BYLINE.match(s) and (n <= 60 and not _SENTENCE_END.search(s) or _BYTAIL.search(s)):
             return "byline"
     return ""
 
 
+_BY_FIRST = frozenset("BPVDАTF")
+
+
 def headline_like(s: str) -> bool:
     """Short, and not a sentence."""
     return 0 < len(s) <= 170 and not _SENTENCE_END.search(s)
@@ -120,17 +142,26 @@ def headline_like(s: str) -> bool:
 _memo: dict[str, str] = {}
 
 
+def page_lines(content: str | None) -> list[str]:
+    """Squeezed lines of a content, garbled text restored; one for each line of the content."""
+    if not content:
+        return []
+    fixed = content if content.isascii() else untangle(content)
+    return [" ".join(x.split()) for x in fixed.split("\n")]
+
+
 def kinds(lines: list[str]) -> list[str]:
-    """Kind of each line of a page, in order."""
+    """Kind of each squeezed line of a page, in order."""
     out: list[str] = []
     pointers = False
-    for line in lines:
-        s = squeeze(line)
-        k = _memo.get(s)
-        if k is None:
-            k = kind(s if s.isascii() else untangle(s))
-            if len(s) < 300:
-                if len(_memo) > 300_000:
+    for s in lines:
+        if len(s) > 320:
+            k = ""
+        else:
+            k = _memo.get(s)
+            if k is None:
+                k = kind(s)
+                if len(_memo) > 200_000:
                     _memo.clear()
                 _memo[s] = k
         if k == "head":

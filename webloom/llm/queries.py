@@ -6,8 +6,9 @@ import os
 
 from pyspark.sql import functions as F
 
+from ..sources import materialize
 from ..sources.tables import spread, table
-from . import garbled, leaks, repeats, tokens
+from . import garbled, leaks, repeats, screen, tokens
 
 #: Folder of the vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -19,6 +20,20 @@ def _pages(spark, root, *columns):
     return table(spark, root, "pages").select(*columns)
 
 
+def _facts(spark, root):
+    """Small rows on each page; written once, as several steps read them."""
+    return materialize(screen.page_facts(spread(_pages(spark, root, "page_id", "domain", "title", "content"))))
+
+
+def p1_found(spark, root):
+    return screen.residue_pages(_facts(spark, root))
+
+
+def p2_found(spark, root):
+    facts = _facts(spark, root)
+    return screen.spam_pages(facts).select("page_id").join(screen.residue_pages(facts), "page_id", "left_anti")
+
+
 def p4_restored(spark, root):
     pages = _pages(spark, root, "page_id", "title", "content")
     return garbled.find_garbled(spread(pages), garbled.learn_transforms(pages))
@@ -48,6 +63,8 @@ def p10_shares(spark, root):
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
     "p8_ids": p8_ids,
