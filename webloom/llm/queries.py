@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources import materialize
 from ..sources.tables import spread, table
-from . import garbled, leaks, repeats, screen, tokens
+from . import blocks, garbled, leaks, repeats, screen, tokens
 
 #: Folder of the vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -43,6 +43,21 @@ def p4_found(spark, root):
     return p4_restored(spark, root).select("page_id", "field")
 
 
+def p5_found(spark, root):
+    return blocks.repeated_lines(_pages(spark, root, "domain", "url", "content"))
+
+
+def p5_blocks(spark, root):
+    """How many repeated blocks of each length a site has."""
+    found = blocks.repeated_blocks(_pages(spark, root, "domain", "url", "content"))
+    return found.groupBy(F.col("site").alias("domain"), F.size("block").alias("n_lines")).agg(F.count("*").alias("n_blocks"))
+
+
+def p5_cleaned(spark, root):
+    found = materialize(p5_found(spark, root))
+    return blocks.without_lines(_pages(spark, root, "page_id", "domain", "content"), found)
+
+
 def p8_ids(spark, root):
     docs = spread(table(spark, root, "documents").select("doc_id", "text"))
     return tokens.encode_texts(docs, "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
@@ -67,10 +82,18 @@ QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
+    "p5_found": p5_found,
+    "p5_blocks": p5_blocks,
+    "p5_cleaned": p5_cleaned,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
 }
 
-ORACLES: dict[str, str] = {}
+_LINES = """lines AS (SELECT domain, url, trim(regexp_replace(unnest(string_split(content, chr(10))), '[ \t' || chr(160) || ']+', ' ', 'g')) AS line
+    FROM pages WHERE domain IS NOT NULL AND domain <> '' AND content <> '')"""
+
+ORACLES: dict[str, str] = {
+    "p5_found": f"WITH {_LINES} SELECT domain, line FROM lines WHERE line <> '' GROUP BY domain, line HAVING count(DISTINCT url) >= 8",
+}
