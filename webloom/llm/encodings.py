@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterable
 
 # Encodings in which web pages are read by mistake, and those they are written in.
-READ_AS = ("cp1252", "latin-1", "cp1250", "cp437", "mac-roman", "cp1251", "iso8859-15", "iso8859-2", "koi8-r", "cp866")
+READ_AS = ("cp1252", "latin-1", "cp1250", "cp437", "mac-roman", "cp1251", "koi8-r", "cp866")
 SINGLE = (("cp1251", "cp1252"), ("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("koi8-r", "cp1252"), ("cp866", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "cp866"))
 #: All transformations: (written in, read as).
 TRANSFORMS = tuple(("utf-8", r) for r in READ_AS) + SINGLE
@@ -174,6 +174,8 @@ class Repairer:
                 out += [text[at:a], f]
                 at = b
             text = "".join(out) + text[at:]
+            if not SUSPECT.search(text):
+                break
         return text, first or []
 
 

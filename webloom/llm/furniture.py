@@ -147,7 +147,10 @@ def page_lines(content: str | None) -> list[str]:
     if not content:
         return []
     fixed = content if content.isascii() else untangle(content)
-    return [" ".join(x.split()) for x in fixed.split("\n")]
+    lines = fixed.split("\n")
+    if "  " in fixed or "\t" in fixed or "\xa0" in fixed or "\r" in fixed:
+        return [" ".join(x.split()) for x in lines]
+    return [x.strip() for x in lines]
 
 
 def kinds(lines: list[str]) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources import materialize
 from ..sources.tables import spread, table
-from . import blocks, garbled, leaks, repeats, screen, tokens
+from . import blocks, garbled, language, leaks, repeats, screen, tokens
 
 #: Folder of the vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -34,6 +34,25 @@ def p2_found(spark, root):
     return screen.spam_pages(facts).select("page_id").join(screen.residue_pages(facts), "page_id", "left_anti")
 
 
+def _languages(spark, root):
+    pages = _pages(spark, root, "page_id", "domain", "title", "content", "language")
+    model = language.train(language.sample_pages(pages))
+    return materialize(screen.page_facts(spread(pages), extra=language.batch_labeller(model), extra_type=language.LINES))
+
+
+def p3_lines(spark, root):
+    facts = _languages(spark, root)
+    return language.wrong_labels(facts, screen.excluded(facts))
+
+
+def p3_found(spark, root):
+    return p3_lines(spark, root).select("page_id", "line_no", "language")
+
+
+def p3_pages(spark, root):
+    return language.page_languages(_languages(spark, root))
+
+
 def p4_restored(spark, root):
     pages = _pages(spark, root, "page_id", "title", "content")
     return garbled.find_garbled(spread(pages), garbled.learn_transforms(pages))
@@ -80,6 +99,9 @@ def p10_shares(spark, root):
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_lines": p3_lines,
+    "p3_pages": p3_pages,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
     "p5_found": p5_found,
