@@ -1,44 +1,107 @@
 """Find and restore records that were decoded with the wrong encoding, at the scale of a crawl.
 
-``learn_transforms`` joins garbled records with clean near-twins on what is left of them without non-ASCII
-characters, aligns the runs between and counts which transformations explain the pairs. Each garbled record
-meets one representative of its clean twins, so the join is linear in the number of records whatever the size
-of a group. ``find_garbled`` applies the supported transformations to every title and content.
+``suspects`` keeps the titles and contents that hold a suspicious sequence, a small part of all. Their garbled
+lines are joined with clean near-twins, drawn from all titles and content lines, on what is left of a line
+without non-ASCII characters. The runs between are aligned, and the transformations that explain the aligned
+pairs are counted (``learn_transforms``). Each garbled line meets one representative of its clean twins, so the
+join is linear in the number of lines whatever the size of a group. ``find_garbled`` applies the supported
+transformations to every suspicious value.
+
+So that the clean side of the join stays small, lines whose remainder no garbled line has are dropped where they
+are read, by a bitmap of hashed remainders of fixed size (``BITMAP_BITS``, 2 MB); a full bitmap only lets more
+lines through to the join.
 
 NULL and empty values are never garbled. A garbled sequence quoted as an example in a sound text is no case.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import materialize
 from .encodings import REPLACED, SUSPECT, TRANSFORMS, Repairer, explain, garbled_spans
 
 #: A transformation is used when this many distinct twin pairs support it.
 MIN_SUPPORT = 2
-#: Records with fewer ASCII letters and digits left have no twins: too many different texts share the rest.
+#: Lines with fewer ASCII letters and digits left have no twins: too many different texts share the rest.
 MIN_REST = 8
+BITMAP_BITS = 24
+
+_RUN = re.compile(r"[^\x00-\x7f]+")
+_PLAIN = re.compile(r"[A-Za-z0-9]")
+
+
+def _rest_hash(line: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(_RUN.sub("·", line)) >> 1
+
+
+def suspects(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, field, value) of the titles and contents with a suspicious sequence."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        search = SUSPECT.search
+        for pdf in batches:
+            out = [(i, field, v) for field in ("content", "title") for i, v in zip(pdf["k"], pdf[field]) if v and not v.isascii() and search(v)]
+            yield pd.DataFrame(out, columns=[key, "field", "value"])
 
+    return pages.select(F.col(key).alias("k"), "content", "title").where("content <> '' or title <> ''").mapInPandas(run, f"`{key}` {kind}, field string, value string")
 
-def _records(pages: DataFrame) -> DataFrame:
-    """Distinct titles and content lines that hold non-ASCII characters, with their remainder."""
-    lines = pages.select(F.explode(F.array_append(F.split(F.coalesce("content", F.lit("")), "\n"), F.coalesce("title", F.lit("")))).alias("r"))
-    lines = lines.where(F.col("r").rlike(r"[^\x00-\x7f]"))
-    rest = F.regexp_replace("r", r"[^\x00-\x7f]+", "·")
-    lines = lines.withColumn("rest", rest).where(F.length(F.regexp_replace("rest", "[^A-Za-z0-9]", "")) >= MIN_REST)
-    return lines.select("r", F.xxhash64("rest").alias("h"), F.col("r").rlike(SUSPECT.pattern).alias("odd"))
 
+def _odd_lines(values: DataFrame) -> DataFrame:
+    """(h, r): distinct suspicious lines with the hash of their remainder."""
 
-def learn_transforms(pages: DataFrame) -> list[tuple[str, str]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lines = [x for v in pdf["value"] for x in v.split("\n") if SUSPECT.search(x) and len(_PLAIN.findall(x)) >= MIN_REST]
+            yield pd.DataFrame({"h": [_rest_hash(x) for x in lines], "r": lines})
+
+    return values.mapInPandas(run, "h bigint, r string").distinct()
+
+
+def _bitmap(odd: DataFrame) -> np.ndarray:
+    """Bits set for the remainders of all garbled lines; at most 2**(BITMAP_BITS - 6) words reach the driver."""
+    bit = F.col("h").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    words = odd.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    bitmap = np.zeros(1 << (BITMAP_BITS - 6), "int64")
+    bitmap[words["w"].to_numpy("int64")] = words["m"].to_numpy("int64")
+    return bitmap
+
+
+def _clean_lines(pages: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(h, r) of the sound lines whose remainder the bitmap holds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mask = (1 << BITMAP_BITS) - 1
+        for pdf in batches:
+            hashes, lines = [], []
+            for content, title in zip(pdf["content"], pdf["title"]):
+                whole = f"{title or ''}\n{content or ''}"
+                if not whole.isascii():
+                    found = [x for x in whole.split("\n") if not x.isascii()]
+                    lines += found
+                    hashes += map(_rest_hash, found)
+            h = np.array(hashes, "int64")
+            hit = np.flatnonzero((bitmap[(h & mask) >> 6] >> (h & 63)) & 1)
+            keep = [i for i in hit if not SUSPECT.search(lines[i]) and len(_PLAIN.findall(lines[i])) >= MIN_REST]
+            yield pd.DataFrame({"h": h[keep], "r": [lines[i] for i in keep]})
+
+    return pages.select("content", "title").mapInPandas(run, "h bigint, r string")
+
+
+def learn_transforms(pages: DataFrame, values: DataFrame) -> list[tuple[str, str]]:
     """Transformations supported by near-twins, the best first; all known ones if the corpus has no twins."""
-    rec = _records(pages)
-    odd = rec.where("odd").select("h", "r").distinct()
-    clean = rec.where("not odd").join(odd.select("h").distinct(), "h", "left_semi")
-    # The most frequent clean record of a remainder stands for all: counted by text first, then one per group.
+    odd = materialize(_odd_lines(values))
+    clean = _clean_lines(pages, _bitmap(odd))
+    # The most frequent clean line of a remainder stands for all: counted by text first, then one per group.
     best = clean.groupBy("h", "r").count().groupBy("h").agg(F.max_by("r", F.struct("count", "r")).alias("c"))
 
     def support(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,19 +113,23 @@ def learn_transforms(pages: DataFrame) -> list[tuple[str, str]]:
     return [TRANSFORMS[-k] for _, k in ranked] or list(TRANSFORMS)
 
 
-def find_garbled(pages: DataFrame, transforms: list[tuple[str, str]], key: str = "page_id") -> DataFrame:
-    """(page_id, field, restored): field is content or title; restored is NULL where characters were lost."""
+def find_garbled(pages: DataFrame, key: str = "page_id", transforms: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(page_id, field, restored): field is content or title; restored is NULL where characters were lost.
+
+    The transformations are learned from ``pages`` unless given.
+    """
     kind = pages.schema[key].dataType.simpleString()
+    values = materialize(suspects(pages, key))
+    transforms = transforms or learn_transforms(pages, values)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repairer = Repairer(transforms)
         for pdf in batches:
             out = []
-            for field in ("content", "title"):
-                for i, v in zip(pdf["k"], pdf[field]):
-                    if v and garbled_spans(v, repairer):
-                        fixed = repairer.fix(v)[0]
-                        out.append((i, field, None if REPLACED in fixed else fixed))
+            for i, field, v in zip(pdf[key], pdf["field"], pdf["value"]):
+                if garbled_spans(v, repairer):
+                    fixed = repairer.fix(v)[0]
+                    out.append((i, field, None if REPLACED in fixed else fixed))
             yield pd.DataFrame(out, columns=[key, "field", "restored"])
 
-    return pages.select(F.col(key).alias("k"), "content", "title").where("content <> '' or title <> ''").mapInPandas(run, f"`{key}` {kind}, field string, restored string")
+    return values.mapInPandas(run, f"`{key}` {kind}, field string, restored string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources import materialize
 from ..sources.tables import spread, table
-from . import blocks, garbled, language, leaks, repeats, screen, tokens
+from . import blocks, dom, garbled, language, leaks, repeats, screen, tokens
 
 #: Folder of the vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -54,8 +54,7 @@ def p3_pages(spark, root):
 
 
 def p4_restored(spark, root):
-    pages = _pages(spark, root, "page_id", "title", "content")
-    return garbled.find_garbled(spread(pages), garbled.learn_transforms(pages))
+    return garbled.find_garbled(spread(_pages(spark, root, "page_id", "title", "content")))
 
 
 def p4_found(spark, root):
@@ -77,6 +76,21 @@ def p5_cleaned(spark, root):
     return blocks.without_lines(_pages(spark, root, "page_id", "domain", "content"), found)
 
 
+def p6_lines(spark, root):
+    pages = _pages(spark, root, "page_id", "domain", "title", "content")
+    model = dom.train(dom.sample_contents(pages))
+    facts = materialize(screen.page_facts(spread(pages), extra=dom.batch_marginals(model), extra_type=dom.LINES))
+    return dom.furniture_lines(facts, screen.excluded(facts))
+
+
+def p6_found(spark, root):
+    return p6_lines(spark, root).select("page_id", "line_no")
+
+
+def p6_bodies(spark, root):
+    return dom.main_bodies(_pages(spark, root, "page_id", "content"), materialize(p6_lines(spark, root)))
+
+
 def p8_ids(spark, root):
     docs = spread(table(spark, root, "documents").select("doc_id", "text"))
     return tokens.encode_texts(docs, "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
@@ -107,6 +121,9 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_blocks": p5_blocks,
     "p5_cleaned": p5_cleaned,
+    "p6_found": p6_found,
+    "p6_lines": p6_lines,
+    "p6_bodies": p6_bodies,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,
