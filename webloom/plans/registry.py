@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from . import skew_queries
+from . import skew_queries, url_queries
 
 
 def modules() -> list[ModuleType]:
-    return [skew_queries]
+    return [skew_queries, url_queries]
 
 
 def flagship(spark, root):
