@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from . import skew_queries, url_queries
+from . import search_queries, skew_queries, url_queries
 
 
 def modules() -> list[ModuleType]:
-    return [skew_queries, url_queries]
+    return [skew_queries, url_queries, search_queries]
 
 
 def flagship(spark, root):
-    return skew_queries.QUERIES["p7_totals"](spark, root)
+    return search_queries.ft7_bm25(spark, root)
