@@ -55,7 +55,7 @@ def interest_tokens(c: Column) -> Column:
 
 def truncated(c: Column, limit: int) -> Column:
     """At most ``limit`` bytes, never cutting a character."""
-    return F.when(F.octet_length(c) <= limit, c).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(c, "UTF-8"), 1, limit), "UTF-8"), "�+$", ""))
+    return F.when(F.octet_length(c) <= limit, c).otherwise(F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(c, "UTF-8"), 1, limit).cast("string")), "\ufffd+$", ""))
 
 
 def parse_time(c: Column) -> Column:
