@@ -73,8 +73,8 @@ def _sequences(read: str) -> str:
 
 _UTF8_RUN = {("utf-8", r): re.compile(f"{_sequences(r)}+") for r in READ_AS}
 _RUN = re.compile(r"[^\x00-\x7f]+")
-#: Letters and signs that the seven languages use; a repair must not lead outside them.
-_SOUND = re.compile(r"[ ¡-ÿŒœŠšŽžŸА-Яа-яЁё‐-‧‹›€№™…]+")
+#: Letters and signs that the seven languages use, and what a second garbling leaves; a repair must not lead outside.
+_SOUND = re.compile(r"[\u0080-\u00ffŒœŠšŽžŸА-Яа-яЁё‐-‧‹›€ƒ™ˆ˜…]+")
 _LETTERS = re.compile(r"[^\W\d_]")
 _VOWEL_RU = set("аеёиоуыэюяАЕЁИОУЫЭЮЯ")
 

@@ -62,7 +62,7 @@ def _odd_lines(values: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             lines = [x for v in pdf["value"] for x in v.split("\n") if SUSPECT.search(x) and len(_PLAIN.findall(x)) >= MIN_REST]
-            yield pd.DataFrame({"h": [_rest_hash(x) for x in lines], "r": lines})
+            yield pd.DataFrame({"h": [_rest_hash(x) for x in lines], "r": pd.Series(lines, dtype="object")})
 
     return values.mapInPandas(run, "h bigint, r string").distinct()
 
@@ -92,7 +92,7 @@ def _clean_lines(pages: DataFrame, bitmap: np.ndarray) -> DataFrame:
             h = np.array(hashes, "int64")
             hit = np.flatnonzero((bitmap[(h & mask) >> 6] >> (h & 63)) & 1)
             keep = [i for i in hit if not SUSPECT.search(lines[i]) and len(_PLAIN.findall(lines[i])) >= MIN_REST]
-            yield pd.DataFrame({"h": h[keep], "r": [lines[i] for i in keep]})
+            yield pd.DataFrame({"h": h[keep], "r": pd.Series([lines[i] for i in keep], dtype="object")})
 
     return pages.select("content", "title").mapInPandas(run, "h bigint, r string")
 
