@@ -186,7 +186,7 @@ SUSPECT = re.compile(
     "\u2500-\u257fΓ√∩≈"  # drawings and mathematics of cp437 and mac-roman
     "ĂăĹĺЂ-Џђ-џҐґ]"
     "|[ÃÂÐÑÅÄÎÏ][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
-    "|â[\u0080-¿€‚]|[À-ÿ]{4}|[РС][^\\sа-яёА-ЯЁ\\x00-\\x7f]|[а-яё][А-ЯЁ]{2}"
+    "|‚[Ä-ÿ]|â[\u0080-¿€‚]|[À-ÿ]{4}|[РС][^\\sа-яёА-ЯЁ\\x00-\\x7f]|[а-яё][А-ЯЁ]{2}|[А-ЯЁ]{4}"
 )
 REPLACED = "\ufffd"
 _OPEN, _CLOSE = set("“«„\"'‘(‹`["), set("”»“\"'’)›`]")
