@@ -42,7 +42,9 @@ def admit(links: DataFrame, pages: DataFrame, blocked: DataFrame | None = None,
     rows = rows.join(known, "fingerprint", "left").withColumn("known", F.coalesce("known", F.lit(0)))
     nth = F.row_number().over(Window.partitionBy("fingerprint").orderBy("depth", "canonical"))
     limit = F.lit(1) if strict else F.lit(per_shape)
-    rows = rows.withColumn("nth", nth).where(F.col("nth") + F.col("known") <= limit)
+    # The plain bound on the rank is applied before the shuffle, so that a huge shape is cut where it is read.
+    most = 1 if strict else per_shape
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= most).where(F.col("nth") + F.col("known") <= limit)
     return rows.select(u.alias("url"), "domain", "fingerprint", "depth", static_score(F.col("base"), F.col("depth")).alias("score"))
 
 
@@ -63,7 +65,8 @@ def fair_order(queue: DataFrame) -> DataFrame:
 
 def take_round_robin(queue: DataFrame, n: int) -> DataFrame:
     """The next n jobs when domains take turns."""
-    return fair_order(queue).orderBy("place", "domain", "queue_id").limit(n)
+    # No domain can take more than n places; the bound reaches the window, which then keeps n rows a domain.
+    return fair_order(queue).where(F.col("place") <= n).orderBy("place", "domain", "queue_id").limit(n)
 
 
 def dequeue(queue: DataFrame, n: int, as_of: datetime, without: list[str] | None = None) -> DataFrame:

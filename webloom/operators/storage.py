@@ -77,7 +77,7 @@ def upsert_seeds(old: DataFrame, new: DataFrame) -> DataFrame:
 def of_domains(rows: DataFrame, gone: DataFrame, column: str = "domain") -> DataFrame:
     """Rows of the domains ``gone(blocked)`` and of their subdomains, by a join on the exploded parents."""
     key = rows.select(F.col(column).alias("_d")).where("_d <> ''").distinct().select("_d", F.explode(U.parents(F.lower("_d"))).alias("blocked"))
-    hit = key.join(F.broadcast(gone.select("blocked").limit(100_000)), "blocked", "left_semi").select("_d").distinct()
+    hit = key.join(gone.select("blocked"), "blocked", "left_semi").select("_d").distinct()
     return rows.join(hit, rows[column] == hit["_d"], "left_semi")
 
 
