@@ -3,7 +3,8 @@
 The index is two tables, built in one pass and meant to be written once (``write``), with the postings sorted by
 term, so that the filters of a query reach the row groups of its terms:
 
-* postings(term, id, w, n): weighted count of a term over the fields of a page, and its plain count
+* postings(term, id, w, n, d): weighted count of a term over the fields of a page, its plain count, and the number
+  of words of the page, repeated here so that scoring needs no join with all pages
 * docs(id, d): number of words of a page over all fields
 
 A query reads the postings of its terms only; document frequencies, lengths and the sums per page come from
@@ -59,8 +60,9 @@ def build(pages: DataFrame, key: str = "page_id", weights: dict[str, float] = WE
         return F.transform(c, lambda t: F.struct(t.alias("t"), F.lit(weights[c]).alias("w")))
 
     all_words = F.flatten(F.array(*map(weighted, have)))
-    rows = tok.select("id", F.explode(all_words).alias("x")).select("id", F.col("x.t").alias("term"), F.col("x.w").alias("w"))
-    return Index(rows.groupBy("term", "id").agg(F.sum("w").alias("w"), F.count("*").alias("n")), docs)
+    length = sum((F.size(c) for c in have), F.lit(0)).alias("d")
+    rows = tok.select("id", length, F.explode(all_words).alias("x")).select("id", "d", F.col("x.t").alias("term"), F.col("x.w").alias("w"))
+    return Index(rows.groupBy("term", "id").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.max("d").alias("d")), docs)
 
 
 def vocabulary(index: Index) -> DataFrame:
@@ -85,20 +87,20 @@ def bm25(index: Index, terms: list[str], need: int | None = None, prefix: bool =
         queries += [(f"{t}*", t) for t in dict.fromkeys(terms) if len(t) >= 4]
     hits = None
     exact = [t for q, t in queries if not q.endswith("*")]
-    hits = index.postings.where(F.col("term").isin(exact)).select(F.col("term").alias("q"), "id", "w")
+    hits = index.postings.where(F.col("term").isin(exact)).select(F.col("term").alias("q"), "id", "w", "d")
     starts = [t for q, t in queries if q.endswith("*")]
     if starts:
         cond = F.lit(False)
         for t in starts:
             cond = cond | F.col("term").startswith(t)
-        begun = index.postings.where(cond).select("id", "w", F.explode(F.filter(F.array(*[F.lit(t) for t in starts]), lambda t: F.col("term").startswith(t))).alias("t"))
-        hits = hits.unionByName(begun.groupBy(F.concat("t", F.lit("*")).alias("q"), "id").agg(F.sum("w").alias("w")))
+        begun = index.postings.where(cond).select("id", "w", "d", F.explode(F.filter(F.array(*[F.lit(t) for t in starts]), lambda t: F.col("term").startswith(t))).alias("t"))
+        hits = hits.unionByName(begun.groupBy(F.concat("t", F.lit("*")).alias("q"), "id").agg(F.sum("w").alias("w"), F.max("d").alias("d")))
     size = index.docs.agg(F.count("*").alias("nn"), F.avg("d").alias("avg_d"))
     df = hits.groupBy("q").agg(F.count("*").alias("df"))
     raw = F.log((F.col("nn") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # Both sides are as small as the query: one row, and one row per term.
     stats = df.crossJoin(F.broadcast(size)).select("q", F.when(raw <= 0, FLOOR).otherwise(raw).alias("idf"), "avg_d")
-    rows = hits.join(F.broadcast(stats), "q").join(index.docs, "id")
+    rows = hits.join(F.broadcast(stats), "q")
     part = F.col("idf") * F.col("w") * (K1 + 1) / (F.col("w") + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))
     least = (need if need is not None else len(exact)) if not prefix else 1
     return rows.groupBy("id").agg(F.sum(part).alias("score"), F.countDistinct("q").alias("k")).where(F.col("k") >= least).select("id", "score")
