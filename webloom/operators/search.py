@@ -39,12 +39,20 @@ CLICK = 50.0
 class Index:
     postings: DataFrame
     docs: DataFrame
+    _size: tuple[int, float] | None = None
 
     def write(self, path: str, parts: int = 64) -> None:
         """Postings by ranges of terms, sorted within; lengths as they come."""
         self.postings.repartitionByRange(parts, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
+    def size(self) -> tuple[int, float]:
+        """(pages, mean length), counted once."""
+        if self._size is None:
+            r = self.docs.agg(F.count("*").alias("n"), F.avg("d").alias("a")).first()
+            self._size = (r["n"], r["a"] or 1.0)
+        return self._size
+
     @staticmethod
     def read(spark, path: str) -> Index:
         return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"))
@@ -72,7 +80,7 @@ def vocabulary(index: Index) -> DataFrame:
 
 def idf_map(index: Index, terms: list[str]) -> dict[str, float]:
     """ln(N / df) of the terms; ln N for unknown ones."""
-    n = max(1, index.docs.count())
+    n = max(1, index.size()[0])
     df = {r["term"]: r["c"] for r in index.postings.where(F.col("term").isin(terms)).groupBy("term").agg(F.count("*").alias("c")).collect()}
     return {t: math.log(n / df[t]) if df.get(t) else math.log(n) for t in terms}
 
@@ -95,13 +103,11 @@ def bm25(index: Index, terms: list[str], need: int | None = None, prefix: bool =
             cond = cond | F.col("term").startswith(t)
         begun = index.postings.where(cond).select("id", "w", "d", F.explode(F.filter(F.array(*[F.lit(t) for t in starts]), lambda t: F.col("term").startswith(t))).alias("t"))
         hits = hits.unionByName(begun.groupBy(F.concat("t", F.lit("*")).alias("q"), "id").agg(F.sum("w").alias("w"), F.max("d").alias("d")))
-    size = index.docs.agg(F.count("*").alias("nn"), F.avg("d").alias("avg_d"))
+    nn, avg_d = index.size()
     df = hits.groupBy("q").agg(F.count("*").alias("df"))
-    raw = F.log((F.col("nn") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # Both sides are as small as the query: one row, and one row per term.
-    stats = df.crossJoin(F.broadcast(size)).select("q", F.when(raw <= 0, FLOOR).otherwise(raw).alias("idf"), "avg_d")
-    rows = hits.join(F.broadcast(stats), "q")
-    part = F.col("idf") * F.col("w") * (K1 + 1) / (F.col("w") + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))
+    # One row for each term of the query.
+    rows = hits.join(F.broadcast(df.select("q", _idf(nn, F.col("df")).alias("idf"))), "q")
+    part = F.col("idf") * _saturated(avg_d)
     least = (need if need is not None else len(exact)) if not prefix else 1
     return rows.groupBy("id").agg(F.sum(part).alias("score"), F.countDistinct("q").alias("k")).where(F.col("k") >= least).select("id", "score")
 
@@ -121,11 +127,18 @@ def phrase_ids(pages: DataFrame, words: list[str], key: str = "page_id", weights
 def bm25_phrase(index: Index, pages: DataFrame, words: list[str], key: str = "page_id") -> DataFrame:
     """(id, score): the phrase taken as one query term."""
     hits = phrase_ids(pages, words, key)
-    size = index.docs.agg(F.count("*").alias("nn"), F.avg("d").alias("avg_d"))
-    stats = hits.agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
-    raw = F.log((F.col("nn") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rows = hits.join(index.docs, "id").crossJoin(F.broadcast(stats.select(F.when(raw <= 0, FLOOR).otherwise(raw).alias("idf"), "avg_d")))
-    return rows.select("id", (F.col("idf") * F.col("w") * (K1 + 1) / (F.col("w") + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))).alias("score"))
+    nn, avg_d = index.size()
+    return hits.join(index.docs, "id").select("id", (_idf(nn, F.lit(hits.count())) * _saturated(avg_d)).alias("score"))
+
+
+def _idf(nn: int, df: Column) -> Column:
+    raw = F.log((F.lit(float(nn)) - df + 0.5) / (df + 0.5))
+    return F.when(raw <= 0, FLOOR).otherwise(raw)
+
+
+def _saturated(avg_d: float) -> Column:
+    """w grown with saturation, set off against the length d."""
+    return F.col("w") * (K1 + 1) / (F.col("w") + K1 * (1 - B + B * F.col("d") / F.lit(avg_d)))
 
 
 # --- queries ------------------------------------------------------------------------------------------------
