@@ -42,7 +42,7 @@ class Index:
     _size: tuple[int, float] | None = None
 
     def write(self, path: str, parts: int = 64) -> None:
-        """Postings by ranges of terms, sorted within; lengths as they come."""
+        """Postings by ranges of terms, sorted within, so that a term's filter reaches its row groups; lengths as they come."""
         self.postings.repartitionByRange(parts, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
@@ -112,8 +112,15 @@ def bm25(index: Index, terms: list[str], need: int | None = None, prefix: bool =
     return rows.groupBy("id").agg(F.sum(part).alias("score"), F.countDistinct("q").alias("k")).where(F.col("k") >= least).select("id", "score")
 
 
-def phrase_ids(pages: DataFrame, words: list[str], key: str = "page_id", weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(id, w, n): pages that hold the words side by side in one field, with the weighted count."""
+def phrase_ids(pages: DataFrame, words: list[str], key: str = "page_id", weights: dict[str, float] = WEIGHTS, index: Index | None = None) -> DataFrame:
+    """(id, w): pages that hold the words side by side in one field, with the weighted count.
+
+    With an index only the pages that have all the words are read as text.
+    """
+    if index is not None:
+        need = len(set(words))
+        both = index.postings.where(F.col("term").isin(words)).groupBy(F.col("id").alias(key)).agg(F.count("*").alias("k")).where(F.col("k") >= need)
+        pages = pages.join(both.select(key), key, "left_semi")
     needle = " " + " ".join(words) + " "
     total = F.lit(0.0)
     for c in (c for c in weights if c in pages.columns):
@@ -126,7 +133,7 @@ def phrase_ids(pages: DataFrame, words: list[str], key: str = "page_id", weights
 
 def bm25_phrase(index: Index, pages: DataFrame, words: list[str], key: str = "page_id") -> DataFrame:
     """(id, score): the phrase taken as one query term."""
-    hits = phrase_ids(pages, words, key)
+    hits = phrase_ids(pages, words, key, index=index)
     nn, avg_d = index.size()
     return hits.join(index.docs, "id").select("id", (_idf(nn, F.lit(hits.count())) * _saturated(avg_d)).alias("score"))
 
@@ -309,7 +316,7 @@ def retrieve(index: Index, pages: DataFrame, q: Query, limit: int, offset: int,
         if not rows:
             continue
         done.append((mode, pages.sparkSession.createDataFrame(rows, got.schema)))
-        total = {"phrase": lambda: phrase_ids(pages, q.phrase, key), "exact": lambda: bm25(index, q.tokens), "core": lambda: bm25(index, q.by_weight()[:2]), "relaxed": lambda: bm25(index, q.by_weight()[:4], 1, True)}[mode]().count() if len(rows) == want else len(rows)
+        total = {"phrase": lambda: phrase_ids(pages, q.phrase, key, index=index), "exact": lambda: bm25(index, q.tokens), "core": lambda: bm25(index, q.by_weight()[:2]), "relaxed": lambda: bm25(index, q.by_weight()[:4], 1, True)}[mode]().count() if len(rows) == want else len(rows)
         seen |= {r["id"] for r in rows}
         if len(seen) >= enough:
             break

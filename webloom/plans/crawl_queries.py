@@ -12,7 +12,7 @@ from ..operators import profile as P
 from ..operators import search as S
 from ..operators import spell
 from ..sources import table
-from .search_queries import INDEX, plain_sql
+from .search_queries import INDEX, index_of, plain_sql
 from .url_queries import _CANON, HOST
 
 AS_OF = datetime(2024, 12, 1)
@@ -128,25 +128,25 @@ def fr7_adaptive(spark, root):
 
 
 def sp1_dictionary(spark, root):
-    return spell.dictionary(S.vocabulary(S.build(_t(spark, root, "pages"))))
+    return spell.dictionary(S.vocabulary(index_of(spark, root)))
 
 
 def sp2_suggestions(spark, root):
     """Suggestions for the words of clicked queries that no page holds."""
     words = _t(spark, root, "click_log").select(F.explode(P.X.tokens(F.col("query"))).alias("word")).distinct().withColumn("word", F.concat(F.left("word", F.length("word") - 1), F.lit("q"))).distinct()
-    return spell.suggest(words, spell.dictionary(S.vocabulary(S.build(_t(spark, root, "pages")))))
+    return spell.suggest(words, spell.dictionary(S.vocabulary(index_of(spark, root))))
 
 
 def qp9_known(spark, root):
     words = _t(spark, root, "click_log").select(F.explode(P.X.tokens(F.col("query"))).alias("word")).distinct()
-    return words.join(S.vocabulary(S.build(_t(spark, root, "pages"))).select(F.col("term").alias("word")), "word", "left_semi")
+    return words.join(S.vocabulary(index_of(spark, root)).select(F.col("term").alias("word")), "word", "left_semi")
 
 
 def qp10_compounds(spark, root):
     """Neighbouring words of titles run together, split again."""
     toks = P.X.tokens(F.col("title"))
     pairs = _t(spark, root, "pages").select(F.explode(F.transform(F.filter(F.arrays_zip(toks.alias("a"), F.slice(toks, F.lit(2), F.greatest(F.size(toks) - 1, F.lit(0))).alias("b")), lambda z: z["b"].isNotNull()), lambda z: F.concat(z["a"], z["b"]))).alias("word")).distinct()
-    return spell.split_compounds(pairs, S.vocabulary(S.build(_t(spark, root, "pages"))))
+    return spell.split_compounds(pairs, S.vocabulary(index_of(spark, root)))
 
 
 def ex24_kinds(spark, root):

@@ -18,7 +18,7 @@ from ..operators import search as S
 from ..operators import storage as W
 from ..sources import table
 from .parse_queries import as_html
-from .search_queries import INDEX, plain_sql
+from .search_queries import INDEX, index_of, plain_sql
 from .url_queries import HOST, PATH
 
 AS_OF = datetime(2024, 12, 1)
@@ -59,7 +59,7 @@ def snk13_index_update(spark, root):
     """Postings after the pages of a year were indexed anew: old postings of their ids go, new ones come."""
     pages = _t(spark, root, "pages")
     changed = pages.where(F.year("crawled_at") == 2024)
-    old = S.build(pages).postings
+    old = index_of(spark, root).postings
     new = old.join(changed.select(F.col("page_id").alias("id")), "id", "left_anti").unionByName(S.build(changed).postings)
     return new.groupBy("term").agg(F.count("*").alias("doc"))
 
@@ -149,7 +149,7 @@ def w6_first(spark, root):
 
 def t1_boosted(spark, root):
     pages = _t(spark, root, "pages")
-    found = S.bm25(S.build(pages), WORDS, need=1).withColumn("score", F.round("score", 6))
+    found = S.bm25(index_of(spark, root), WORDS, need=1).withColumn("score", F.round("score", 6))
     return S._ordered(found, pages, S.Query("", "", WORDS, WORDS, domain="gallebury-wiki.example"), 40, "page_id")
 
 

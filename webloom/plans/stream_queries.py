@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.storage import last_write_wins
-from ..sources import table
+from ..sources import shared_folder, table
 from ..streaming import state as S
 
 
@@ -64,7 +64,7 @@ def st_hourly(spark, root):
 def snk2_micro_batches(spark, root):
     """Latest fetch of each url, kept by a table that every micro-batch upserts."""
     rows = S.stream(spark, root, "fetch_log").select("url", "fetch_id", "status", "ts")
-    folder = S.shared_folder(spark, "snk2")
+    folder = shared_folder(spark, "snk2")
     target = S.VersionedTable(spark, f"{folder}/table", rows.schema)
     order = [F.col("ts"), F.col("fetch_id")]
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources import ensure_checkpoint_dir
+from ..sources import shared_folder
 
 
 @dataclass(frozen=True)
@@ -140,11 +139,6 @@ def stream(spark: SparkSession, root: str, name: str, files_per_batch: int = 16)
     return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(root)
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
-
-
 def drain(df: DataFrame, what: str) -> DataFrame:
     """Run a stream over what is there now and read back what it wrote (append mode)."""
     spark = df.sparkSession
