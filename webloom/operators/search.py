@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
+from ..sources import materialize
 
 # Weights of the fields, and the constants of BM25.
 WEIGHTS = {"title": 10.0, "h1": 8.0, "description": 5.0, "schema_title": 6.0, "schema_description": 4.0, "content": 1.0}
 K1, B, FLOOR = 1.2, 0.75, 1e-6
+BROADCAST_ROWS = 200_000
 CLICK = 50.0
 
 
@@ -120,7 +122,10 @@ def phrase_ids(pages: DataFrame, words: list[str], key: str = "page_id", weights
     if index is not None:
         need = len(set(words))
         both = index.postings.where(F.col("term").isin(words)).groupBy(F.col("id").alias(key)).agg(F.count("*").alias("k")).where(F.col("k") >= need)
-        pages = pages.join(both.select(key), key, "left_semi")
+        # Few pages are picked by a broadcast of their ids; many are read as they come, which needs no shuffle of texts.
+        few = materialize(both.select(key))
+        if few.count() <= BROADCAST_ROWS:
+            pages = pages.join(F.broadcast(few), key, "left_semi")
     needle = " " + " ".join(words) + " "
     total = F.lit(0.0)
     for c in (c for c in weights if c in pages.columns):
@@ -128,12 +133,13 @@ def phrase_ids(pages: DataFrame, words: list[str], key: str = "page_id", weights
         hay = F.concat(F.lit("  "), F.regexp_replace(F.coalesce(X.plain(F.col(c)), F.lit("")), " ", "  "), F.lit("  "))
         sharp = needle.strip().replace(" ", "  ")
         total = total + weights[c] * F.regexp_count(hay, F.lit(f" {re.escape(sharp)} "))
-    return pages.select(F.col(key).alias("id"), total.alias("w")).where("w > 0")
+    # Exploding keeps the optimizer from moving the count below the choice of pages, and from counting twice.
+    return pages.select(F.col(key).alias("id"), F.explode(F.array(total)).alias("w")).where("w > 0")
 
 
 def bm25_phrase(index: Index, pages: DataFrame, words: list[str], key: str = "page_id") -> DataFrame:
     """(id, score): the phrase taken as one query term."""
-    hits = phrase_ids(pages, words, key, index=index)
+    hits = materialize(phrase_ids(pages, words, key, index=index))
     nn, avg_d = index.size()
     return hits.join(index.docs, "id").select("id", (_idf(nn, F.lit(hits.count())) * _saturated(avg_d)).alias("score"))
 
