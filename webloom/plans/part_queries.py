@@ -327,6 +327,7 @@ _TITLE = f"list_filter(string_split(coalesce({plain_sql('title')}, ''), ' '), la
 _W = lambda c: f"list_filter(string_split(coalesce({plain_sql(c)}, ''), ' '), lambda x: x <> '')"
 _SIM = "coalesce(list_max(list_transform(ws, lambda t: CASE WHEN t = '{q}' THEN 1.0 WHEN starts_with(t, '{q}') OR starts_with('{q}', t) THEN 0.94 WHEN contains(t, '{q}') OR contains('{q}', t) THEN 0.88 ELSE 0.0 END)), 0.0)"
 _HAS = lambda ws: "list_has_any(ws, [" + ", ".join(f"'{w}'" for w in sorted(ws)) + "])"
+_STOP = lambda ws: "[" + ", ".join(f"'{w}'" for w in sorted(ws)) + "]"
 _ITOK = r"regexp_split_to_array(lower({x}), '[^\p{L}\p{Nd}]+')"
 _PROFILE = f"SELECT term, CAST(2 * count(*) AS DOUBLE) AS weight FROM (SELECT unnest({_ITOK.replace('{x}', 'query')}) AS term FROM click_log) WHERE strlen(term) > 2 GROUP BY term"
 from .table_queries import _GRAPH, ORACLES as _TABLE  # noqa: E402
@@ -359,6 +360,8 @@ ORACLES = {
     "t10_outlinks": f"WITH {_GRAPH} SELECT source_id, coalesce(n.r.u, 'hash:' || target_hash) AS target, created_at FROM links LEFT JOIN nodes n ON n.node = target_hash WHERE source_id = 1 ORDER BY created_at DESC, target LIMIT 50",
     "ft11_domain_tokens": "SELECT page_id, h AS hits FROM (SELECT page_id, " + " + ".join(f"CAST(contains(lower(domain), '{w}') AS INTEGER)" for w in ("wiki", "bury", "gal", "nor")) + " AS h FROM pages) WHERE h >= 2",
     "qp4_intents": rf"""SELECT query, {_HAS(S.FRESH)} AS fresh, regexp_matches(query, '\b(199[0-9]|20[0-9]{{2}}|2100)\b') OR regexp_matches(query, '\b[0-9]{{1,2}}[-/][0-9]{{1,2}}[-/][0-9]{{2,4}}\b|\b[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}\b') OR {_HAS(S.MONTHS)} AS dated FROM (SELECT DISTINCT query, {_W('query')} AS ws FROM click_log WHERE query IS NOT NULL)""",
+    "qp7_classes": f"""WITH w AS (SELECT DISTINCT query, {_W('query')} AS ws FROM click_log WHERE query IS NOT NULL), k AS (SELECT query, ws, CASE WHEN {_HAS(X.MEDIA_WORDS)} THEN list_filter(ws, lambda x: NOT list_contains({_STOP(X.STOPWORDS - X.TITLE_WORDS)}, x)) ELSE list_filter(ws, lambda x: NOT list_contains({_STOP(X.STOPWORDS)}, x)) END AS r FROM w)
+        SELECT query, CASE WHEN len(CASE WHEN len(ws) <= 1 OR len(r) = 0 THEN ws ELSE r END) = 1 THEN 'navigational' ELSE 'informational' END AS intent FROM k""",
     "qp8_domains": f"""WITH w AS (SELECT {_W('query')} AS ws FROM click_log), n AS (SELECT unnest(ws) AS l FROM w UNION SELECT ws[i] || ws[i + 1] FROM w, LATERAL (SELECT unnest(range(1, len(ws))) AS i) r), d AS (SELECT domain, regexp_extract(domain, '([^.]*)[.][^.]*$', 1) AS label FROM domains)
         SELECT label, min(domain) AS domain FROM d WHERE label IN (SELECT l FROM n) GROUP BY label""",
     "rk8_user": f"SELECT query, url, round(least(50.0 * count(*), 500) * 0.1, 6)::DOUBLE AS points FROM (SELECT {plain_sql('query')} AS query, url FROM click_log) WHERE query <> '' GROUP BY query, url",
