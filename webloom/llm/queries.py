@@ -135,4 +135,8 @@ _LINES = """lines AS (SELECT domain, url, trim(regexp_replace(unnest(string_spli
 
 ORACLES: dict[str, str] = {
     "p5_found": f"WITH {_LINES} SELECT domain, line FROM lines WHERE line <> '' GROUP BY domain, line HAVING count(DISTINCT url) >= 8",
+    "p5_cleaned": f"""WITH {_LINES}, found AS (SELECT domain, line FROM lines WHERE line <> '' GROUP BY domain, line HAVING count(DISTINCT url) >= 8),
+        raw AS (SELECT page_id, domain, unnest(string_split(content, chr(10))) AS raw, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM pages WHERE content IS NOT NULL),
+        kept AS (SELECT r.page_id, string_agg(raw, chr(10) ORDER BY i) AS c FROM raw r LEFT JOIN found f ON f.domain = r.domain AND f.line = trim(regexp_replace(raw, '[ \t' || chr(160) || ']+', ' ', 'g')) WHERE f.line IS NULL GROUP BY r.page_id)
+        SELECT page_id, CASE WHEN content IS NULL THEN NULL ELSE coalesce(c, '') END AS content FROM pages LEFT JOIN kept USING (page_id)""",
 }
