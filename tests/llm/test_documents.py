@@ -33,6 +33,18 @@ def test_encoding_frame_with_nulls_and_clashing_columns(spark):
     assert tokens.encode_texts(df.limit(0), "doc_id", "text", VOCAB, BYTE_BPE_PATTERN).count() == 0
 
 
+def test_null_keys_keep_large_ids_whole(spark):
+    from webloom.llm.queries import BYTE_BPE_PATTERN
+
+    big = 2**62 + 1
+    df = spark.createDataFrame([(big, "same words again here. " * 9), (None, "same words again here. " * 9), (1, PASSAGE)], "doc_id long, text string")
+    assert {r[0] for r in tokens.encode_texts(df, "doc_id", "text", VOCAB, BYTE_BPE_PATTERN).collect()} == {big, None, 1}
+    assert {r[0] for r in repeats.shares(df).where("share > 0.5").collect()} == {big, None}
+    assert {r[0] for r in repeats.repetitive(df).collect()} == {big, None}
+    items = spark.createDataFrame([(big, PASSAGE), (None, PASSAGE)], "item_id long, text string")
+    assert [tuple(r)[:2] for r in leaks.find_leaks(df, items).collect()] == [(1, big)]
+
+
 def brute_share(text):
     import re
 

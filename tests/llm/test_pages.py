@@ -56,6 +56,16 @@ def test_residue_and_spam(mixed):
     assert screen.residue_pages(none).count() == 0 and screen.spam_pages(none).count() == 0
 
 
+def test_null_keys_and_domains(spark):
+    big = 2**62 + 1
+    rows = [(big, None, None, RESIDUE[2]), (None, None, None, RESIDUE[2]), (3, None, "t", EN), (4, "", None, encodings.garble(ES, ("utf-8", "cp1252")))]
+    pages = spark.createDataFrame([(i, d, t, c, None, None) for i, d, t, c in rows], "page_id long, domain string, title string, content string, language string, url string")
+    assert {r[0] for r in screen.residue_pages(screen.page_facts(pages)).collect()} == {big, None}
+    assert screen.spam_pages(screen.page_facts(pages)).count() == 0
+    assert {r[0] for r in garbled.find_garbled(pages).collect()} == {4}
+    assert blocks.repeated_lines(pages).count() == 0
+
+
 def test_wide_messages_without_a_rule(spark):
     rows = [{"content": f"Gone fishing until further notice {i}", "domain": f"d{i % 6}.example"} for i in range(12)] + [{"content": EN.replace("river", f"r{i}")} for i in range(5)]
     got = {r[0] for r in screen.residue_pages(screen.page_facts(table(spark, rows))).collect()}

@@ -51,9 +51,11 @@ def suspects(pages: DataFrame, key: str = "page_id") -> DataFrame:
         search = SUSPECT.search
         for pdf in batches:
             out = [(i, field, v) for field in ("content", "title") for i, v in zip(pdf["k"], pdf[field]) if v and not v.isascii() and search(v)]
-            yield pd.DataFrame(out, columns=[key, "field", "value"])
+            yield pd.DataFrame(out, columns=["k", "field", "value"])
 
-    return pages.select(F.col(key).alias("k"), "content", "title").where("content <> '' or title <> ''").mapInPandas(run, f"`{key}` {kind}, field string, value string")
+    # Keys pass through Python as text: a NULL among integers would turn the others into floats.
+    rows = pages.select(F.col(key).cast("string").alias("k"), "content", "title").where("content <> '' or title <> ''")
+    return rows.mapInPandas(run, "k string, field string, value string").select(F.col("k").cast(kind).alias(key), "field", "value")
 
 
 def _odd_lines(values: DataFrame) -> DataFrame:
@@ -126,10 +128,11 @@ def find_garbled(pages: DataFrame, key: str = "page_id", transforms: list[tuple[
         repairer = Repairer(transforms)
         for pdf in batches:
             out = []
-            for i, field, v in zip(pdf[key], pdf["field"], pdf["value"]):
+            for i, field, v in zip(pdf["k"], pdf["field"], pdf["value"]):
                 if garbled_spans(v, repairer):
                     fixed = repairer.fix(v)[0]
                     out.append((i, field, None if REPLACED in fixed else fixed))
-            yield pd.DataFrame(out, columns=[key, "field", "restored"])
+            yield pd.DataFrame(out, columns=["k", "field", "restored"])
 
-    return values.mapInPandas(run, f"`{key}` {kind}, field string, restored string")
+    out = values.select(F.col(key).cast("string").alias("k"), "field", "value").mapInPandas(run, "k string, field string, restored string")
+    return out.select(F.col("k").cast(kind).alias(key), "field", "restored")

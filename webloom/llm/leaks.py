@@ -196,8 +196,8 @@ def passage(text: str | None) -> str:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, words, errors): one row for each item that a document leaks."""
-    known = items.select(item_col, item_text).where(F.col(item_text).isNotNull()).limit(MAX_ITEMS + 1).collect()
+    """(doc_id, item_id, words, errors): one row for each item that a document leaks. Items without id are left out."""
+    known = items.select(F.col(item_col).cast("string"), item_text).where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).limit(MAX_ITEMS + 1).collect()
     if len(known) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} evaluation items; split the set and run each part")
     passages = [(r[0], passage(r[1])) for r in known]
@@ -207,6 +207,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         finder = LeakFinder(passages)
         for pdf in batches:
             rows = [(i, *hit) for i, t in zip(pdf["i"], pdf["t"]) if t for hit in finder.items(t)]
-            yield pd.DataFrame(rows, columns=[id_col, item_col, "words", "errors"])
+            yield pd.DataFrame(rows, columns=["i", "item", "words", "errors"])
 
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, words int, errors int")
+    # Keys pass through Python as text: a NULL among integers would turn the others into floats.
+    out = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "i string, item string, words int, errors int")
+    return out.select(F.col("i").cast(kinds[0]).alias(id_col), F.col("item").cast(kinds[1]).alias(item_col), "words", "errors")

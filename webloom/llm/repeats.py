@@ -176,9 +176,14 @@ def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf["i"], "share": [repeated_share(t) for t in pdf["t"]]})
+            yield pd.DataFrame({"i": pdf["i"], "share": [repeated_share(t) for t in pdf["t"]]})
 
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"`{id_col}` {kind}, share double")
+    return _keyed(docs, id_col, text_col).mapInPandas(run, "i string, share double").select(F.col("i").cast(kind).alias(id_col), "share")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Keys pass through Python as text: a NULL among integers would turn the others into floats."""
+    return docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
 
 
 def repetitive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
@@ -195,6 +200,7 @@ def repetitive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pdf, p = pdf[p >= CANDIDATE], p[p >= CANDIDATE]
             s = np.array([repeated_share(t) for t in pdf["t"]])
             keep = s >= SHARE
-            yield pd.DataFrame({id_col: pdf["i"][keep], "probability": p[keep], "share": s[keep]})
+            yield pd.DataFrame({"i": pdf["i"][keep], "probability": p[keep], "share": s[keep]})
 
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"`{id_col}` {kind}, probability double, share double")
+    out = _keyed(docs, id_col, text_col).mapInPandas(run, "i string, probability double, share double")
+    return out.select(F.col("i").cast(kind).alias(id_col), "probability", "share")

@@ -154,6 +154,8 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str, pat
 
         encode = encoder(load_ranks(vocabulary), pattern)
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf["i"], "ids": pd.Series([np.array(encode(t), "int32") for t in pdf["t"]], index=pdf.index, dtype="object")})
+            yield pd.DataFrame({"i": pdf["i"], "ids": pd.Series([np.array(encode(t), "int32") for t in pdf["t"]], index=pdf.index, dtype="object")})
 
-    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"`{id_col}` {id_type}, ids array<int>")
+    # Keys pass through Python as text: a NULL among integers would turn the others into floats.
+    out = df.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "i string, ids array<int>")
+    return out.select(F.col("i").cast(id_type).alias(id_col), "ids")
