@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 RUN = 10
 SHARE = 0.4
 TRAIN_ROWS = 3000
+#: Longest text that may serve for training; it bounds what the sample takes on the driver.
+TRAIN_CHARS = 20_000
 #: Calibrated probability from which a document is measured exactly.
 CANDIDATE = 0.02
 
@@ -161,12 +163,12 @@ def train(texts: list[str]) -> Model | None:
 
 def sample_texts(docs: DataFrame, id_col: str, text_col: str, rows: int) -> list[str]:
     """At most ``rows`` non-empty texts, chosen by the hash of their id."""
-    some = docs.where(F.length(text_col) > 0).select(F.xxhash64(id_col).alias("h"), id_col)
-    n = some.count()
+    fit = F.length(text_col).between(1, TRAIN_CHARS)
+    n = docs.where(fit).count()
     if not n:
         return []
     parts = max(1, -(-n // rows))
-    picked = docs.where((F.length(text_col) > 0) & (F.pmod(F.xxhash64(id_col), F.lit(parts)) == 0))
+    picked = docs.where(fit & (F.pmod(F.xxhash64(id_col), F.lit(parts)) == 0))
     return [r[0] for r in picked.select(text_col).limit(2 * rows).collect()]
 
 
