@@ -117,12 +117,21 @@ def test_garbled_pages_with_twins(spark):
     rows = [{"content": f"{ES}\n{DE}"}, {"content": g(ES)}, {"content": g(DE), "title": "El tercer piso añadió dos litros"}, {"content": EN, "title": g("El tercer piso añadió dos litros")}, {"content": "caf� a"}, {"content": None, "title": None}, {"content": ""}]
     pages = table(spark, rows)
     values = garbled.suspects(pages)
-    assert garbled.learn_transforms(pages, values)[0] == ("utf-8", "cp1252")
+    assert garbled.learn_transforms(garbled.twins(pages, values))[0] == ("utf-8", "cp1252")
     got = {(r["page_id"], r["field"]): r["restored"] for r in garbled.find_garbled(pages).collect()}
     assert got == {(1, "content"): ES, (2, "content"): DE, (3, "title"): "El tercer piso añadió dos litros", (4, "content"): None}
     assert garbled.find_garbled(pages.limit(0)).count() == 0
 
 
+def test_lost_characters_come_from_twins(spark):
+    lost = ES.encode("latin-1", "ignore").decode("utf-8", "replace")
+    kept = ES.encode("latin-1", "ignore").decode("latin-1")
+    pages = table(spark, [{"content": f"x\n{kept}"}, {"content": f"{lost}\nplain"}, {"content": f"{lost} more\n{lost}"}, {"content": encodings.garble(DE, ("utf-8", "cp1252"))}])
+    got = {r["page_id"]: r["restored"] for r in garbled.restore(pages).collect()}
+    assert got == {1: f"{kept}\nplain", 2: None, 3: DE}
+    assert garbled.restore(pages.limit(0)).count() == 0
+
+
 def test_repeated_lines_against_counts(spark):
     rows = []
     for i in range(40):

@@ -5,7 +5,7 @@ lines are joined with clean near-twins, drawn from all titles and content lines,
 without non-ASCII characters. The runs between are aligned, and the transformations that explain the aligned
 pairs are counted (``learn_transforms``). Each garbled line meets one representative of its clean twins, so the
 join is linear in the number of lines whatever the size of a group. ``find_garbled`` applies the supported
-transformations to every suspicious value.
+transformations to every suspicious value; ``restore`` also fills in lost characters from fitting twins.
 
 So that the clean side of the join stays small, lines whose remainder no garbled line has are dropped where they
 are read, by a bitmap of hashed remainders of fixed size (``BITMAP_BITS``, 2 MB); a full bitmap only lets more
@@ -99,40 +99,73 @@ def _clean_lines(pages: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return pages.select("content", "title").mapInPandas(run, "h bigint, r string")
 
 
-def learn_transforms(pages: DataFrame, values: DataFrame) -> list[tuple[str, str]]:
-    """Transformations supported by near-twins, the best first; all known ones if the corpus has no twins."""
+def twins(pages: DataFrame, values: DataFrame) -> DataFrame:
+    """(r, c): each garbled line with one clean line of the same remainder, the most frequent one."""
     odd = materialize(_odd_lines(values))
     clean = _clean_lines(pages, _bitmap(odd))
-    # The most frequent clean line of a remainder stands for all: counted by text first, then one per group.
+    # Counted by text first, then one per group, so that a huge group never meets in one place.
     best = clean.groupBy("h", "r").count().groupBy("h").agg(F.max_by("r", F.struct("count", "r")).alias("c"))
+    return odd.join(best, "h").select("r", "c")
+
+
+def learn_transforms(pairs: DataFrame) -> list[tuple[str, str]]:
+    """Transformations supported by near-twins, the best first; all known ones if there are no twins."""
 
     def support(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"k": [k for g, c in zip(pdf["r"], pdf["c"]) for k in explain(g, c)]}, dtype="int32")
 
-    votes = odd.join(best, "h").select("r", "c").mapInPandas(support, "k int").groupBy("k").count().collect()
+    votes = pairs.mapInPandas(support, "k int").groupBy("k").count().collect()
     ranked = sorted(((r["count"], -r["k"]) for r in votes if r["count"] >= MIN_SUPPORT), reverse=True)
     return [TRANSFORMS[-k] for _, k in ranked] or list(TRANSFORMS)
 
 
+def _repaired(values: DataFrame, transforms: list[tuple[str, str]], key: str) -> DataFrame:
+    """(key, field, fixed) of the garbled values; what was lost stays as replacement characters."""
+    kind = values.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repairer = Repairer(transforms)
+        for pdf in batches:
+            out = [(i, field, repairer.fix(v)[0]) for i, field, v in zip(pdf["k"], pdf["field"], pdf["value"]) if garbled_spans(v, repairer)]
+            yield pd.DataFrame(out, columns=["k", "field", "fixed"])
+
+    out = values.select(F.col(key).cast("string").alias("k"), "field", "value").mapInPandas(run, "k string, field string, fixed string")
+    return out.select(F.col("k").cast(kind).alias(key), "field", "fixed")
+
+
 def find_garbled(pages: DataFrame, key: str = "page_id", transforms: list[tuple[str, str]] | None = None) -> DataFrame:
     """(page_id, field, restored): field is content or title; restored is NULL where characters were lost.
 
     The transformations are learned from ``pages`` unless given.
     """
-    kind = pages.schema[key].dataType.simpleString()
     values = materialize(suspects(pages, key))
-    transforms = transforms or learn_transforms(pages, values)
+    got = _repaired(values, transforms or learn_transforms(twins(pages, values)), key)
+    return got.select(key, "field", F.when(~F.col("fixed").contains(REPLACED), F.col("fixed")).alias("restored"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repairer = Repairer(transforms)
+
+def restore(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """As ``find_garbled``, but lines that lost characters are taken from their clean twins where one fits.
+
+    A twin fits when it has a letter for each replacement character, place by place. ``restored`` stays NULL for
+    values with a line that has no such twin.
+    """
+    values = materialize(suspects(pages, key))
+    pairs = materialize(twins(pages, values))
+
+    def fitting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, field, v in zip(pdf["k"], pdf["field"], pdf["value"]):
-                if garbled_spans(v, repairer):
-                    fixed = repairer.fix(v)[0]
-                    out.append((i, field, None if REPLACED in fixed else fixed))
-            yield pd.DataFrame(out, columns=["k", "field", "restored"])
-
-    out = values.select(F.col(key).cast("string").alias("k"), "field", "value").mapInPandas(run, "k string, field string, restored string")
-    return out.select(F.col("k").cast(kind).alias(key), "field", "restored")
+            for r, c in zip(pdf["r"], pdf["c"]):
+                if REPLACED in r and len(r) == len(c) and all(x == y or (x == REPLACED and not y.isascii()) for x, y in zip(r, c)):
+                    out.append((r, c))
+            yield pd.DataFrame(out, columns=["line", "twin"])
+
+    fits = pairs.mapInPandas(fitting, "line string, twin string").groupBy(F.xxhash64("line").alias("h")).agg(F.min("twin").alias("twin"))
+    got = materialize(_repaired(values, learn_transforms(pairs), key).withColumn("row", F.monotonically_increasing_id()))
+    lossy = got.where(F.col("fixed").contains(REPLACED))
+    lines = lossy.select("row", F.posexplode(F.split("fixed", "\n")).alias("at", "line")).withColumn("h", F.when(F.col("line").contains(REPLACED), F.xxhash64("line")))
+    whole = lines.join(fits, "h", "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("twin", "line").alias("x")))).alias("l"))
+    mended = whole.select("row", F.array_join(F.transform("l", lambda z: z["x"]), "\n").alias("mended"))
+    text = F.coalesce("mended", "fixed")
+    return got.join(mended, "row", "left").select(key, "field", F.when(~text.contains(REPLACED), text).alias("restored"))

@@ -54,11 +54,11 @@ def p3_pages(spark, root):
 
 
 def p4_restored(spark, root):
-    return garbled.find_garbled(spread(_pages(spark, root, "page_id", "title", "content")))
+    return garbled.restore(spread(_pages(spark, root, "page_id", "title", "content")))
 
 
 def p4_found(spark, root):
-    return p4_restored(spark, root).select("page_id", "field")
+    return garbled.find_garbled(spread(_pages(spark, root, "page_id", "title", "content"))).select("page_id", "field")
 
 
 def p5_found(spark, root):
