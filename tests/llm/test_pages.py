@@ -123,6 +123,16 @@ def test_garbled_pages_with_twins(spark):
     assert garbled.find_garbled(pages.limit(0)).count() == 0
 
 
+def test_garbled_pages_without_twins(spark):
+    g = lambda s: encodings.garble(s, ("utf-8", "cp1252"))
+    ru = encodings.garble(RU, ("koi8-r", "cp1251"))
+    pages = table(spark, [{"content": f"{ES}\n{DE}"}, {"content": g(ES)}, {"content": g(DE)}, {"content": ru}, {"content": f"{g(DE)}\n{ru}"}, {"content": RU, "title": "НОВОСТИ И ПОГОДА"}])
+    assert garbled.learn_transforms(garbled.twins(pages, garbled.suspects(pages))) [:1] == [("utf-8", "cp1252")]
+    want = {1: ES, 2: DE, 3: RU, 4: f"{DE}\n{RU}"}
+    assert {r["page_id"]: r["restored"] for r in garbled.find_garbled(pages).collect()} == want
+    assert {r["page_id"]: r["restored"] for r in garbled.restore(pages).collect()} == want
+
+
 def test_lost_characters_come_from_twins(spark):
     lost = ES.encode("latin-1", "ignore").decode("utf-8", "replace")
     kept = ES.encode("latin-1", "ignore").decode("latin-1")

@@ -5,7 +5,8 @@ lines are joined with clean near-twins, drawn from all titles and content lines,
 without non-ASCII characters. The runs between are aligned, and the transformations that explain the aligned
 pairs are counted (``learn_transforms``). Each garbled line meets one representative of its clean twins, so the
 join is linear in the number of lines whatever the size of a group. ``find_garbled`` applies the supported
-transformations to every suspicious value; ``restore`` also fills in lost characters from fitting twins.
+transformations to every suspicious value, then all known ones to what is still suspicious, so that a value
+without twins is found too; ``restore`` also fills in lost characters from fitting twins.
 
 So that the clean side of the join stays small, lines whose remainder no garbled line has are dropped where they
 are read, by a bitmap of hashed remainders of fixed size (``BITMAP_BITS``, 2 MB); a full bitmap only lets more
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import materialize
-from .encodings import REPLACED, SUSPECT, TRANSFORMS, Repairer, explain, garbled_spans
+from .encodings import REPLACED, SUSPECT, TRANSFORMS, Repairer, explain, garbled_spans, untangle
 
-#: A transformation is used when this many distinct twin pairs support it.
+#: A transformation goes before the others when this many distinct twin pairs support it.
 MIN_SUPPORT = 2
 #: Lines with fewer ASCII letters and digits left have no twins: too many different texts share the rest.
 MIN_REST = 8
@@ -109,7 +110,7 @@ def twins(pages: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def learn_transforms(pairs: DataFrame) -> list[tuple[str, str]]:
-    """Transformations supported by near-twins, the best first; all known ones if there are no twins."""
+    """Transformations supported by near-twins, the best first."""
 
     def support(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -117,17 +118,20 @@ def learn_transforms(pairs: DataFrame) -> list[tuple[str, str]]:
 
     votes = pairs.mapInPandas(support, "k int").groupBy("k").count().collect()
     ranked = sorted(((r["count"], -r["k"]) for r in votes if r["count"] >= MIN_SUPPORT), reverse=True)
-    return [TRANSFORMS[-k] for _, k in ranked] or list(TRANSFORMS)
+    return [TRANSFORMS[-k] for _, k in ranked]
 
 
 def _repaired(values: DataFrame, transforms: list[tuple[str, str]], key: str) -> DataFrame:
-    """(key, field, fixed) of the garbled values; what was lost stays as replacement characters."""
+    """(key, field, fixed) of the garbled values; what was lost stays as replacement characters.
+
+    ``transforms`` go first; all known ones follow on what they leave.
+    """
     kind = values.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repairer = Repairer(transforms)
+        first, every = Repairer(transforms), Repairer()
         for pdf in batches:
-            out = [(i, field, repairer.fix(v)[0]) for i, field, v in zip(pdf["k"], pdf["field"], pdf["value"]) if garbled_spans(v, repairer)]
+            out = [(i, field, untangle(first.fix(v)[0])) for i, field, v in zip(pdf["k"], pdf["field"], pdf["value"]) if garbled_spans(v, first) or garbled_spans(v, every)]
             yield pd.DataFrame(out, columns=["k", "field", "fixed"])
 
     out = values.select(F.col(key).cast("string").alias("k"), "field", "value").mapInPandas(run, "k string, field string, fixed string")
@@ -137,7 +141,7 @@ def _repaired(values: DataFrame, transforms: list[tuple[str, str]], key: str) ->
 def find_garbled(pages: DataFrame, key: str = "page_id", transforms: list[tuple[str, str]] | None = None) -> DataFrame:
     """(page_id, field, restored): field is content or title; restored is NULL where characters were lost.
 
-    The transformations are learned from ``pages`` unless given.
+    The transformations that go first are learned from ``pages`` unless given.
     """
     values = materialize(suspects(pages, key))
     got = _repaired(values, transforms or learn_transforms(twins(pages, values)), key)
