@@ -181,6 +181,17 @@ def test_interval_counts_do_not_depend_on_the_tasks(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_long_blocks_count_urls(spark):
+    long = [f"l{j}" for j in range(9)]
+    rows = [{"domain": "a.example", "url": f"u{i}", "content": "\n".join([f"own {i}", *long, f"end {i}"])} for i in range(8)]
+    # Seven urls, one of them crawled again, and a page that says it twice: eight places and more, but no eight urls.
+    rows += [{"domain": "b.example", "url": f"u{i % 7}", "content": "x\ny\nz\nx\ny"} for i in range(9)]
+    # Eight urls have each line, but only seven the pair.
+    rows += [{"domain": "c.example", "url": f"u{i}", "content": "p\nq\np\nq" if i < 7 else "p\n-\nq"} for i in range(8)]
+    got = [(r["site"], len(r["block"]), r["n"]) for r in blocks.repeated_blocks(table(spark, rows)).collect()]
+    assert sorted(got) == sorted([("a.example", d, 8) for d in range(1, 10) for _ in range(10 - d)] + [("c.example", 1, 8)] * 2)
+
+
 def test_label_codes():
     assert [language.label_code(x) for x in ("en", "EN", "en-US", "es_AR", "eng", "deu", "und", "xx", "", None, "unknown", "nl")] == ["en", "en", "en", "es", "en", "de", None, None, None, None, None, "nl"]
 

@@ -1,12 +1,12 @@
 """Lines and blocks of lines that return on many pages of one site.
 
-A page becomes the list of the ids of its lines. The suffixes of all lists of a site, each cut at ``DEPTH`` ids,
-form the site's suffix array: equal suffixes are merged with their counts before anything is sorted, then the
-array is range-partitioned by (site, suffix) and sorted, so that a site with a third of all pages is spread
-over many tasks. Neighbours with a common prefix form intervals; an interval whose pages number ``MIN_URLS`` or
-more is a repeated block. An interval that crosses the border of two tasks is completed by adding up the parts,
-as counts of blocks merge. The counts of pages are upper bounds of the numbers of distinct urls, so an exact
-count of urls follows for the single lines.
+A page becomes the list of the ids of its lines. The suffixes of all lists of a site, each as far as its lines
+are repeated ones, form the site's suffix array: equal suffixes are merged with their counts before anything is
+sorted, then the array is range-partitioned by (site, suffix) and sorted, so that a site with a third of all
+pages is spread over many tasks. Neighbours with a common prefix form intervals; an interval whose urls number
+``MIN_URLS`` or more is a candidate, however long. An interval that crosses the border of two tasks is completed
+by adding up the parts, as counts of blocks merge. A url with several suffixes in an interval is counted several
+times there, so an exact count of distinct urls follows for all candidates.
 
 Runs of spaces, tabs and no-break spaces count as one space, ends are trimmed, empty lines are left out. Rows
 with a NULL or empty site or NULL content take no part; NULL urls are no urls. Repeated rows change nothing.
@@ -24,9 +24,7 @@ from pyspark.sql import functions as F
 from ..sources import materialize
 
 MIN_URLS = 8
-#: Longest block that is told apart; longer ones are found as overlapping blocks.
-DEPTH = 6
-#: Found lines are broadcast up to this number (about 10 MB), else joined by a shuffle.
+#: Found lines and candidate blocks are broadcast up to this number (about 10 MB), else joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
@@ -41,26 +39,22 @@ def _listed(pages: DataFrame, site: str, url: str, content: str) -> DataFrame:
     return rows.select(F.col(site).alias("site"), F.xxhash64(F.col(url)).alias("u"), F.col(url).isNotNull().alias("known"), F.transform(lines, lambda x: F.xxhash64(x)).alias("ids"))
 
 
-def _array(listed: DataFrame) -> DataFrame:
-    """Merged suffixes (site, s, n): how many pages hold the suffix."""
-    # A line with fewer than MIN_URLS rows in its site is in no repeated block: the lists are cut there.
-    spots = listed.select("site", F.explode("ids").alias("id"))
+def _suffixes(listed: DataFrame) -> DataFrame:
+    """Distinct (site, u, s): the suffixes of the pages of each url."""
+    # A line on fewer than MIN_URLS urls of its site is in no repeated block: the lists are cut there.
+    spots = listed.select("site", "u", F.explode(F.array_distinct("ids")).alias("id")).distinct()
     often = spots.groupBy("site", "id").agg(F.count("*").alias("c")).where(F.col("c") >= MIN_URLS).select("site", "id")
-    numbered = listed.withColumn("p", F.monotonically_increasing_id()).select("site", "p", F.posexplode("ids").alias("at", "id"))
-    kept = numbered.join(often, ["site", "id"]).groupBy("site", "p").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("k"))
+    numbered = listed.withColumn("p", F.monotonically_increasing_id()).select("site", "u", "p", F.posexplode("ids").alias("at", "id"))
+    kept = numbered.join(often, ["site", "id"]).groupBy("site", "u", "p").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("k"))
     # Only unbroken stretches count: a suffix ends where the next kept line isn't the next line of the page.
-    suffix = F.explode(
-        F.transform(
-            F.sequence(F.lit(1), F.size("k")),
-            lambda i: F.transform(F.filter(F.slice("k", i, DEPTH), lambda x, j: x["at"] == F.element_at("k", i)["at"] + j), lambda x: x["id"]),
-        )
-    )
-    return kept.select("site", suffix.alias("s")).groupBy("site", "s").agg(F.count("*").alias("n"))
+    placed = kept.select("site", "u", "k", F.explode(F.sequence(F.lit(1), F.size("k"))).alias("i"))
+    unbroken = F.filter(F.slice("k", F.col("i"), F.size("k")), lambda x, j: x["at"] == F.element_at("k", F.col("i"))["at"] + j)
+    return placed.select("site", "u", F.transform(unbroken, lambda x: x["id"]).alias("s")).distinct()
 
 
-def repeated_blocks(pages: DataFrame, site: str = "domain", url: str = "url", content: str = "content") -> DataFrame:
-    """(site, block array<long>, n): blocks of 1 to DEPTH line ids with the number of places they hold."""
-    array = _array(_listed(pages, site, url, content))
+def _candidates(suffixes: DataFrame) -> DataFrame:
+    """(site, block, h): prefixes that MIN_URLS or more (suffix, url) pairs have in common."""
+    array = suffixes.groupBy("site", "s").agg(F.count("*").alias("n"))
     ordered = array.repartitionByRange("site", "s").sortWithinPartitions("site", "s")
 
     def intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,6 +62,8 @@ def repeated_blocks(pages: DataFrame, site: str = "domain", url: str = "url", co
         at: str | None = None
         prefix: list[int] = []
         counts: list[int] = []
+        # Prefixes of the task's first suffix may go on from the task before, whatever their count here.
+        edge: int | None = None
         for pdf in batches:
             out: list[tuple[str, list[int], int]] = []
             for host, s, n in zip(pdf["site"], pdf["s"], pdf["n"]):
@@ -76,8 +72,13 @@ def repeated_blocks(pages: DataFrame, site: str = "domain", url: str = "url", co
                 if host == at:
                     while common < len(s) and common < len(prefix) and s[common] == prefix[common]:
                         common += 1
+                if edge is None:
+                    edge = len(s)
                 for d in range(len(prefix), common, -1):
-                    out.append((at, prefix[:d], counts[d - 1]))
+                    if counts[d - 1] >= MIN_URLS or d <= edge:
+                        out.append((at, prefix[:d], counts[d - 1]))
+                if at is not None:
+                    edge = min(edge, common)
                 counts = [c + n for c in counts[:common]] + [n] * (len(s) - common)
                 at, prefix = host, s
             yield pd.DataFrame(out, columns=["site", "block", "n"])
@@ -85,17 +86,26 @@ def repeated_blocks(pages: DataFrame, site: str = "domain", url: str = "url", co
 
     parts = ordered.mapInPandas(intervals, "site string, block array<bigint>, n bigint")
     # Only intervals at the ends of a task can have another part; adding up treats all alike.
-    return parts.groupBy("site", "block").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_URLS)
+    whole = parts.groupBy("site", "block").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_URLS)
+    return whole.select("site", "block", F.xxhash64("block").alias("h"))
+
+
+def repeated_blocks(pages: DataFrame, site: str = "domain", url: str = "url", content: str = "content") -> DataFrame:
+    """(site, block array<long>, n): blocks of line ids of any length with the number of different urls they are on."""
+    suffixes = materialize(_suffixes(_listed(pages, site, url, content).where("known")))
+    candidates = materialize(_candidates(suffixes))
+    wanted = candidates.select("site", "h")
+    if candidates.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    prefixes = suffixes.select("site", "u", "s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("d")).select("site", "u", F.xxhash64(F.slice("s", 1, F.col("d"))).alias("h"))
+    exact = prefixes.join(wanted, ["site", "h"], "left_semi").distinct().groupBy("site", "h").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_URLS)
+    return candidates.join(exact, ["site", "h"]).select("site", "block", "n")
 
 
 def repeated_lines(pages: DataFrame, site: str = "domain", url: str = "url", content: str = "content") -> DataFrame:
     """(site, line) of the lines on at least MIN_URLS different urls of a site."""
     blocks = repeated_blocks(pages, site, url, content)
-    lines = blocks.where(F.size("block") == 1).select("site", F.col("block")[0].alias("id"))
-    listed = _listed(pages, site, url, content).where("known")
-    spots = listed.select("site", "u", F.explode(F.array_distinct("ids")).alias("id"))
-    exact = spots.join(lines, ["site", "id"], "left_semi").distinct().groupBy("site", "id").agg(F.count("*").alias("urls"))
-    found = materialize(exact.where(F.col("urls") >= MIN_URLS).select("site", "id"))
+    found = materialize(blocks.where(F.size("block") == 1).select("site", F.col("block")[0].alias("id")))
     texts = pages.where(F.col(site).isNotNull() & (F.col(site) != "") & (F.col(content) != ""))
     texts = texts.select(F.col(site).alias("site"), F.explode(F.array_distinct(F.transform(F.split(content, "\n"), squeezed))).alias("line")).where("line <> ''")
     texts = texts.withColumn("id", F.xxhash64("line"))
