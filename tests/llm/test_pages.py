@@ -218,6 +218,18 @@ def test_wrong_labels(spark, model):
     assert {r["page_id"]: r["language"] for r in language.page_languages(facts).collect()} == {0: "en", 1: "en", 2: "en", 3: "en", 7: "de"}
 
 
+def test_every_page_has_a_row(spark, model):
+    words = "\n".join(DE[i : i + 70] for i in range(0, len(DE), 70))
+    rows = [{"content": EN}, {"content": words, "language": "deu"}, {"content": None, "language": "ES-ar"}, {"content": ""}, {"content": " \n"}, {"content": "12 – 34"}, {"content": f"{EN}\n{ES}\n{EN}"}, {"content": "Городской архив"}]
+    pages = table(spark, rows)
+    facts = screen.page_facts(pages, extra=language.batch_labeller(model), extra_type=language.LINES).cache()
+    got = {r["page_id"]: r for r in language.all_page_languages(facts, pages).collect()}
+    assert {i: r["language"] for i, r in got.items()} == {0: "en", 1: "de", 2: None, 3: None, 4: None, 5: None, 6: "en", 7: "ru"}
+    assert got[2]["label"] == "es" and got[1]["n_lines"] == 0 and got[6]["n_languages"] == 2
+    assert all((r["confidence"] is None) == (r["language"] is None) for r in got.values())
+    assert sorted((r["page_id"], r["line_no"]) for r in language.line_languages(facts).collect()) == [(0, 0), (6, 0), (6, 1), (6, 2)]
+
+
 def test_kinds_of_lines():
     want = ["nav", "", "byline", "", "", "share", "head", "point", "point", "foot"]
     assert furniture.kinds(furniture.page_lines(ARTICLE)) == want

@@ -50,7 +50,12 @@ def p3_found(spark, root):
 
 
 def p3_pages(spark, root):
-    return language.page_languages(_languages(spark, root))
+    return language.all_page_languages(_languages(spark, root), _pages(spark, root, "page_id", "content", "language"))
+
+
+def p3_all_lines(spark, root):
+    """The long lines of all pages, correctly labelled ones too."""
+    return language.line_languages(_languages(spark, root))
 
 
 def p4_restored(spark, root):
@@ -116,6 +121,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_lines": p3_lines,
     "p3_pages": p3_pages,
+    "p3_all_lines": p3_all_lines,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
     "p5_found": p5_found,
