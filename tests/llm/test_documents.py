@@ -105,6 +105,32 @@ def test_leak_runs():
     assert items(None) == items("") == items("  ") == []
 
 
+def test_errors_count_without_rare_words():
+    """Items of one small vocabulary have no rare word; a changed word among twenty is a leak all the same."""
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}" for a in ("stone", "river", "lamp", "gate", "roof") for b in ("", "s", "er", "ing")]
+    for n in (1, 5, 60):
+        passages = [(str(i), " ".join(rng.choice(vocabulary) for _ in range(60))) for i in range(n)]
+        f = leaks.LeakFinder(passages)
+        for item, p in passages:
+            w = p.split()
+            part = w[20:40]
+            assert item in [h[0] for h in f.items(" ".join(part))]
+            part[9] = "changed"
+            assert [h[0] for h in f.items(" ".join(part))] == [item]
+    # Items that share their passage all come out; a copy doesn't make its words look common.
+    f = leaks.LeakFinder([("a", PASSAGE), ("b", PASSAGE), ("c", PASSAGE.upper())])
+    w = PASSAGE.split()
+    assert sorted(h[0] for h in f.items(" ".join([*w[:8], "else", *w[9:20]]))) == ["a", "b", "c"]
+
+
+def test_stock_phrases_with_other_names_are_no_leak():
+    said = "In {} the quarry clerk of {} engraved the ledger of unpaid tolls from the deck of a dredger near {}."
+    f = leaks.LeakFinder([(str(i), said.format(1800 + i, f"Velby{i}", f"Norr{i}")) for i in range(20)])
+    assert f.items(said.format(1950, "Tarnwick", "Oslow")) == []
+    assert [h[0] for h in f.items(said.format(1803, "Velby3", "Oslow"))] == ["3"]
+
+
 def test_block_search_matches_scan():
     rng = random.Random(3)
     for _ in range(60):
@@ -119,6 +145,10 @@ def test_find_leaks_frame(spark):
     items = spark.createDataFrame([(7, f"Read.\n\n{PASSAGE}\n\nWhat?", 0), (8, None, 0)], "item_id long, text string, i int")
     assert [(r[0], r[1]) for r in leaks.find_leaks(docs, items).collect()] == [(1, 7)]
     assert leaks.find_leaks(docs, items.limit(0)).count() == 0
+    # Sets larger than one part are searched part by part, with the same rows.
+    many = spark.createDataFrame([(i, PASSAGE.replace("quarry", f"w{i} quarry").replace("Kelvifield", f"Kelvi{i}")) for i in range(40)] + [(99, PASSAGE)], "item_id long, text string")
+    one, parts = ({tuple(r)[:2] for r in leaks.find_leaks(docs, many, part_bytes=b).collect()} for b in (10**6, 900))
+    assert (1, 99) in one and one == parts
 
 
 def test_calibrated_model_orders():

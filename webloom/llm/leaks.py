@@ -9,18 +9,29 @@ A document is reported with an item when it holds a run of at least ``MIN_WORDS`
 in which at most one word in ``ERROR_EVERY`` is changed, added, left out or misspelt. With n errors spread
 over 15 words some 5 words in a row stay intact for n <= 2, so no such run is without an anchor.
 
+Items of one set may be written with the same stock phrases, so that two texts share some fifteen words by chance,
+all but their names and numbers. How much a word says is measured in bits: its surprisal after the word before it,
+in the other passages of the set. A run with errors must match ``BITS_RATIO`` times the bits that it misses and
+``BITS_OVER`` bits more. Where no phrases are shared, all words say much, and the errors alone decide.
+
 Words are compared without case, accents, punctuation, spacing and markup. NULL, empty and blank texts give no
-rows; a document that holds a passage twice gives one row for the item.
+rows; a document that holds a passage twice gives one row for the item; an item given twice under one id counts
+with its longest run. Items without id or text are left out.
 
-The patterns come from the evaluation set, which is bounded (``MAX_ITEMS``, checked); they travel in the
-closure of the task. Texts are read once; nothing is shuffled.
+The set of items may have any size: it is split by the hash of the id into parts of about ``PART_BYTES``, each part
+is searched in its own pass over the texts, and the rows are united. A part travels as a broadcast variable of that
+bounded size; a worker builds its search tables once. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,9 +41,12 @@ ANCHOR = 5
 MIN_WORDS = 15
 ERROR_EVERY = 7
 BLOCK = 6
-#: A word is rare when at most one item in so many has it.
-RARE_IN = 40
-MAX_ITEMS = 100_000
+#: What a run with errors must match: so many times the bits it misses, and so many bits more.
+BITS_RATIO, BITS_OVER = 4.0, 40.0
+#: Words of running text that stand behind the items' own when rates are estimated, and weight of a word's own rate.
+BACKGROUND, OWN_RATE = 10_000, 2.0
+#: Text of the items that one pass over the documents searches for.
+PART_BYTES = 4_000_000
 
 _TAG = re.compile(r"</?[a-z!][^<>]{0,200}>|&(?:nbsp|amp|quot|lt|gt|#\d+|#x[0-9a-f]+);")
 _GAP = re.compile(r"[\W_]+")
@@ -64,7 +78,7 @@ def normal(text: str) -> str:
 class BlockSearch:
     """Many patterns at once: shifts by block, buckets by ending block, direct comparison."""
 
-    def __init__(self, patterns: dict[str, list[tuple[int, int]]], block: int = BLOCK) -> None:
+    def __init__(self, patterns: dict[str, list[tuple[str, int]]], block: int = BLOCK) -> None:
         self.patterns = patterns
         self.m = min(map(len, patterns), default=0)
         self.block = b = min(block, self.m) if self.m else 1
@@ -96,14 +110,30 @@ class BlockSearch:
             i += 1
 
 
-def _walk(a: list[str], i: int, b: list[str], j: int, step: int, rare: list[bool]) -> list[tuple[int, int, int, int]]:
+def word_bits(words: dict[str, list[str]]) -> dict[str, list[float]]:
+    """Surprisal in bits of each word of each item after the word before it, from the other items' words."""
+    own = {i: (Counter(zip(["", *w], w)), Counter(["", *w[:-1]]), Counter(w)) for i, w in words.items()}
+    pairs, before, single = (Counter() for _ in range(3))
+    for p, b, c in own.values():
+        pairs.update(p), before.update(b), single.update(c)
+    total = single.total()
+    out = {}
+    for i, w in words.items():
+        p, b, c = own[i]
+        n = total - len(w) + BACKGROUND
+        out[i] = [-math.log2((pairs[x, y] - p[x, y] + OWN_RATE * (single[y] - c[y] + 0.5) / n) / (before[x] - b[x] + OWN_RATE)) for x, y in zip(["", *w], w)]
+    return out
+
+
+def _walk(a: list[str], i: int, b: list[str], j: int, step: int, bits: list[float]) -> list[tuple[int, int, float, float]]:
     """Extend a match from a[i], b[j] (already matched) in one direction.
 
-    Gives (words of a, errors, rare words matched, rare words missed) after each matched word. A changed, added
-    or missing word may be bridged where the words after it match again.
+    Gives (words of a, errors, bits matched, bits missed) after each matched word. A changed, added or missing
+    word may be bridged where the words after it match again.
     """
-    out = [(0, 0, 0, 0)]
-    n = errors = good = bad = 0
+    out = [(0, 0, 0.0, 0.0)]
+    n = errors = 0
+    good = bad = 0.0
     na, nb = len(a), len(b)
 
     def same(x: int, y: int) -> bool:
@@ -121,64 +151,63 @@ def _walk(a: list[str], i: int, b: list[str], j: int, step: int, rare: list[bool
                 return out
             errors += max(da, db)
             n += da
-            bad += sum(rare[i + step * k] for k in range(1, da + 1))
+            bad += sum(bits[i + step * k] for k in range(1, da + 1))
             if errors > 2 + n / ERROR_EVERY:
                 return out
         i, j, n = x, y, n + 1
-        good += rare[i]
+        good += bits[i]
         out.append((n, errors, good, bad))
 
 
-def longest_run(a: list[str], i: int, b: list[str], j: int, length: int, rare: list[bool]) -> tuple[int, int]:
-    """Longest run (words, errors) around ``length`` equal words at a[i:], b[j:] that keeps the error rate.
-
-    Evaluation items share stock phrases. A run with errors counts only if it also shares words that few items
-    have (names, numbers), and misses fewer of those than it shares.
-    """
-    right = _walk(a, i + length - 1, b, j + length - 1, 1, rare)
-    left = _walk(a, i, b, j, -1, rare)
-    core = sum(rare[i : i + length])
+def longest_run(a: list[str], i: int, b: list[str], j: int, length: int, bits: list[float]) -> tuple[int, int]:
+    """Longest run (words, errors) around ``length`` equal words at a[i:], b[j:] that keeps the rate of errors and says enough."""
+    right = _walk(a, i + length - 1, b, j + length - 1, 1, bits)
+    left = _walk(a, i, b, j, -1, bits)
+    core = sum(bits[i : i + length])
     best = (0, 0)
     for ln, le, lg, lb in left:
         for rn, re_, rg, rb in right:
             n, e = length + ln + rn, le + re_
-            if n > best[0] and e * ERROR_EVERY <= n and (not e or core + lg + rg > lb + rb):
-                best = (n, e)
+            if n > best[0] and e * ERROR_EVERY <= n:
+                good, bad = core + lg + rg, lb + rb
+                if not e or good >= BITS_RATIO * bad and good >= bad + BITS_OVER:
+                    best = (n, e)
     return best
 
 
 class LeakFinder:
-    def __init__(self, passages: list[tuple[int, str]]) -> None:
-        self.words = {item: normal(p).split() for item, p in passages}
-        spread: dict[str, int] = {}
-        for words in self.words.values():
-            for w in set(words):
-                spread[w] = spread.get(w, 0) + 1
-        few = max(2, len(passages) // RARE_IN)
-        self.rare = {item: [spread[w] <= few for w in words] for item, words in self.words.items()}
-        patterns: dict[str, list[tuple[int, int]]] = {}
+    def __init__(self, passages: list[tuple[str, str]]) -> None:
+        # Items often share their passage, which must not make its words look common: each passage counts once.
+        self.ids: dict[str, list[str]] = {}
+        for item, p in passages:
+            self.ids.setdefault(normal(p), []).append(item)
+        self.words = {p: p.split() for p in self.ids}
+        self.bits = word_bits(self.words)
+        patterns: dict[str, list[tuple[str, int]]] = {}
         for item, words in self.words.items():
             for k in range(len(words) - ANCHOR + 1):
                 patterns.setdefault(f" {' '.join(words[k : k + ANCHOR])} ", []).append((item, k))
         self.search = BlockSearch(patterns)
 
-    def items(self, text: str | None) -> list[tuple[int, int, int]]:
+    def items(self, text: str | None) -> list[tuple[str, int, int]]:
         """(item, words, errors) of the longest run of each item that the text leaks."""
         if not text:
             return []
         flat = normal(text)
         words: list[str] = []
-        best: dict[int, tuple[int, int]] = {}
-        reached: dict[tuple[int, int], int] = {}
+        best: dict[str, tuple[int, int]] = {}
+        reached: dict[tuple[str, int], int] = {}
+        gaps = at = 0
         for end, pattern in self.search.find(flat):
             if not words:
                 words = flat.split()
-            j = flat.count(" ", 0, end) - 1 - ANCHOR
+            gaps, at = gaps + flat.count(" ", at, end), end
+            j = gaps - 1 - ANCHOR
             for item, i in self.search.patterns[pattern]:
                 d = (item, j - i)
                 if reached.get(d, -1) >= i:
                     continue
-                n, errors = longest_run(self.words[item], i, words, j, ANCHOR, self.rare[item])
+                n, errors = longest_run(self.words[item], i, words, j, ANCHOR, self.bits[item])
                 k = 0
                 a = self.words[item]
                 while i + k < len(a) and j + k < len(words) and a[i + k] == words[j + k]:
@@ -186,7 +215,11 @@ class LeakFinder:
                 reached[d] = i + k - ANCHOR
                 if n > best.get(item, (0, 0))[0]:
                     best[item] = (n, errors)
-        return [(item, n, e) for item, (n, e) in best.items() if n >= MIN_WORDS]
+        found: dict[str, tuple[int, int]] = {}
+        for p, (n, e) in best.items():
+            for item in self.ids[p] if n >= MIN_WORDS else ():
+                found[item] = max(found.get(item, (0, 0)), (n, e))
+        return [(item, n, e) for item, (n, e) in found.items()]
 
 
 def passage(text: str | None) -> str:
@@ -195,20 +228,38 @@ def passage(text: str | None) -> str:
     return "\n".join(parts[1:-1]) if len(parts) > 2 else (parts[-1] if len(parts) == 1 else "\n".join(parts[1:]))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, words, errors): one row for each item that a document leaks. Items without id are left out."""
-    known = items.select(F.col(item_col).cast("string"), item_text).where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).limit(MAX_ITEMS + 1).collect()
-    if len(known) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} evaluation items; split the set and run each part")
-    passages = [(r[0], passage(r[1])) for r in known]
-    kinds = [d.schema[c].dataType.simpleString() for d, c in ((docs, id_col), (items, item_col))]
+#: The finder of the part that this worker searches for at present.
+_FINDER: list = [None, None]
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = LeakFinder(passages)
-        for pdf in batches:
-            rows = [(i, *hit) for i, t in zip(pdf["i"], pdf["t"]) if t for hit in finder.items(t)]
-            yield pd.DataFrame(rows, columns=["i", "item", "words", "errors"])
+def _finder(name: str, part) -> LeakFinder:
+    """Built once a worker and part."""
+    if _FINDER[0] != name:
+        _FINDER[:] = name, LeakFinder(part.value)
+    return _FINDER[1]
 
+
+def find_leaks(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", part_bytes: int = PART_BYTES
+) -> DataFrame:
+    """(doc_id, item_id, words, errors): one row for each item that a document leaks."""
+    known = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null")
+    parts = max(1, -(-(known.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // part_bytes))
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((docs, id_col), (items, item_col))]
     # Keys pass through Python as text: a NULL among integers would turn the others into floats.
-    out = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "i string, item string, words int, errors int")
+    texts = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t <> ''")
+
+    def search(part: int) -> DataFrame:
+        rows = known.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).collect()
+        sent = docs.sparkSession.sparkContext.broadcast([(r["i"], passage(r["t"])) for r in rows])
+        name = uuid4().hex
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            finder = _finder(name, sent)
+            for pdf in batches:
+                yield pd.DataFrame([(i, *hit) for i, t in zip(pdf["i"], pdf["t"]) for hit in finder.items(t)], columns=["i", "item", "words", "errors"])
+
+        return texts.mapInPandas(run, "i string, item string, words int, errors int")
+
+    out = reduce(DataFrame.union, [search(k) for k in range(parts)])
     return out.select(F.col("i").cast(kinds[0]).alias(id_col), F.col("item").cast(kinds[1]).alias(item_col), "words", "errors")
