@@ -29,7 +29,7 @@ def test_quantiles_match_sorting(rows):
     assert got == want
 
 
-def test_salted_restriction_gives_the_same(rows, monkeypatch):
+def test_shuffled_restriction_gives_the_same(rows, monkeypatch):
     a = sorted(skew.keyed_quantiles(rows, "domain", F.col("v"), [0.5]).collect())
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
     assert sorted(skew.keyed_quantiles(rows, "domain", F.col("v"), [0.5]).collect()) == a
@@ -46,3 +46,15 @@ def test_heavy_keys(rows, spark):
 def test_site_totals(spark):
     df = spark.createDataFrame([("a", "u", 1), ("a", "u", 3), ("a", None, 2), (None, "u", 9), ("", "u", 9)], "domain string, url string, crawled_at int")
     assert [tuple(r) for r in skew.site_totals(df).collect()] == [("a", 3, 1, 3)]
+
+
+def test_split_join_keeps_hot_rows_in_place(spark, monkeypatch):
+    rows = spark.createDataFrame([("hot", i) for i in range(600)] + [(f"k{i % 300}", i) for i in range(600)] + [(None, 1)], "k string, x long")
+    table = rows.where("x % 2 = 0").groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("m")).where("k is not null")
+    want = sorted(map(tuple, rows.join(table.drop("n"), "k").collect()))
+    for small, hot in ((10**6, 1000), (0, 5), (0, 10**6)):
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", small)
+        monkeypatch.setattr(skew, "HOT_KEYS", hot)
+        assert sorted(map(tuple, skew.split_join(rows, table, ["k"], "n").select("k", "x", "m").collect())) == want
+        assert sorted(map(tuple, skew.split_join(rows, table, ["k"], "n", "left_semi").collect())) == sorted((k, x) for k, x, _ in want)
+    assert skew.split_join(rows.limit(0), table, ["k"], "n").count() == skew.split_join(rows, table.limit(0), ["k"], "n").count() == 0

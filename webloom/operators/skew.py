@@ -1,11 +1,12 @@
 """Per-key results that stay balanced when a few keys hold most rows.
 
-Two operators:
+Operators:
 
 * ``keyed_quantiles`` - exact per-key order statistics by distributed selection. Every round counts rows in
   value buckets (a mergeable histogram, combined on the map side), finds the bucket that holds each wanted
   rank, and refines only that bucket. Values of a key are never gathered or sorted, so a key with a third of
   all rows costs no more per task than any other.
+* ``split_join`` - a join on a key of which a few values hold most rows.
 * ``site_totals`` - counts, distinct urls and latest time per key, aggregated first by (key, url).
 
 Nulls: rows with a NULL key are ignored; NULL values are not ranked but are counted in ``n_rows``.
@@ -23,21 +24,44 @@ from ..sources import materialize
 
 #: Bits resolved per round; a round's histogram has at most 2**BITS buckets for each open (key, rank).
 BITS = 12
-#: The table of open buckets is broadcast up to this many rows (about 10 MB), else joined by a salted shuffle.
+#: Tables of short rows (keys and numbers) are broadcast up to this many rows, about 10 MB.
 BROADCAST_ROWS = 200_000
-SALTS = 16
 
 
-def _restrict(rows: DataFrame, open_: DataFrame, n_open: int) -> DataFrame:
-    """Rows that lie in an open bucket (k, p), with the map side staying balanced for hot keys."""
-    if n_open <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(open_.select("k", "p").distinct()), ["k", "p"], "left_semi")
-    salted = open_.select("k", "p").distinct().withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["k", "p", "s"], "left_semi").drop("s")
+#: Keys that hold at least one in so many rows are hot; there can be no more of them than this.
+HOT_KEYS = 1000
+
+
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left_semi) with ``table``, which has one short row for each key.
+
+    ``weight`` is a column of ``table``, left out of the result: how many of ``rows`` have the key, or a number in
+    proportion to it. A small table is broadcast. Else the keys that hold at least one ``HOT_KEYS``-th of all
+    weight, by arithmetic at most that many, are broadcast, so their rows stay where they are; only the others
+    are shuffled, and none of those is hot.
+    """
+    n, total = table.agg(F.count("*"), F.sum(weight)).first()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table.drop(weight)), keys, how)
+    is_hot = F.col(weight) * HOT_KEYS >= total
+    hot = F.broadcast(table.where(is_hot).drop(weight))
+    far = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(~is_hot).drop(weight), keys, how)
+    return rows.join(hot, keys, how).unionByName(far)
+
+
+def _restrict(rows: DataFrame, open_: DataFrame) -> DataFrame:
+    """Rows (k, v, p, c) that lie in an open bucket (k, p)."""
+    buckets = open_.select("k", "p").distinct()
+    if open_.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(buckets), ["k", "p"], "left_semi")
+    weights = rows.groupBy("k", "p").agg(F.sum("c").alias("w"))
+    return split_join(rows, materialize(buckets.join(weights, ["k", "p"])), ["k", "p"], "w", "left_semi")
 
 
 def keyed_ranks(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Value at each wanted rank. ``rows(k, v long)``, ``wanted(k, q, rank)`` with ranks from 0; gives (k, q, v).
+    """Value at each wanted rank. ``rows(k, v long, c)``, ``wanted(k, q, rank)`` with ranks from 0; gives (k, q, v).
+
+    c is how often v stands for k; a value may be spread over several rows.
 
     v must not be NULL and must lie in 0 .. 2**62.
     """
@@ -52,8 +76,8 @@ def keyed_ranks(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         width = (bits if first else shift_before) - shift
         part = rows
         if not first:
-            part = _restrict(rows.withColumn("p", F.expr(f"shiftright(v, {shift_before})")), open_, n_open)
-        hist = part.groupBy("k", F.expr(f"shiftright(v, {shift})").alias("b")).agg(F.count("*").alias("c"))
+            part = _restrict(rows.withColumn("p", F.expr(f"shiftright(v, {shift_before})")), open_)
+        hist = part.groupBy("k", F.expr(f"shiftright(v, {shift})").alias("b")).agg(F.sum("c").alias("c"))
         hist = hist.withColumn("p", F.expr(f"shiftright(b, {width})"))
         # Buckets of one (k, p) are at most 2**BITS, so the running sum below is over a bounded list.
         lists = hist.groupBy("k", "p").agg(F.sort_array(F.collect_list(F.struct("b", "c"))).alias("h"))
@@ -70,7 +94,7 @@ def keyed_ranks(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         open_ = materialize(found.select("k", "q", F.col("at.b").alias("p"), F.col("at.left").alias("rank")))
         if shift == 0:
             return open_.select("k", "q", F.col("p").alias("v"))
-        n_open, shift_before, shift, first = open_.count(), shift, max(0, shift - BITS), False
+        shift_before, shift, first = shift, max(0, shift - BITS), False
 
 
 def keyed_quantiles(df: DataFrame, key: str, value: Column, probs: Sequence[float]) -> DataFrame:
@@ -86,7 +110,8 @@ def keyed_quantiles(df: DataFrame, key: str, value: Column, probs: Sequence[floa
     shifted = rows.where(F.col("v0").isNotNull()).select("k", (F.col("v0") - F.lit(low)).alias("v"))
     wanted = counts.where("n > 0").select("k", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
     wanted = wanted.select("k", "q", F.greatest(F.lit(0), F.ceil(F.col("q") * F.col("n")) - 1).alias("rank"))
-    got = keyed_ranks(shifted, wanted)
+    # Equal values are counted first, so that a popular value of a hot key is one row in all rounds.
+    got = keyed_ranks(materialize(shifted.groupBy("k", "v").agg(F.count("*").alias("c"))), wanted)
     return counts.join(got, "k").select(F.col("k").alias(key), "n_rows", F.col("q").alias("prob"), (F.col("v") + F.lit(low)).alias("value"))
 
 
@@ -103,7 +128,7 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     ranks = list(range(0, n, step))
     spark = df.sparkSession
     wanted = spark.range(len(ranks)).select(F.lit(0).alias("k"), F.col("id").alias("q"), (F.col("id") * step).alias("rank"))
-    hot = keyed_ranks(rows.select("k", "v"), wanted).select("v").distinct() if n else rows.select("v").limit(0)
+    hot = keyed_ranks(rows.select("k", "v", F.lit(1).alias("c")), wanted).select("v").distinct() if n else rows.select("v").limit(0)
     counted = rows.join(F.broadcast(hot), "v", "left_semi").groupBy("key0").agg(F.count("*").alias("n_rows"))
     return counted.where((F.col("n_rows") >= share * n) & (F.col("key0") != "")).select(F.col("key0").alias(key), "n_rows")
 
