@@ -72,6 +72,46 @@ def test_wide_messages_without_a_rule(spark):
     assert got == set(range(12))
 
 
+POLISH = "Strona nie została znaleziona\nSprawdź adres albo wróć na początek (ref. {i})"
+
+
+def test_unknown_messages_come_from_their_group(spark):
+    """An error page in a language without rules, on eight sites; what articles hold or sites reprint is no message."""
+    rows = [{"content": f"Home | News\n{POLISH.format(i=i)}", "domain": f"d{i}.example"} for i in range(8)]
+    # A long notice on one line is grouped as well.
+    notice = "Ten serwis jest chwilowo niedostępny z powodu prac technicznych i wróci, gdy tylko je zakończymy, " * 5
+    rows += [{"content": notice, "domain": f"e{i}.example"} for i in range(8)]
+    # Said on 200 articles of 40 sites and alone on 8 pages: only few of its pages are bare.
+    rows += [{"content": f"Napisz do nas jeszcze dzisiaj\n{EN.replace('river', f'r{i}')}\n{ES.replace('club', f'c{i}')}", "domain": f"f{i % 40}.example"} for i in range(200)]
+    rows += [{"content": "Napisz do nas jeszcze dzisiaj", "domain": f"f{i}.example"} for i in range(8)]
+    # One article on ten sites, with a common status.
+    rows += [{"content": f"{EN}\n{EN.replace('river', 'lake')}\n{EN.replace('river', 'hill')}", "domain": f"g{i}.example"} for i in range(10)]
+    pages = table(spark, rows)
+    assert {r[0] for r in screen.residue_pages(screen.page_facts(pages)).collect()} == set(range(16))
+    # Sent with an error status, the same text is a message.
+    from pyspark.sql import functions as F
+
+    failed = pages.withColumn("status_code", F.when(F.col("domain").startswith("g"), 503).otherwise(200))
+    assert {r[0] for r in screen.residue_pages(screen.page_facts(failed)).collect()} == {*range(16), *range(224, 234)}
+
+
+def test_filler_words_are_learned():
+    import random
+
+    rng = random.Random(2)
+    made = [f"{a}{b}" for a in ("cam", "lum", "ver", "nox") for b in ("i", "us", "em", "ae", "ora")]
+    known = sorted(notices.FILLER_WORDS)
+    lines = [" ".join(rng.choice(made if rng.random() < 0.8 else known) for _ in range(20)) for _ in range(60)]
+    learned = notices.learn_filler([*lines, *[EN] * 50, *["cheap boots lamps sale shoes red blue green"] * 50])
+    assert set(made) <= learned and not {"boots", "river"} & learned
+    assert notices.message(" ".join(made), learned) == "filler" and notices.message(" ".join(made)) == ""
+
+
+def test_messages_of_any_length():
+    assert notices.message("The page you are looking for is gone. " * 40) == "error"
+    assert notices.message(f"{EN} {EN} It said that the page you are looking for may have been moved.") == ""
+
+
 def test_masks_and_messages():
     assert notices.mask("Error 404 (ref. 9ab) at https://x.example/1 on 2024-01-02 10:00") == "error 0 at <a> on <d> <d>"
     assert notices.message("Interner Serverfehler") == "error" and notices.message(EN) == ""

@@ -22,7 +22,7 @@ def _pages(spark, root, *columns):
 
 def _facts(spark, root):
     """Small rows on each page; written once, as several steps read them."""
-    return materialize(screen.page_facts(spread(_pages(spark, root, "page_id", "domain", "title", "content"))))
+    return materialize(screen.page_facts(spread(_pages(spark, root, "page_id", "domain", "title", "content", "status_code"))))
 
 
 def p1_found(spark, root):
@@ -35,7 +35,7 @@ def p2_found(spark, root):
 
 
 def _languages(spark, root):
-    pages = _pages(spark, root, "page_id", "domain", "title", "content", "language")
+    pages = _pages(spark, root, "page_id", "domain", "title", "content", "language", "status_code")
     model = language.train(language.sample_pages(pages))
     return materialize(screen.page_facts(spread(pages), extra=language.batch_labeller(model), extra_type=language.LINES))
 
@@ -82,7 +82,7 @@ def p5_cleaned(spark, root):
 
 
 def p6_lines(spark, root):
-    pages = _pages(spark, root, "page_id", "domain", "title", "content")
+    pages = _pages(spark, root, "page_id", "domain", "title", "content", "status_code")
     model = dom.train(dom.sample_contents(pages))
     facts = materialize(screen.page_facts(spread(pages), extra=dom.batch_marginals(model), extra_type=dom.LINES))
     return dom.furniture_lines(facts, screen.excluded(facts))
