@@ -156,3 +156,27 @@ def test_calibrated_model_orders():
     m = repeats.train(texts)
     p = m.probability(np.array([repeats.features(t) for t in texts]))
     assert p[:60].max() < p[60:].min()
+
+
+def test_run_numbers_are_exact():
+    rng = random.Random(6)
+    codes = np.array([rng.randrange(2) for _ in range(3000)])
+    h = repeats._runs(codes)
+    by = {}
+    for i in range(len(codes) - repeats.RUN + 1):
+        by.setdefault(tuple(codes[i : i + repeats.RUN]), set()).add(int(h[i]))
+    assert all(len(v) == 1 for v in by.values()) and len({min(v) for v in by.values()}) == len(by)
+
+
+def test_model_against_the_exact_share():
+    """Held-out texts: what the model decides alone agrees with the measure; a sample of one kind decides nothing."""
+    rng = np.random.default_rng(9)
+    plain = [" ".join(f"word{rng.integers(400)}" for _ in range(rng.integers(40, 200))) + "." for _ in range(300)]
+    m = repeats.train(plain[:150])
+    held = [repeats.said_again(t, rng) for t in plain[150:]]
+    p = m.probability(np.array([repeats.features(t) for t in held]))
+    y = np.array([repeats.repeated_share(t) >= repeats.SHARE for t in held])
+    assert 0.2 < y.mean() < 0.8 and ((p >= 0.5) == y).mean() > 0.9
+    assert not (y & (p < 1 - repeats.SURE)).any() and not (~y & (p > repeats.SURE)).any()
+    for texts in ([], ["a b"], [""]):
+        assert repeats.train(texts).probability(np.zeros((1, repeats.N_FEATURES)))[0] == 0.5

@@ -1,38 +1,46 @@
 """Repeated content inside one document.
 
 The share of a document's words that lie in a sentence, a line or a run of ``RUN`` words that stood earlier in
-it, without regard to case, punctuation and numbers.
-
-``repetitive`` scores every document with a logistic regression over hashed word and character n-grams: the
-hashes of a document's n-grams of several lengths are counted, and the shares that recur, by length, are the
-features. It is trained on a bounded sample of rows (``TRAIN_ROWS``) labelled by the exact measure, calibrated
-by Platt scaling on rows held out from the fit, and run in Arrow batches. Documents above a fixed, low
-probability then get the exact measure, which decides.
-
-NULL, empty and blank texts have share 0. Every text is read as a whole, whatever its length.
+it, without regard to case, punctuation and numbers. ``repeated_share`` measures it exactly.
+
+``repetitive`` decides by a logistic regression over hashed word and character n-grams. The value of an n-gram is
+how often it stands again in the document, as a share of all n-grams of its length; n-grams are hashed to
+``BUCKETS`` features for each length. The model is trained on a bounded sample of texts (``TRAIN_ROWS``) and on
+texts made from them by saying parts again, in shares from none to nearly all, so that both labels and the ground
+between them are always there; labels are whether the exact share reaches ``SHARE``, as the data has no other. It is
+calibrated by Platt scaling on texts held out from the fit, and run in Arrow batches against two fixed thresholds:
+documents above ``SURE`` are cases and those below ``1 - SURE`` are none. For the doubtful ones between them the
+exact check follows.
+
+NULL, empty and blank texts have share 0 and are no cases. Every text is read as a whole, whatever its length.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import sample
+
 RUN = 10
 SHARE = 0.4
-TRAIN_ROWS = 3000
-#: Longest text that may serve for training; it bounds what the sample takes on the driver.
-TRAIN_CHARS = 20_000
-#: Calibrated probability from which a document is measured exactly.
-CANDIDATE = 0.02
+TRAIN_ROWS = 2000
+#: Calibrated probability from which, and below whose complement, the model decides alone.
+SURE = 0.98
 
-WORD_ORDERS = (1, 3, 5, 8)
+WORD_ORDERS = (1, 2, 3, 5, 10)
 CHAR_ORDERS = (16,)
-N_FEATURES = 2 * (len(WORD_ORDERS) + len(CHAR_ORDERS)) + 2
+#: Ridge penalty, so large that a length of n-gram weighs about the same in all its buckets.
+RIDGE = 1e-2
+#: Features for each length of n-gram.
+BUCKETS = 32
+N_FEATURES = BUCKETS * (len(WORD_ORDERS) + len(CHAR_ORDERS))
 
 _WORD = re.compile(r"[\d_]*[^\W\d_]\w*")
 _LINE = re.compile(r"[\r\n  \u0085]+")
@@ -76,8 +84,7 @@ def repeated_share(text: str | None) -> float:
     if n > RUN:
         ids: dict[str, int] = {}
         codes = np.fromiter((ids.setdefault(w, len(ids)) for w in words), "int64", n)
-        _, h = np.unique(np.lib.stride_tricks.sliding_window_view(codes, RUN), axis=0, return_inverse=True)
-        h = h.reshape(-1)
+        h = _runs(codes)
         order = np.argsort(h, kind="stable")
         again = order[1:][h[order][1:] == h[order][:-1]]
         np.add.at(repeated, again, 1)
@@ -85,38 +92,47 @@ def repeated_share(text: str | None) -> float:
     return float((np.cumsum(repeated[:-1]) > 0).sum()) / n
 
 
+def _runs(codes: np.ndarray) -> np.ndarray:
+    """A number for each run of RUN codes, equal for equal runs only, by doubling; memory is a few numbers a code."""
+    rank, length = codes, 1
+    while length < RUN:
+        step = min(length, RUN - length)
+        pairs = rank[: len(rank) - step] * (int(rank.max()) + 1) + rank[step:]
+        rank, length = np.unique(pairs, return_inverse=True)[1].reshape(-1).astype("int64"), length + step
+    return rank
+
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(29)
 
 
-def _ngram_shares(codes: np.ndarray, orders: tuple[int, ...]) -> list[float]:
-    """For each order: share of n-grams whose hash stood earlier, and share of the most frequent hash."""
-    out: list[float] = []
+def _repeated_ngrams(codes: np.ndarray, orders: tuple[int, ...]) -> list[np.ndarray]:
+    """For each order: how often n-grams of each bucket stand again, as a share of all."""
+    out = []
     for n in orders:
         m = len(codes) - n + 1
         if m <= 1:
-            out += [0.0, 0.0]
+            out.append(np.zeros(BUCKETS))
             continue
         h = np.zeros(m, "uint64")
         for k in range(n):
             h = h * _MULT + codes[k : k + m]
-            h ^= h >> np.uint64(29)
+            h ^= h >> _SHIFT
         h.sort()
-        new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        runs = np.diff(np.append(new, m))
-        out += [1.0 - len(new) / m, float(runs.max()) / m]
+        again = h[1:][h[1:] == h[:-1]]
+        # Scaled so that the mean over the buckets is the share of all repeated n-grams.
+        out.append(np.bincount((again % np.uint64(BUCKETS)).astype("int64"), minlength=BUCKETS) * (BUCKETS / m))
     return out
 
 
 def features(text: str | None) -> np.ndarray:
-    """Feature row of one document."""
-    low = (text or "").lower()
-    words = _WORD.findall(low)
+    """Hashed n-gram features of one document. Words count by their own hash, so a bucket means the same everywhere."""
+    words = _WORD.findall((text or "").lower())
     ids: dict[str, int] = {}
-    codes = np.fromiter((ids.setdefault(w, len(ids) + 1) for w in words), "uint64", len(words))
+    at = np.fromiter((ids.setdefault(w, len(ids)) for w in words), "int64", len(words))
+    codes = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in ids), "uint64", len(ids))
     flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "uint32")
-    row = _ngram_shares(codes, WORD_ORDERS) + _ngram_shares(flat.astype("uint64"), CHAR_ORDERS)
-    row += [np.log1p(len(words)) / 10, len(ids) / max(1, len(words))]
-    return np.array(row)
+    return np.concatenate(_repeated_ngrams(codes[at] if len(at) else codes, WORD_ORDERS) + _repeated_ngrams(flat.astype("uint64"), CHAR_ORDERS))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 50) -> np.ndarray:
@@ -145,14 +161,41 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -30, 30)))
 
 
-def train(texts: list[str]) -> Model | None:
-    """None when the sample holds too few rows of either kind; then every document is measured exactly."""
+def said_again(text: str, rng: np.random.Generator) -> str:
+    """The text with some of its sentences, lines or words said again, in a share from none to nearly all."""
+    kind, wanted = int(rng.integers(4)), float(rng.uniform(0, 0.9))
+    parts = [x for x in (_SENTENCE.split(text.replace("\n", " ")), text.split("\n"), text.split(), text.split())[kind] if x and x.strip()]
+    glue = ("  ", "\n", " ", " ")[kind]
+    if not parts:
+        return text
+    size = int(rng.integers(RUN, 3 * RUN)) if kind == 2 else int(rng.integers(1, 4))
+    out, again = list(parts), 0
+    if kind == 3:
+        # One word over and over.
+        again = int(wanted * len(parts) / (1 - wanted))
+        return glue.join([*out, *[out[int(rng.integers(len(out)))]] * again])
+    while again < wanted * (len(parts) + again) and again < 20 * len(parts):
+        a = int(rng.integers(len(parts)))
+        piece = parts[a : a + size]
+        if kind == 1 or rng.random() < 0.5:
+            out += piece
+        else:
+            cut = int(rng.integers(len(out) + 1))
+            out[cut:cut] = piece
+        again += len(piece)
+    return glue.join(out)
+
+
+def train(texts: list[str], seed: int = 5) -> Model:
+    """Model from texts and as many made from them. Where only one label can be had, every document is doubtful."""
+    rng = np.random.default_rng(seed)
+    texts = texts + [said_again(t, rng) for t in texts]
     x = np.array([features(t) for t in texts]).reshape(-1, N_FEATURES)
     y = np.array([repeated_share(t) >= SHARE for t in texts], float)
-    if min(y.sum(), len(y) - y.sum()) < 8:
-        return None
-    fit = np.arange(len(y)) % 3 != 0
-    w = fit_logistic(x[fit], y[fit])
+    fit = rng.random(len(y)) < 0.67
+    if not 0 < y[fit].sum() < fit.sum() or not 0 < y[~fit].sum() < (~fit).sum():
+        return Model(np.zeros(N_FEATURES + 1), 1.0, 0.0)
+    w = fit_logistic(x[fit], y[fit], l2=RIDGE)
     z = x[~fit] @ w[:-1] + w[-1]
     # Platt's targets keep the probabilities inside (0, 1).
     pos, neg = y[~fit].sum(), (1 - y[~fit]).sum()
@@ -161,17 +204,6 @@ def train(texts: list[str]) -> Model | None:
     return Model(w, max(float(slope), 1e-3), float(offset))
 
 
-def sample_texts(docs: DataFrame, id_col: str, text_col: str, rows: int) -> list[str]:
-    """At most ``rows`` non-empty texts, chosen by the hash of their id."""
-    fit = F.length(text_col).between(1, TRAIN_CHARS)
-    n = docs.where(fit).count()
-    if not n:
-        return []
-    parts = max(1, -(-n // rows))
-    picked = docs.where(fit & (F.pmod(F.xxhash64(id_col), F.lit(parts)) == 0))
-    return [r[0] for r in picked.select(text_col).limit(2 * rows).collect()]
-
-
 def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, share double) of every document, exact."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -189,20 +221,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repetitive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """(doc_id, probability, share) of the documents with a share of at least ``SHARE``."""
+    """(doc_id, probability, share) of the repetitive documents; share, the exact measure, is given for the doubtful ones."""
     kind = docs.schema[id_col].dataType.simpleString()
-    model = model or train(sample_texts(docs, id_col, text_col, TRAIN_ROWS))
+    model = model or train([r[0] for r in sample(docs, id_col, TRAIN_ROWS, text_col)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[pdf["t"].notna() & (pdf["t"] != "")]
-            if not len(pdf):
-                continue
-            p = model.probability(np.array([features(t) for t in pdf["t"]])) if model else np.ones(len(pdf))
-            pdf, p = pdf[p >= CANDIDATE], p[p >= CANDIDATE]
-            s = np.array([repeated_share(t) for t in pdf["t"]])
-            keep = s >= SHARE
-            yield pd.DataFrame({"i": pdf["i"][keep], "probability": p[keep], "share": s[keep]})
+            p = model.probability(np.array([features(t) for t in pdf["t"]]).reshape(-1, N_FEATURES))
+            share = [repeated_share(t) if 1 - SURE <= q <= SURE else None for t, q in zip(pdf["t"], p)]
+            keep = [q > SURE if s is None else s >= SHARE for s, q in zip(share, p)]
+            yield pd.DataFrame({"i": pdf["i"], "probability": p, "share": pd.array(share, "Float64")})[keep]
 
-    out = _keyed(docs, id_col, text_col).mapInPandas(run, "i string, probability double, share double")
+    out = _keyed(docs, id_col, text_col).where("t <> ''").mapInPandas(run, "i string, probability double, share double")
     return out.select(F.col("i").cast(kind).alias(id_col), "probability", "share")
