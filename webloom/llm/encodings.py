@@ -174,32 +174,49 @@ class Repairer:
                 out += [text[at:a], f]
                 at = b
             text = "".join(out) + text[at:]
-            if not SUSPECT.search(text):
+            if not suspicious(text):
                 break
         return text, first or []
 
 
 _ALL = Repairer()
-#: Sequences that no sound text of the seven languages holds; a quick test before any repair.
-SUSPECT = re.compile(
-    "[\u0080-\u009f\ufffd"
-    "\u2500-\u257fΓ√∩≈"  # drawings and mathematics of cp437 and mac-roman
-    "ĂăĹĺЂ-Џђ-џҐґ]"
-    "|[ÃÂÐÑÅÄÎÏ][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
-    "|‚[Ä-ÿ]|â[\u0080-¿€‚]|[À-ÿ]{4}|[РС][^\\sа-яёА-ЯЁ\\x00-\\x7f]|[а-яё][А-ЯЁ]{2}|[А-ЯЁ]{4}"
-)
+# Sequences that no sound text of the seven languages holds, by the characters that they need.
+_ALWAYS = frozenset(map(chr, [*range(0x80, 0xA0), 0xFFFD, *range(0x2500, 0x2580), *range(0x402, 0x410), *range(0x452, 0x460)])) | frozenset("Γ√∩≈ĂăĹĺҐґ")
+_LEADS = frozenset("ÃÂÐÑÅÄÎÏ‚â")
+_AFTER_LEAD = re.compile("[ÃÂÐÑÅÄÎÏ][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|‚[Ä-ÿ]|â[\u0080-¿€‚]")
+_HIGH_RUN = re.compile("[À-ÿ]{4}")
+_CAPITALS = frozenset("АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
+_TURNED_RU = re.compile("[РС][^\\sа-яёА-ЯЁ\\x00-\\x7f]|[а-яё][А-ЯЁ]{2}|[А-ЯЁ]{4}")
+#: A letter next to one of a script that is not mixed with it: what an encoding outside the known ones leaves.
+_FAR = re.compile("[A-Za-zÀ-ſ][Ͱ-Ͽ\u0530-\u1dff\u2e80-\ud7ff]")
+
+
+def suspicious(text: str) -> bool:
+    """A quick test before any repair; it looks for a sequence only where the text has the characters for it."""
+    if text.isascii():
+        return False
+    chars = set(text)
+    if not chars.isdisjoint(_ALWAYS):
+        return True
+    if not chars.isdisjoint(_LEADS) and _AFTER_LEAD.search(text):
+        return True
+    if not chars.isdisjoint(_CAPITALS) and _TURNED_RU.search(text):
+        return True
+    return _HIGH_RUN.search(text) is not None or max(chars) >= "\u0370" and _FAR.search(text) is not None
+
+
 REPLACED = "\ufffd"
 _OPEN, _CLOSE = set("“«„\"'‘(‹`["), set("”»“\"'’)›`]")
 
 
 def untangle(text: str) -> str:
     """Text with every recognised garbled run restored; sound text comes back as it is."""
-    return _ALL.fix(text)[0] if SUSPECT.search(text) else text
+    return _ALL.fix(text)[0] if suspicious(text) else text
 
 
 def garbled_spans(text: str, repairer: Repairer) -> list[tuple[int, int]]:
     """Spans of garbled runs, those that a sound text quotes as an example left out."""
-    if not SUSPECT.search(text):
+    if not suspicious(text):
         return []
     spans = repairer.fix(text)[1]
     spans += [m.span() for m in re.finditer(REPLACED + "+", text)]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import materialize
-from .encodings import REPLACED, SUSPECT, TRANSFORMS, Repairer, explain, garbled_spans, untangle
+from .encodings import REPLACED, TRANSFORMS, Repairer, explain, garbled_spans, suspicious, untangle
 
 #: A transformation goes before the others when this many distinct twin pairs support it.
 MIN_SUPPORT = 2
@@ -49,9 +49,8 @@ def suspects(pages: DataFrame, key: str = "page_id") -> DataFrame:
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        search = SUSPECT.search
         for pdf in batches:
-            out = [(i, field, v) for field in ("content", "title") for i, v in zip(pdf["k"], pdf[field]) if v and not v.isascii() and search(v)]
+            out = [(i, field, v) for field in ("content", "title") for i, v in zip(pdf["k"], pdf[field]) if v and suspicious(v)]
             yield pd.DataFrame(out, columns=["k", "field", "value"])
 
     # Keys pass through Python as text: a NULL among integers would turn the others into floats.
@@ -64,7 +63,7 @@ def _odd_lines(values: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lines = [x for v in pdf["value"] for x in v.split("\n") if SUSPECT.search(x) and len(_PLAIN.findall(x)) >= MIN_REST]
+            lines = [x for v in pdf["value"] for x in v.split("\n") if suspicious(x) and len(_PLAIN.findall(x)) >= MIN_REST]
             yield pd.DataFrame({"h": [_rest_hash(x) for x in lines], "r": pd.Series(lines, dtype="object")})
 
     return values.mapInPandas(run, "h bigint, r string").distinct()
@@ -94,7 +93,7 @@ def _clean_lines(pages: DataFrame, bitmap: np.ndarray) -> DataFrame:
                     hashes += map(_rest_hash, found)
             h = np.array(hashes, "int64")
             hit = np.flatnonzero((bitmap[(h & mask) >> 6] >> (h & 63)) & 1)
-            keep = [i for i in hit if not SUSPECT.search(lines[i]) and len(_PLAIN.findall(lines[i])) >= MIN_REST]
+            keep = [i for i in hit if not suspicious(lines[i]) and len(_PLAIN.findall(lines[i])) >= MIN_REST]
             yield pd.DataFrame({"h": h[keep], "r": pd.Series([lines[i] for i in keep], dtype="object")})
 
     return pages.select("content", "title").mapInPandas(run, "h bigint, r string")
