@@ -279,10 +279,40 @@ def test_kinds_of_lines():
     assert furniture.page_lines(None) == [] and len(furniture.page_lines("a\n\n b ")) == 3
 
 
+def pages_of_sites(n):
+    """Articles of several sites: (domain, title, lines)."""
+    out = []
+    for i in range(n):
+        town = ("Norby", "Tarwick", "Oswick", "Halby", "Senby", "Marby")[i % 6] + "fgh"[i % 3]
+        town += "".join("abcdefghij"[int(d)] for d in str(i))
+        site = f"velby{i % 5}"
+        text = ARTICLE.replace("The new gate – Velby", f"The gate {i} – {town}").replace("The old gate – Norby", f"Old {i} – {town}").replace("The lamp – Oswick", f"Lamp {i} – {town}")
+        text = text.replace("Ann Tarwick", f"Ann {town}").replace("river", town.lower()).replace("© Velby", f"© {site.title()}")
+        out.append((f"{site}.example", f"The gate {i} – {town}", furniture.page_lines(text)))
+    return out
+
+
 @pytest.fixture(scope="module")
 def tree():
-    variants = [ARTICLE.replace("Velby", w).replace("river", w.lower()) for w in ("Norby", "Tarwick", "Oswick", "Halby", "Senby", "Marby") * 8]
-    return dom.train(variants + [f"{EN}\n{EN}"] * 10)
+    return dom.train(pages_of_sites(80) + [("x.example", "t", [EN, ES, DE])] * 5, {})
+
+
+def test_trees_of_pages():
+    t = dom.page_tree(["A | B | C", "", "Heading", EN, "Things:", "- one", "- two", "2) three", "Next"], "Heading")
+    lines = ["A | B | C", "Heading", EN, "Things:", "- one", "- two", "2) three", "Next"]
+    assert t.texts == lines and [t.edge[i] for i in t.line] == [dom.ROOT, dom.NEXT, dom.BLOCK, dom.BLOCK, dom.ITEM, dom.ITEM, dom.ITEM, dom.NEXT]
+    parents = {lines[k]: (t.texts[t.line.index(t.parent[i])] if t.parent[i] >= 0 else None) for k, i in enumerate(t.line)}
+    assert parents == {"A | B | C": None, "Heading": "A | B | C", EN: "Heading", "Things:": "Heading", "- one": "Things:", "- two": "Things:", "2) three": "Things:", "Next": "Heading"}
+    assert [t.parent[i] for i in range(len(t.parent)) if t.edge[i] == dom.ENTRY] == [0, 0, 0]
+    assert dom.page_tree([], "").parent == dom.page_tree(["", ""], None).parent == []
+    assert dom.site_name("www.velby0.example") == "velby0" and dom.site_name("", "https://docs.velby-shop.test/x") == "velby-shop" and dom.site_name(None, None) == ""
+
+
+def test_labels_come_from_repetition():
+    pages = pages_of_sites(60)
+    labels = dom.Labels(pages, {})
+    got = [dom.STATES[i] for i in labels.states(*pages[0])]
+    assert got == ["return", "title", "byline", "text", "text", "return", "head", "point", "point", "return"]
 
 
 def test_marginals_are_exact(tree):
@@ -290,22 +320,44 @@ def test_marginals_are_exact(tree):
 
     import numpy as np
 
-    lines = ["News | Home | Contact | Search", "The new gate – Velby", EN]
-    u = [tree.unary(s) for s in lines]
-    z = np.zeros((3, dom.K))
-    for path in itertools.product(range(dom.K), repeat=3):
-        w = tree.start[path[0]] + tree.end[path[-1]] + sum(u[i][s] for i, s in enumerate(path)) + sum(tree.chain[a, b] for a, b in zip(path, path[1:]))
+    t = dom.page_tree(["News | Home | Contact", "The gate 3 – Halbyfd", EN, "- one"], "x")
+    u = tree.unary([t])[0]
+    n = len(t.parent)
+    z, top = np.zeros((n, dom.K)), None
+    # A few states only, so that all paths can be tried.
+    some = range(3)
+    small = dom.TreeModel()
+    small.node, small.pair = tree.node, np.full_like(tree.pair, -50.0)
+    small.pair[:, :3, :3] = tree.pair[:, :3, :3]
+    small.pair[dom.ROOT, 0, :3] = tree.pair[dom.ROOT, 0, :3]
+    for path in itertools.product(some, repeat=n):
+        w = sum(u[i][s] for i, s in enumerate(path)) + sum(small.pair[dom.ROOT, 0, s] if t.parent[i] < 0 else small.pair[t.edge[i], path[t.parent[i]], s] for i, s in enumerate(path))
         for i, s in enumerate(path):
             z[i, s] += np.exp(w)
-    want = z[:, : dom.MAIN].sum(1) / z.sum(1)
-    assert tree.marginals([lines])[0] == pytest.approx(want, abs=1e-9)
-    assert [len(m) for m in tree.marginals([[], lines, lines[:1]])] == [0, 3, 1]
+    want = z / z.sum(1, keepdims=True)
+    assert np.allclose(small.beliefs([t])[0], want, atol=1e-6)
+    b, both, _, _ = small.beliefs([t, dom.page_tree([EN], "")], pairs=True)
+    for i, p in enumerate(t.parent):
+        if p >= 0:
+            assert np.allclose(both[i].sum(0), b[i], atol=1e-6) and np.allclose(both[i].sum(1), b[p], atol=1e-6)
+    assert [len(m) for m in tree.marginals([dom.page_tree([], ""), t])] == [0, 4]
 
 
 def test_main_body(spark, tree):
-    pages = table(spark, [{"content": ARTICLE}, {"content": f"\n{EN}\n"}, {"content": None}, {"content": " \n "}])
+    lines = pages_of_sites(91)[90]
+    pages = table(spark, [{"content": "\n".join(lines[2]), "title": lines[1], "domain": lines[0]}, {"content": f"\n{EN}\n"}, {"content": None}, {"content": " \n "}])
     facts = screen.page_facts(pages, extra=dom.batch_marginals(tree), extra_type=dom.LINES)
-    lines = dom.furniture_lines(facts, screen.residue_pages(facts)).cache()
-    assert sorted((r["page_id"], r["line_no"]) for r in lines.collect()) == [(0, i) for i in (0, 2, 5, 6, 7, 8, 9)]
-    body = {r["page_id"]: r["main"] for r in dom.main_bodies(pages, lines).collect()}
-    assert body[0].split("\n") == [ARTICLE.split("\n")[i] for i in (1, 3, 4)] and body[1] == f"\n{EN}\n" and body[2] is None
+    found = dom.furniture_lines(facts, screen.residue_pages(facts)).cache()
+    assert sorted((r["page_id"], r["line_no"]) for r in found.collect()) == [(0, i) for i in (0, 2, 5, 6, 7, 8, 9)]
+    body = {r["page_id"]: r["main"] for r in dom.main_bodies(pages, found).collect()}
+    assert body[0].split("\n") == [lines[2][i] for i in (1, 3, 4)] and body[1] == f"\n{EN}\n" and body[2] is None
+
+
+def test_returns_are_counted_over_all_pages(spark):
+    rows = [{"content": f"Menu  line\nown {i}", "url": f"u{i % 4}", "domain": "a.example"} for i in range(9)] + [{"content": "Menu line", "domain": "b.example"}, {"content": None}]
+    pages = table(spark, rows)
+    picked = pages.where("page_id < 2").select("domain", "title", "content").collect()
+    assert dom.site_urls(pages, picked) == {("a.example", "Menu line"): 4}
+    assert dom.site_urls(pages, []) == {}
+    model = dom.learn(pages.limit(0))
+    assert model.marginals([dom.page_tree(["x"], "")])[0].shape == (1,)

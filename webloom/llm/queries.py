@@ -82,9 +82,8 @@ def p5_cleaned(spark, root):
 
 
 def p6_lines(spark, root):
-    pages = _pages(spark, root, "page_id", "domain", "title", "content", "status_code")
-    model = dom.train(dom.sample_contents(pages))
-    facts = materialize(screen.page_facts(spread(pages), extra=dom.batch_marginals(model), extra_type=dom.LINES))
+    pages = _pages(spark, root, "page_id", "domain", "url", "title", "content", "status_code")
+    facts = materialize(screen.page_facts(spread(pages), extra=dom.batch_marginals(dom.learn(pages)), extra_type=dom.LINES))
     return dom.furniture_lines(facts, screen.excluded(facts))
 
 
