@@ -16,6 +16,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import numpy as np
+
 # Encodings in which web pages are read by mistake, and those they are written in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp437", "mac-roman", "cp1251", "koi8-r", "cp866")
 SINGLE = (("cp1251", "cp1252"), ("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("koi8-r", "cp1252"), ("cp866", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "cp866"))
@@ -184,7 +186,16 @@ _ALL = Repairer()
 _ALWAYS = frozenset(map(chr, [*range(0x80, 0xA0), 0xFFFD, *range(0x2500, 0x2580), *range(0x402, 0x410), *range(0x452, 0x460)])) | frozenset("Γ√∩≈ĂăĹĺҐґ")
 _LEADS = frozenset("ÃÂÐÑÅÄÎÏ‚â")
 _AFTER_LEAD = re.compile("[ÃÂÐÑÅÄÎÏ][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|‚[Ä-ÿ]|â[\u0080-¿€‚]")
-_HIGH_RUN = re.compile("[À-ÿ]{4}")
+#: Characters next to which nothing is odd: all but those of scripts that aren't mixed with Latin.
+_USUAL = frozenset(map(chr, [*range(0x370), *range(0x400, 0x530), *range(0x1E00, 0x2E80)]))
+
+
+def _high_run(text: str) -> bool:
+    """Four letters of the upper half of Latin-1 in a row."""
+    high = np.frombuffer(text.encode("latin-1", "replace"), "uint8") >= 0xC0
+    return len(high) > 3 and bool((high[:-3] & high[1:-2] & high[2:-1] & high[3:]).any())
+
+
 _CAPITALS = frozenset("АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 _TURNED_RU = re.compile("[РС][^\\sа-яёА-ЯЁ\\x00-\\x7f]|[а-яё][А-ЯЁ]{2}|[А-ЯЁ]{4}")
 #: A letter next to one of a script that is not mixed with it: what an encoding outside the known ones leaves.
@@ -202,7 +213,7 @@ def suspicious(text: str) -> bool:
         return True
     if not chars.isdisjoint(_CAPITALS) and _TURNED_RU.search(text):
         return True
-    return _HIGH_RUN.search(text) is not None or max(chars) >= "\u0370" and _FAR.search(text) is not None
+    return _high_run(text) or not chars <= _USUAL and _FAR.search(text) is not None
 
 
 REPLACED = "\ufffd"

@@ -134,6 +134,15 @@ def kind(s: str) -> str:
 _BY_FIRST = frozenset("BPVDАTF")
 
 
+def ends_sentence(s: str, marks: str = ".!?…;:") -> bool:
+    """Is the last character, closing quotes and brackets aside, one of ``marks``?"""
+    return s.rstrip("\"'”’»“)]")[-1:] in marks if s else False
+
+
+def has_digit(s: str) -> bool:
+    return any(map(s.__contains__, "0123456789"))
+
+
 def headline_like(s: str) -> bool:
     """Short, and not a sentence."""
     return 0 < len(s) <= 170 and not _SENTENCE_END.search(s)

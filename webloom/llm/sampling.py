@@ -1,7 +1,11 @@
-"""Bounded samples on which models are fitted; everything else in this package covers all rows."""
+"""Bounded samples on which models are fitted (everything else in this package covers all rows), and Arrow lists."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -20,3 +24,8 @@ def sample(df: DataFrame, key: str, rows: int, *columns: str, text: str | None =
     if strings:
         picked = picked.where(F.length(text or strings[-1]).between(1, TRAIN_CHARS))
     return picked.select(*columns).limit(2 * rows).collect()
+
+
+def lists(counts: Sequence[int], values: pa.Array) -> pa.ListArray:
+    """Column of lists of these lengths over all their values."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), "int32"), values)
