@@ -247,6 +247,42 @@ def test_lines_and_spans(model):
     assert {s[2] for s in got[4][2]} == {"en", "de"} and got[5][0] == "en"
     assert all(0 <= g[1] <= 1 for g in got)
     assert language.Labeller(model).lines([]) == []
+    (x, y, _, c), *rest = got[4][2]
+    assert x == 0 and rest[-1][1] == len(f"{EN} {DE}".split()) and all(0.5 < s[3] <= 1 for s in got[4][2]) and abs(y - len(EN.split())) <= 3
+
+
+FAR = {
+    "zh": "市立图书馆在三楼开设了一间安静的阅览室，许多居民感到十分惊讶，港口办公室在中午之前粉刷了旧大门，" * 3,
+    "ja": "市立図書館は三階に静かな閲覧室を開き、多くの人々を驚かせました。港の事務所は正午までに古い門を塗りました。" * 3,
+    "el": "Η δημοτική βιβλιοθήκη άνοιξε μια νέα αίθουσα ανάγνωσης στον τρίτο όροφο κοντά στο παλιό λιμάνι της πόλης",
+    "ar": "افتتحت المكتبة البلدية قاعة قراءة جديدة في الطابق الثالث من المبنى القديم بالقرب من الميناء القديم للمدينة",
+    "und": "Gemeentelijke bibliotheek heeft onlangs een nieuwe leeszaal geopend bovenop het oude gebouw vlakbij jullie haven",
+}
+
+
+def test_other_languages_are_not_forced_into_the_seven(spark, model):
+    got = language.Labeller(model).lines([*FAR.values(), f"{EN} {FAR['el']}"])
+    assert [g[0] for g in got[:5]] == list(FAR) and [s[2] for s in got[5][2]] == ["en", "el"]
+    labels = ["zh-TW", "ja", "el", "fa", "nl", "en", None]
+    rows = [{"content": t, "language": x} for t, x in zip([*FAR.values(), FAR["el"], FAR["und"]], labels)]
+    facts = screen.page_facts(table(spark, rows), extra=language.batch_labeller(model), extra_type=language.LINES).cache()
+    assert [(r["page_id"], r["language"]) for r in language.wrong_labels(facts, screen.residue_pages(facts)).collect()] == [(5, "el")]
+    lines = {r["page_id"]: r["language"] for r in language.line_languages(facts).collect()}
+    assert lines == {0: "zh", 1: "ja", 2: "el", 3: "fa", 4: "und", 5: "el", 6: "und"}
+
+
+def test_segments_of_mixed_lines(spark, model):
+    pages = table(spark, [{"content": f"x\n{EN} {DE}"}, {"content": ES}, {"content": None}])
+    facts = screen.page_facts(pages, extra=language.batch_labeller(model), extra_type=language.LINES)
+    got = sorted(tuple(r)[:5] for r in language.line_segments(facts).collect())
+    assert [(g[0], g[1], g[4]) for g in got] == [(0, 1, "en"), (0, 1, "de"), (1, 0, "es")]
+    assert got[0][3] == got[1][2] and got[1][3] == len(f"{EN} {DE}".split()) and got[2][2:4] == (0, len(ES.split()))
+
+
+def test_lines_of_the_site_make_no_mixed_page(spark, model):
+    rows = [{"content": f"{EN.replace('river', f'r{i}')}\n{DE}", "domain": "a.example"} for i in range(2)] + [{"content": f"{EN}\n{ES}", "domain": "a.example"}]
+    facts = screen.page_facts(table(spark, rows), extra=language.batch_labeller(model), extra_type=language.LINES).cache()
+    assert {r["page_id"] for r in language.wrong_labels(facts, screen.residue_pages(facts)).collect()} == {2}
 
 
 def test_wrong_labels(spark, model):

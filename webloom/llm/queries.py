@@ -58,6 +58,11 @@ def p3_all_lines(spark, root):
     return language.line_languages(_languages(spark, root))
 
 
+def p3_segments(spark, root):
+    """Spans of words in one language of all long lines."""
+    return language.line_segments(_languages(spark, root))
+
+
 def p4_restored(spark, root):
     return garbled.restore(spread(_pages(spark, root, "page_id", "title", "content")))
 
@@ -121,6 +126,7 @@ QUERIES = {
     "p3_lines": p3_lines,
     "p3_pages": p3_pages,
     "p3_all_lines": p3_all_lines,
+    "p3_segments": p3_segments,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
     "p5_found": p5_found,
