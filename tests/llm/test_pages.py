@@ -201,7 +201,7 @@ def test_repeated_lines_against_counts(spark):
     want = {k for k, v in seen.items() if len(v) >= 8}
     found = blocks.repeated_lines(pages)
     assert {tuple(r) for r in found.collect()} == want and ("big.example", "Legal notice") in want
-    cleaned = {r["page_id"]: r["content"] for r in blocks.without_lines(pages, found).collect()}
+    cleaned = {r["page_id"]: r["content"] for r in blocks.without_blocks(pages).collect()}
     assert "Share this" not in cleaned[0] and cleaned[40] == "Share this\nLegal notice" and len(cleaned) == len(rows)
     longest = {len(r["block"]) for r in blocks.repeated_blocks(pages).collect()}
     assert 2 in longest
@@ -232,6 +232,32 @@ def test_long_blocks_count_urls(spark):
     assert sorted(got) == sorted([("a.example", d, 8) for d in range(1, 10) for _ in range(10 - d)] + [("c.example", 1, 8)] * 2)
 
 
+def test_whole_blocks_carry_the_lines(spark):
+    """Lines come out of the longest blocks on as many urls: only those are left, and without blocks nothing is."""
+    rows = [{"domain": "a.example", "url": f"u{i}", "content": "\n".join([f"own {i}", "l", "m", "n", f"end {i}", *(["m"] if i < 3 else [])])} for i in range(9)]
+    rows += [{"domain": "a.example", "url": "u99", "content": "m"}]
+    pages = table(spark, rows)
+    found = blocks.repeated_blocks(pages)
+    whole = sorted((len(r["block"]), r["n"]) for r in blocks.whole_blocks(found).collect())
+    # l-m-n on nine urls, and m alone on ten.
+    assert whole == [(1, 10), (3, 9)] and found.count() == 6
+    assert {r["line"] for r in blocks.repeated_lines(pages).collect()} == {"l", "m", "n"}
+    assert blocks.block_lines(blocks.whole_blocks(found).limit(0)).count() == 0
+    got = {r["page_id"]: r["content"] for r in blocks.without_blocks(pages).collect()}
+    assert got[0] == "own 0\nend 0" and got[9] == ""
+
+
+def test_hot_site_is_split_with_the_same_rows(spark, monkeypatch):
+    from webloom.operators import skew
+
+    rows = [{"domain": "hot.example", "url": f"u{i}", "content": f"foot\nline {i % 7}\nown {i}"} for i in range(120)] + [{"domain": f"d{i % 9}.example", "url": f"v{i}", "content": "foot\nx"} for i in range(90)]
+    pages = table(spark, rows)
+    want = sorted(map(tuple, blocks.repeated_lines(pages).collect()))
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(skew, "HOT_KEYS", 10)
+    assert sorted(map(tuple, blocks.repeated_lines(pages).collect())) == want and len(want) == 8 + 18
+
+
 def test_label_codes():
     assert [language.label_code(x) for x in ("en", "EN", "en-US", "es_AR", "eng", "deu", "und", "xx", "", None, "unknown", "nl")] == ["en", "en", "en", "es", "en", "de", None, None, None, None, None, "nl"]
 
@@ -283,6 +309,10 @@ def test_lines_of_the_site_make_no_mixed_page(spark, model):
     rows = [{"content": f"{EN.replace('river', f'r{i}')}\n{DE}", "domain": "a.example"} for i in range(2)] + [{"content": f"{EN}\n{ES}", "domain": "a.example"}]
     facts = screen.page_facts(table(spark, rows), extra=language.batch_labeller(model), extra_type=language.LINES).cache()
     assert {r["page_id"] for r in language.wrong_labels(facts, screen.residue_pages(facts)).collect()} == {2}
+    # One url crawled twice is one place.
+    again = table(spark, [{"content": f"{EN}\n{EN}\n{DE}", "domain": "a.example", "url": "u"}] * 2)
+    facts = screen.page_facts(again, extra=language.batch_labeller(model), extra_type=language.LINES)
+    assert {r["page_id"] for r in language.wrong_labels(facts.cache(), screen.residue_pages(facts)).collect()} == {0, 1}
 
 
 def test_wrong_labels(spark, model):

@@ -1,13 +1,18 @@
 """Lines and blocks of lines that return on many pages of one site.
 
-A page becomes the list of the ids of its lines. The suffixes of all lists of a site, each as far as its lines
-are repeated ones, form the site's suffix array: equal suffixes are merged with their counts before anything is
-sorted, then the array is range-partitioned by (site, suffix) and sorted, so that a site with a third of all
-pages is spread over many tasks. Neighbours with a common prefix form intervals; an interval whose urls number
+A page becomes the list of the ids of its lines, written once. The suffixes of all lists of a site, each as far as
+its lines are repeated ones, form the site's suffix array: equal suffixes are merged with their counts before
+anything is sorted, then the array is range-partitioned by (site, suffix) and sorted, so that a site with a third of
+all pages is spread over many tasks. Neighbours with a common prefix form intervals; an interval whose urls number
 ``MIN_URLS`` or more is a candidate, however long. An interval that crosses the border of two tasks is completed
 by adding up the parts, as counts of blocks merge. A url with several suffixes in an interval is counted several
 times there, so an exact count of distinct urls follows for all candidates.
 
+``whole_blocks`` are the blocks that no longer block on as many urls contains. Repeated lines are the lines of those
+blocks, and ``without_blocks`` deletes their lines from each document of the site.
+
+Joins on (site, line) leave the rows of hot keys where they are (``split_join``).
+
 Runs of spaces, tabs and no-break spaces count as one space, ends are trimmed, empty lines are left out. Rows
 with a NULL or empty site or NULL content take no part; NULL urls are no urls. Repeated rows change nothing.
 """
@@ -21,11 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import split_join
 from ..sources import materialize
 
 MIN_URLS = 8
-#: Found lines and candidate blocks are broadcast up to this number (about 10 MB), else joined by a shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def squeezed(line: Column) -> Column:
@@ -43,9 +47,9 @@ def _suffixes(listed: DataFrame) -> DataFrame:
     """Distinct (site, u, s): the suffixes of the pages of each url."""
     # A line on fewer than MIN_URLS urls of its site is in no repeated block: the lists are cut there.
     spots = listed.select("site", "u", F.explode(F.array_distinct("ids")).alias("id")).distinct()
-    often = spots.groupBy("site", "id").agg(F.count("*").alias("c")).where(F.col("c") >= MIN_URLS).select("site", "id")
-    numbered = listed.withColumn("p", F.monotonically_increasing_id()).select("site", "u", "p", F.posexplode("ids").alias("at", "id"))
-    kept = numbered.join(often, ["site", "id"]).groupBy("site", "u", "p").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("k"))
+    often = materialize(spots.groupBy("site", "id").agg(F.count("*").alias("c")).where(F.col("c") >= MIN_URLS))
+    numbered = listed.select("site", "u", "p", F.posexplode("ids").alias("at", "id"))
+    kept = split_join(numbered, often, ["site", "id"], "c", "left_semi").groupBy("site", "u", "p").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("k"))
     # Only unbroken stretches count: a suffix ends where the next kept line isn't the next line of the page.
     placed = kept.select("site", "u", "k", F.explode(F.sequence(F.lit(1), F.size("k"))).alias("i"))
     unbroken = F.filter(F.slice("k", F.col("i"), F.size("k")), lambda x, j: x["at"] == F.element_at("k", F.col("i"))["at"] + j)
@@ -87,35 +91,51 @@ def _candidates(suffixes: DataFrame) -> DataFrame:
     parts = ordered.mapInPandas(intervals, "site string, block array<bigint>, n bigint")
     # Only intervals at the ends of a task can have another part; adding up treats all alike.
     whole = parts.groupBy("site", "block").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_URLS)
-    return whole.select("site", "block", F.xxhash64("block").alias("h"))
+    return whole.select("site", "block", F.xxhash64("block").alias("h"), "n")
 
 
 def repeated_blocks(pages: DataFrame, site: str = "domain", url: str = "url", content: str = "content") -> DataFrame:
-    """(site, block array<long>, n): blocks of line ids of any length with the number of different urls they are on."""
-    suffixes = materialize(_suffixes(_listed(pages, site, url, content).where("known")))
+    """(site, block array<long>, h, n): blocks of line ids of any length with the number of different urls they are on."""
+    listed = materialize(_listed(pages, site, url, content).where("known").withColumn("p", F.monotonically_increasing_id()))
+    suffixes = materialize(_suffixes(listed))
     candidates = materialize(_candidates(suffixes))
-    wanted = candidates.select("site", "h")
-    if candidates.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
     prefixes = suffixes.select("site", "u", "s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("d")).select("site", "u", F.xxhash64(F.slice("s", 1, F.col("d"))).alias("h"))
-    exact = prefixes.join(wanted, ["site", "h"], "left_semi").distinct().groupBy("site", "h").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_URLS)
-    return candidates.join(exact, ["site", "h"]).select("site", "block", "n")
+    exact = split_join(prefixes, candidates.select("site", "h", "n"), ["site", "h"], "n", "left_semi").distinct().groupBy("site", "h").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_URLS)
+    return candidates.drop("n").join(exact, ["site", "h"]).select("site", "block", "h", "n")
+
+
+def whole_blocks(blocks: DataFrame) -> DataFrame:
+    """Those of the repeated blocks that are not part of a longer one on the same number of urls."""
+    # A block inside a longer one on as many urls is also the longer one less its first or last line, or inside that.
+    inner = F.array(*[F.xxhash64(F.slice("block", i, F.size("block") - 1)) for i in (1, 2)])
+    covered = blocks.where(F.size("block") > 1).select("site", "n", F.explode(inner).alias("h")).distinct()
+    return blocks.join(covered, ["site", "h", "n"], "left_anti")
+
+
+def block_lines(blocks: DataFrame) -> DataFrame:
+    """(site, id, n): the lines of blocks, with the number of urls of their widest block."""
+    return blocks.select("site", "n", F.explode("block").alias("id")).groupBy("site", "id").agg(F.max("n").alias("n"))
 
 
 def repeated_lines(pages: DataFrame, site: str = "domain", url: str = "url", content: str = "content") -> DataFrame:
-    """(site, line) of the lines on at least MIN_URLS different urls of a site."""
-    blocks = repeated_blocks(pages, site, url, content)
-    found = materialize(blocks.where(F.size("block") == 1).select("site", F.col("block")[0].alias("id")))
+    """(site, line): the lines of the whole repeated blocks of each site."""
+    found = materialize(block_lines(whole_blocks(materialize(repeated_blocks(pages, site, url, content)))))
     texts = pages.where(F.col(site).isNotNull() & (F.col(site) != "") & (F.col(content) != ""))
     texts = texts.select(F.col(site).alias("site"), F.explode(F.array_distinct(F.transform(F.split(content, "\n"), squeezed))).alias("line")).where("line <> ''")
-    texts = texts.withColumn("id", F.xxhash64("line"))
-    if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
-    return texts.join(found, ["site", "id"], "left_semi").groupBy("site", "id").agg(F.first("line").alias("line")).select(F.col("site").alias(site), "line")
-
-
-def without_lines(pages: DataFrame, found: DataFrame, key: str = "page_id", site: str = "domain", content: str = "content") -> DataFrame:
-    """(page_id, content): each page's content without the repeated lines of its site; NULL stays NULL."""
-    sets = found.groupBy(site).agg(F.collect_set(F.xxhash64("line")).alias("gone"))
-    kept = F.filter(F.split(content, "\n"), lambda x: ~F.array_contains(F.coalesce("gone", F.array().cast("array<bigint>")), F.xxhash64(squeezed(x))))
-    return pages.select(key, site, content).join(sets, site, "left").select(key, F.when(F.col(content).isNotNull(), F.array_join(kept, "\n")).alias(content))
+    texts = split_join(texts.withColumn("id", F.xxhash64("line")), found, ["site", "id"], "n", "left_semi")
+    return texts.groupBy("site", "id").agg(F.first("line").alias("line")).select(F.col("site").alias(site), "line")
+
+
+def without_blocks(pages: DataFrame, key: str = "page_id", site: str = "domain", url: str = "url", content: str = "content") -> DataFrame:
+    """(page_id, content): each page's content without the lines of its site's repeated blocks; NULL stays NULL.
+
+    The lines of a page meet those of its site one by one, and what goes is gathered per page.
+    """
+    found = materialize(block_lines(whole_blocks(materialize(repeated_blocks(pages, site, url, content)))))
+    rows = materialize(pages.select(key, site, content).withColumn("row", F.monotonically_increasing_id()))
+    ids = F.array_distinct(F.transform(F.split(content, "\n"), lambda x: F.xxhash64(squeezed(x))))
+    spots = rows.where(F.col(site).isNotNull() & (F.col(site) != "")).select("row", F.col(site).alias("site"), F.explode(ids).alias("id"))
+    gone = split_join(spots, found, ["site", "id"], "n", "left_semi").groupBy("row").agg(F.collect_set("id").alias("gone"))
+    kept = F.filter(F.split(content, "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(squeezed(x))))
+    text = F.when(F.col("gone").isNull() | F.col(content).isNull(), F.col(content)).otherwise(F.array_join(kept, "\n"))
+    return rows.join(gone, "row", "left").select(key, text.alias(content))

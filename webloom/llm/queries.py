@@ -35,7 +35,7 @@ def p2_found(spark, root):
 
 
 def _languages(spark, root):
-    pages = _pages(spark, root, "page_id", "domain", "title", "content", "language", "status_code")
+    pages = _pages(spark, root, "page_id", "domain", "url", "title", "content", "language", "status_code")
     model = language.train(language.sample_pages(pages))
     return materialize(screen.page_facts(spread(pages), extra=language.batch_labeller(model), extra_type=language.LINES))
 
@@ -76,14 +76,13 @@ def p5_found(spark, root):
 
 
 def p5_blocks(spark, root):
-    """How many repeated blocks of each length a site has."""
-    found = blocks.repeated_blocks(_pages(spark, root, "domain", "url", "content"))
+    """How many whole repeated blocks of each length a site has."""
+    found = blocks.whole_blocks(materialize(blocks.repeated_blocks(_pages(spark, root, "domain", "url", "content"))))
     return found.groupBy(F.col("site").alias("domain"), F.size("block").alias("n_lines")).agg(F.count("*").alias("n_blocks"))
 
 
 def p5_cleaned(spark, root):
-    found = materialize(p5_found(spark, root))
-    return blocks.without_lines(_pages(spark, root, "page_id", "domain", "content"), found)
+    return blocks.without_blocks(_pages(spark, root, "page_id", "domain", "url", "content"))
 
 
 def p6_lines(spark, root):
