@@ -173,6 +173,29 @@ def test_garbled_pages_without_twins(spark):
     assert {r["page_id"]: r["restored"] for r in garbled.restore(pages).collect()} == want
 
 
+def test_alignment_by_characters():
+    for text, read in (("café à l’été", "cp1256"), ("señor über", "iso8859_7")):
+        bad = text.encode().decode(read, "replace")
+        assert {(x, y) for x, y in encodings.align(bad, text)} == {(y.encode().decode(read, "replace"), y) for y in text if not y.isascii()} - {("\ufffd", "x")} or "\ufffd" in bad
+    assert encodings.align("añb", "añb") == encodings.align("a", "é") == []
+    assert encodings.align("xńy", "xñy") == [("ń", "ñ")]
+
+
+def test_garbling_outside_the_list_is_learned(spark):
+    """UTF-8 read as an Arabic code page is no known transformation; twenty twins teach it."""
+    g = lambda s: "".join(c if c.isascii() else c.encode().decode("cp1256") for c in s)
+    lines = [f"{ES} El número {w} de la canción añadió una lección más." for w in "abcdefghijklmnopqrst"]
+    assert all("\ufffd" not in g(x) for x in lines)
+    pages = table(spark, [{"content": x} for x in lines] + [{"content": g(x)} for x in lines] + [{"content": g("Sin gemelo: la estación añadió otra vez el menú"), "title": g("Canción")}, {"content": "مرحبا بالعالم العربي"}])
+    pairs = garbled.twins(pages, garbled.suspects(pages))
+    learned = garbled.learn_maps(pairs)
+    assert learned[g("ó")] == "ó" and garbled.learn_transforms(pairs) == []
+    got = {(r["page_id"], r["field"]): r["restored"] for r in garbled.find_garbled(pages).collect()}
+    assert got == {(20 + i, "content"): x for i, x in enumerate(lines)} | {(40, "content"): "Sin gemelo: la estación añadió otra vez el menú", (40, "title"): "Canción"}
+    assert {(r["page_id"], r["field"]): r["restored"] for r in garbled.restore(pages).collect()} == got
+    assert garbled.learn_maps(pairs.limit(0)) == {}
+
+
 def test_lost_characters_come_from_twins(spark):
     lost = ES.encode("latin-1", "ignore").decode("utf-8", "replace")
     kept = ES.encode("latin-1", "ignore").decode("latin-1")

@@ -4,11 +4,11 @@ A *transformation* is a pair of encodings: the bytes were written in one and rea
 single-byte encoding leaves sequences of two to four odd characters for each letter; one single-byte encoding
 read as another leaves words of odd letters; bytes read as UTF-8 leave replacement characters.
 
-``learn`` finds which transformations occur in a corpus. Records (titles and content lines) are stripped of
-all non-ASCII characters; records of the same remainder that differ are near-twins. The twin with the larger
-support is the clean one; the runs of non-ASCII characters are aligned one by one, and each transformation
-that turns the clean run into the garbled one is supported by the pair. ``repair`` then applies the supported
-transformations to all records, twin or not.
+What occurs in a corpus is learned from near-twins: records (titles and content lines) that are equal but for their
+non-ASCII characters. ``align`` sets the runs of such characters of a garbled record against those of its clean twin,
+character by character, and gives the pairs of garbled sequence and clean character. ``explain`` names the known
+transformations that turn the clean runs into the garbled ones; for garblings that have no name, the pairs themselves
+are the mapping. A ``Repairer`` applies named and learned mappings to all records, twin or not.
 """
 
 from __future__ import annotations
@@ -108,8 +108,11 @@ _HIGH = re.compile("[À-ÿ]{3}")
 class Repairer:
     """Applies transformations; of several that fit, the one that explains most characters."""
 
-    def __init__(self, transforms: Iterable[tuple[str, str]] = TRANSFORMS) -> None:
+    def __init__(self, transforms: Iterable[tuple[str, str]] = TRANSFORMS, learned: dict[str, str] | None = None) -> None:
+        """``learned`` maps garbled sequences to characters; it goes before the transformations."""
         self.transforms = list(transforms)
+        self.learned = learned or {}
+        self.sequences = re.compile("|".join(map(re.escape, sorted(self.learned, key=len, reverse=True)))) if self.learned else None
         self.utf8 = [(t, _UTF8_RUN[t]) for t in self.transforms if t[0] == "utf-8"]
         self.single = [t for t in self.transforms if t[0] != "utf-8"]
 
@@ -155,6 +158,9 @@ class Repairer:
     def fix(self, text: str) -> tuple[str, list[tuple[int, int]]]:
         """(restored text, spans of the garbled runs in the given text)."""
         first: list[tuple[int, int]] | None = None
+        if self.sequences and (found := [m.span() for m in self.sequences.finditer(text)]):
+            first = found
+            text = self.sequences.sub(lambda m: self.learned[m.group()], text)
         for _ in range(4):
             best: list[tuple[int, int, str]] = []
             weight = 0
@@ -198,8 +204,14 @@ def _high_run(text: str) -> bool:
 
 _CAPITALS = frozenset("АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 _TURNED_RU = re.compile("[РС][^\\sа-яёА-ЯЁ\\x00-\\x7f]|[а-яё][А-ЯЁ]{2}|[А-ЯЁ]{4}")
-#: A letter next to one of a script that is not mixed with it: what an encoding outside the known ones leaves.
-_FAR = re.compile("[A-Za-zÀ-ſ][Ͱ-Ͽ\u0530-\u1dff\u2e80-\ud7ff]")
+#: Letters of the seven languages and common signs. Others are looked at more closely, in case they stand for some of these.
+_FAMILIAR = frozenset(map(chr, [*range(0x100), *range(0x400, 0x460), *range(0x2000, 0x2070), *range(0x20A0, 0x20D0), *range(0x2100, 0x2150), *range(0x2190, 0x2200), 0x152, 0x153, 0x160, 0x161, 0x178, 0x17D, 0x17E, 0x192, 0x2C6, 0x2DC, 0xFEFF]))
+
+
+def _high_run(text: str) -> bool:
+    """Four letters of the upper half of Latin-1 in a row."""
+    high = np.frombuffer(text.encode("latin-1", "replace"), "uint8") >= 0xC0
+    return len(high) > 3 and bool((high[:-3] & high[1:-2] & high[2:-1] & high[3:]).any())
 
 
 def suspicious(text: str) -> bool:
@@ -207,13 +219,13 @@ def suspicious(text: str) -> bool:
     if text.isascii():
         return False
     chars = set(text)
-    if not chars.isdisjoint(_ALWAYS):
+    if not chars <= _FAMILIAR or not chars.isdisjoint(_ALWAYS):
         return True
     if not chars.isdisjoint(_LEADS) and _AFTER_LEAD.search(text):
         return True
     if not chars.isdisjoint(_CAPITALS) and _TURNED_RU.search(text):
         return True
-    return _high_run(text) or not chars <= _USUAL and _FAR.search(text) is not None
+    return _high_run(text)
 
 
 REPLACED = "\ufffd"
@@ -237,6 +249,34 @@ def garbled_spans(text: str, repairer: Repairer) -> list[tuple[int, int]]:
 # --- learning from near-twins -------------------------------------------------------------------------------
 
 
+def _chunks(garbled: str, clean: str) -> list[tuple[str, str]]:
+    """The garbled sequence of each character of a clean run; none where the lengths tell nothing.
+
+    A wrong decoding turns each character into as many others as it had bytes: one each, as many as UTF-8 has, or an
+    equal number.
+    """
+    sizes = [len(c.encode("utf-8", "surrogatepass")) for c in clean]
+    if len(garbled) == len(clean):
+        sizes = [1] * len(clean)
+    elif sum(sizes) != len(garbled):
+        if len(garbled) % len(clean):
+            return []
+        sizes = [len(garbled) // len(clean)] * len(clean)
+    out, at = [], 0
+    for c, n in zip(clean, sizes):
+        out.append((garbled[at : at + n], c))
+        at += n
+    return out
+
+
+def align(garbled: str, clean: str) -> list[tuple[str, str]]:
+    """(garbled sequence, clean character) of two near-twins; unchanged characters and lost ones are left out."""
+    g, c = _RUN.findall(garbled), _RUN.findall(clean)
+    if len(g) != len(c):
+        return []
+    return [(x, y) for a, b in zip(g, c) if a != b for x, y in _chunks(a, b) if x != y and REPLACED not in x]
+
+
 def explain(garbled: str, clean: str) -> list[int]:
     """Transformations (indexes) that turn the runs of the clean record into those of the garbled one."""
     g, c = _RUN.findall(garbled), _RUN.findall(clean)
