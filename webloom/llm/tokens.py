@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -145,14 +146,29 @@ def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], list[int]]
     return encode
 
 
+#: The encoder of this worker; pieces merged in one task serve the next.
+_ENCODER: list = [None, None]
+
+
+def _encoder(name: str, ranks, pattern: str) -> Callable[[str | None], list[int]]:
+    """Built once a worker and vocabulary."""
+    if _ENCODER[0] != name:
+        _ENCODER[:] = name, encoder(ranks.value, pattern)
+    return _ENCODER[1]
+
+
 def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str, pattern: str) -> DataFrame:
-    """(id, ids array<int>) of every row; the vocabulary is read once by each worker from its path."""
+    """(id, ids array<int>) of every row.
+
+    The vocabulary is read once on the driver and sent to each executor once, so its path need not exist there.
+    """
     id_type = df.schema[id_col].dataType.simpleString()
+    ranks, name = df.sparkSession.sparkContext.broadcast(load_ranks(vocabulary)), uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        encode = encoder(load_ranks(vocabulary), pattern)
+        encode = _encoder(name, ranks, pattern)
         for pdf in batches:
             yield pd.DataFrame({"i": pdf["i"], "ids": pd.Series([np.array(encode(t), "int32") for t in pdf["t"]], index=pdf.index, dtype="object")})
 
