@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .functions import urls as U
 from .operators import frontier, graph, profile, storage
 from .operators import search as S
-from .sources import table
+from .sources import shared_folder, table
+from .sources.tables import spread, stamp
 
 
 @dataclass
@@ -21,12 +22,18 @@ class Engine:
     spark: SparkSession
     root: str
     index: S.Index | None = None
+    indexed: tuple | None = None
 
     def _t(self, name: str) -> DataFrame:
         return table(self.spark, self.root, name)
 
     def _index(self) -> S.Index:
-        self.index = self.index or S.build(self._t("pages"))
+        """Written once for each state of the pages, then read for each search."""
+        now = stamp(self.spark, self.root, "pages")
+        if self.index is None or self.indexed not in (None, now):
+            folder = shared_folder(self.spark, "index")
+            S.build(spread(self._t("pages"))).write(folder)
+            self.index, self.indexed = S.Index.read(self.spark, folder), now
         return self.index
 
     @staticmethod
@@ -35,7 +42,7 @@ class Engine:
 
     def search(self, query: str, as_of: datetime, limit: int = 10, offset: int = 0, lang: str = "", domain: str = "", schema_type: str = "") -> DataFrame:
         clicks = profile.click_counts(self._t("click_log")).withColumnRenamed("clicks", "n")
-        return S.search(self._index(), self._t("pages"), query, as_of, self.page_size(limit), max(0, offset), lang, domain, schema_type, clicks)
+        return S.search(self._index(), self._t("pages"), query, as_of, self.page_size(limit), max(0, offset), lang, domain, schema_type, clicks, domains=self._t("domains"))
 
     def search_images(self, images: DataFrame, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
         return S.search_images(images, query, self.page_size(limit, 20), max(0, offset))

@@ -227,8 +227,22 @@ class Porter:
         return w
 
 
+class StemMemo(dict):
+    """Stem of each word; found once a worker."""
+
+    porter = Porter()
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = got = self.porter(word)
+        return got
+
+
+STEM = StemMemo()
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(words: pd.Series) -> pd.Series:
-    """Stem of each word of an array, one cache for the batch."""
-    porter, memo = Porter(), {}
-    return words.map(lambda ws: [memo[w] if w in memo else memo.setdefault(w, porter(w)) for w in ws])
+    """Stem of each word of an array."""
+    return words.map(lambda ws: [STEM[w] for w in ws])

@@ -1,17 +1,21 @@
 """Full-text index, retrieval plans and ranking.
 
-The index is two tables, built in one pass and meant to be written once (``write``), with the postings sorted by
-term, so that the filters of a query reach the row groups of its terms:
+The index is two tables, built in one pass without a shuffle and meant to be written once (``write``), with the
+postings sorted by term, so that the filters of a query reach the row groups of its terms:
 
-* postings(term, id, w, n, d): weighted count of a term over the fields of a page, its plain count, and the number
-  of words of the page, repeated here so that scoring needs no join with all pages
+* postings(term, id, w, n, d, at): weighted count of a term over the fields of a page, its plain count, the number
+  of words of the page, repeated here so that scoring needs no join with all pages, and the term's places, numbered
+  through within each field; only phrases read the places
 * docs(id, d): number of words of a page over all fields
 
+Words are stemmed by default, in the index and in the queries (``Index.stem``).
+
 A query reads the postings of its terms only; document frequencies, lengths and the sums per page come from
 partial aggregates; the best pages from a top-k, never from a full sort. Only the at most 500 candidates of the
 best plan are ranked by the Python scorer, in Arrow batches.
 
-Pages with NULL or empty fields have fewer words; a page without words is in no posting. Ties are broken by id.
+Ids are taken to be unique. Pages with NULL or empty fields have fewer words; a page without words is in no posting.
+Ties are broken by id.
 """
 
 from __future__ import annotations
@@ -21,32 +25,40 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from datetime import datetime
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
-from ..sources import materialize
 
 # Weights of the fields, and the constants of BM25.
 WEIGHTS = {"title": 10.0, "h1": 8.0, "description": 5.0, "schema_title": 6.0, "schema_description": 4.0, "content": 1.0}
 K1, B, FLOOR = 1.2, 0.75, 1e-6
-BROADCAST_ROWS = 200_000
 CLICK = 50.0
 
 
+#: Places are numbered through from here for each field.
+FIELD_BITS = 27
+
+
 @dataclass
 class Index:
     postings: DataFrame
     docs: DataFrame
+    stem: bool = True
+    factors: tuple[float, ...] = tuple(WEIGHTS.values())
     _size: tuple[int, float] | None = None
 
     def write(self, path: str, parts: int = 64) -> None:
         """Postings by ranges of terms, sorted within, so that a term's filter reaches its row groups; lengths as they come."""
         self.postings.repartitionByRange(parts, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        self.docs.sparkSession.createDataFrame([(self.stem, list(self.factors))], "stem boolean, factors array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     def size(self) -> tuple[int, float]:
         """(pages, mean length), counted once."""
@@ -55,24 +67,55 @@ class Index:
             self._size = (r["n"], r["a"] or 1.0)
         return self._size
 
+    def term(self, word: str) -> str:
+        """The term of the index for a plain word."""
+        return X.STEM[word] if self.stem else word
+
     @staticmethod
     def read(spark, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"))
+        meta = spark.read.parquet(f"{path}/meta").first()
+        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), meta["stem"], tuple(meta["factors"]))
 
 
-def build(pages: DataFrame, key: str = "page_id", weights: dict[str, float] = WEIGHTS, stem: bool = False) -> Index:
-    """Index over those of the weighted fields that the table has."""
-    have = [c for c in weights if c in pages.columns]
-    words = [(X.stems(X.tokens(F.col(c))) if stem else X.tokens(F.col(c))).alias(c) for c in have]
-    tok = pages.select(F.col(key).alias("id"), *words)
-    docs = tok.select("id", sum((F.size(c) for c in have), F.lit(0)).alias("d"))
-    def weighted(c: str) -> Column:
-        return F.transform(c, lambda t: F.struct(t.alias("t"), F.lit(weights[c]).alias("w")))
+def build(pages: DataFrame, key: str = "page_id", weights: dict[str, float] = WEIGHTS, stem: bool = True) -> Index:
+    """Index over those of the weighted fields that the table has.
 
-    all_words = F.flatten(F.array(*map(weighted, have)))
-    length = sum((F.size(c) for c in have), F.lit(0)).alias("d")
-    rows = tok.select("id", length, F.explode(all_words).alias("x")).select("id", "d", F.col("x.t").alias("term"), F.col("x.w").alias("w"))
-    return Index(rows.groupBy("term", "id").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.max("d").alias("d")), docs)
+    A page's postings need its own words only: they are made where it is read, from tokens of native expressions.
+    """
+    have = [c for c in weights if c in pages.columns]
+    factors = tuple(float(weights[c]) for c in have)
+    tok = pages.select(F.col(key).alias("id"), *[X.tokens(F.col(c)).alias(f"f{i}") for i, c in enumerate(have)])
+    docs = tok.select("id", sum((F.size(f"f{i}") for i in range(len(have))), F.lit(0)).alias("d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
+            owner, terms, ws, ns, ds, places = [], [], [], [], [], []
+            for r, fields in enumerate(zip(*(part.column(f"f{i}").to_pylist() for i in range(len(factors))))):
+                at: dict[str, list[int]] = {}
+                w: dict[str, float] = {}
+                for i, (words, factor) in enumerate(zip(fields, factors)):
+                    for j, t in enumerate(words, i << FIELD_BITS):
+                        if stem:
+                            t = X.STEM[t]
+                        got = at.get(t)
+                        if got is None:
+                            at[t], w[t] = [j], factor
+                        else:
+                            got.append(j)
+                            w[t] += factor
+                owner += [r] * len(at)
+                terms += at
+                ws += w.values()
+                ns += map(len, at.values())
+                ds += [sum(map(len, fields))] * len(at)
+                places += at.values()
+            offsets = pa.array(np.concatenate(([0], np.cumsum(ns, dtype="int64"))).astype("int32"))
+            at_ = pa.ListArray.from_arrays(offsets, pa.array([x for p in places for x in p], "int32"))
+            columns = [pa.array(terms, "string"), part.column("id").take(pa.array(owner, "int32")), pa.array(ws, "double"), pa.array(ns, "int64"), pa.array(ds, "int32"), at_]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "w", "n", "d", "at"])
+
+    kind = tok.schema["id"].dataType.simpleString()
+    return Index(tok.mapInArrow(run, f"term string, id {kind}, w double, n bigint, d int, at array<int>"), docs, stem, factors)
 
 
 def vocabulary(index: Index) -> DataFrame:
@@ -83,8 +126,9 @@ def vocabulary(index: Index) -> DataFrame:
 def idf_map(index: Index, terms: list[str]) -> dict[str, float]:
     """ln(N / df) of the terms; ln N for unknown ones."""
     n = max(1, index.size()[0])
-    df = {r["term"]: r["c"] for r in index.postings.where(F.col("term").isin(terms)).groupBy("term").agg(F.count("*").alias("c")).collect()}
-    return {t: math.log(n / df[t]) if df.get(t) else math.log(n) for t in terms}
+    asked = [index.term(t) for t in terms]
+    df = {r["term"]: r["c"] for r in index.postings.where(F.col("term").isin(asked)).groupBy("term").agg(F.count("*").alias("c")).collect()}
+    return {t: math.log(n / df[a]) if df.get(a) else math.log(n) for t, a in zip(terms, asked)}
 
 
 def bm25(index: Index, terms: list[str], need: int | None = None, prefix: bool = False) -> DataFrame:
@@ -92,13 +136,9 @@ def bm25(index: Index, terms: list[str], need: int | None = None, prefix: bool =
 
     With ``prefix``, a term of four letters or more also counts words that begin with it, as one more query term.
     """
-    queries = [(t, t) for t in dict.fromkeys(terms)]
-    if prefix:
-        queries += [(f"{t}*", t) for t in dict.fromkeys(terms) if len(t) >= 4]
-    hits = None
-    exact = [t for q, t in queries if not q.endswith("*")]
+    exact = list(dict.fromkeys(map(index.term, terms)))
+    starts = list(dict.fromkeys(index.term(t) for t in terms if len(t) >= 4)) if prefix else []
     hits = index.postings.where(F.col("term").isin(exact)).select(F.col("term").alias("q"), "id", "w", "d")
-    starts = [t for q, t in queries if q.endswith("*")]
     if starts:
         cond = F.lit(False)
         for t in starts:
@@ -114,34 +154,30 @@ def bm25(index: Index, terms: list[str], need: int | None = None, prefix: bool =
     return rows.groupBy("id").agg(F.sum(part).alias("score"), F.countDistinct("q").alias("k")).where(F.col("k") >= least).select("id", "score")
 
 
-def phrase_ids(pages: DataFrame, words: list[str], key: str = "page_id", weights: dict[str, float] = WEIGHTS, index: Index | None = None) -> DataFrame:
-    """(id, w): pages that hold the words side by side in one field, with the weighted count.
+def phrase_ids(index: Index, words: list[str]) -> DataFrame:
+    """(id, w, d): pages that hold the words side by side in one field, with the weighted count, from the places in the postings."""
+    terms = [index.term(t) for t in words]
+    # One row for each word of the query and page; no page is gathered beyond that.
+    rows = index.postings.where(F.col("term").isin(list(dict.fromkeys(terms)))).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "at"))).alias("m"), F.max("d").alias("d"))
+    starts = None
+    for i, t in enumerate(terms):
+        at = F.transform(F.col("m")[t], lambda x: x - i)  # noqa: B023
+        starts = at if starts is None else F.array_intersect(starts, at)
+    factor = F.array(*[F.lit(x) for x in index.factors])
+    weight = F.aggregate("starts", F.lit(0.0), lambda a, x: a + F.get(factor, F.shiftright(x, FIELD_BITS)))
+    found = rows.where(F.size("m") == len(set(terms))).select("id", "d", starts.alias("starts")).where(F.size("starts") > 0)
+    return found.select("id", weight.alias("w"), "d")
 
-    With an index only the pages that have all the words are read as text.
-    """
-    if index is not None:
-        need = len(set(words))
-        both = index.postings.where(F.col("term").isin(words)).groupBy(F.col("id").alias(key)).agg(F.count("*").alias("k")).where(F.col("k") >= need)
-        # Few pages are picked by a broadcast of their ids; many are read as they come, which needs no shuffle of texts.
-        few = materialize(both.select(key))
-        if few.count() <= BROADCAST_ROWS:
-            pages = pages.join(F.broadcast(few), key, "left_semi")
-    needle = " " + " ".join(words) + " "
-    total = F.lit(0.0)
-    for c in (c for c in weights if c in pages.columns):
-        # Two spaces between words let neighbouring occurrences share a border.
-        hay = F.concat(F.lit("  "), F.regexp_replace(F.coalesce(X.plain(F.col(c)), F.lit("")), " ", "  "), F.lit("  "))
-        sharp = needle.strip().replace(" ", "  ")
-        total = total + weights[c] * F.regexp_count(hay, F.lit(f" {re.escape(sharp)} "))
-    # Exploding keeps the optimizer from moving the count below the choice of pages, and from counting twice.
-    return pages.select(F.col(key).alias("id"), F.explode(F.array(total)).alias("w")).where("w > 0")
-
-
-def bm25_phrase(index: Index, pages: DataFrame, words: list[str], key: str = "page_id") -> DataFrame:
+
+def bm25_phrase(index: Index, words: list[str]) -> DataFrame:
     """(id, score): the phrase taken as one query term."""
-    hits = materialize(phrase_ids(pages, words, key, index=index))
+    if not words:
+        return index.docs.select("id", F.lit(0.0).alias("score")).limit(0)
     nn, avg_d = index.size()
-    return hits.join(index.docs, "id").select("id", (_idf(nn, F.lit(hits.count())) * _saturated(avg_d)).alias("score"))
+    hits = phrase_ids(index, words)
+    # The document frequency is one number, from the same few postings.
+    df = hits.agg(F.count("*").alias("df"))
+    return hits.crossJoin(F.broadcast(df)).select("id", (_idf(nn, F.col("df")) * _saturated(avg_d)).alias("score"))
 
 
 def _idf(nn: int, df: Column) -> Column:
@@ -228,9 +264,13 @@ def candidate_limit(limit: int, offset: int = 0) -> int:
 def _ordered(scored: DataFrame, pages: DataFrame, q: Query, limit: int, key: str) -> DataFrame:
     """Top pages of a plan; pages of the wanted domain are lifted so that they survive the cut."""
     want = q.domain or q.nav_term
-    lift = F.when(F.lower("domain") == want, 30.0).otherwise(0.0) + F.when(F.lower("domain").startswith(want + "."), 15.0).otherwise(0.0) if want else F.lit(0.0)
-    rows = scored.join(pages.select(F.col(key).alias("id"), "domain"), "id")
-    return rows.orderBy((F.col("score") + lift).desc(), "id").limit(limit).select("id", "score")
+    if not want:
+        return scored.orderBy(F.col("score").desc(), "id").limit(limit).select("id", "score")
+    # Only the pages of the wanted domain are joined, not all that were scored.
+    dom = F.lower("domain")
+    lifted = pages.where((dom == want) | dom.startswith(want + ".")).select(F.col(key).alias("id"), F.when(dom == want, 30.0).otherwise(15.0).alias("lift"))
+    rows = scored.join(lifted, "id", "left")
+    return rows.orderBy((F.col("score") + F.coalesce("lift", F.lit(0.0))).desc(), "id").limit(limit).select("id", "score")
 
 
 def plan_exact(index, pages, q: Query, limit: int, key: str = "page_id") -> DataFrame:
@@ -246,7 +286,7 @@ def plan_relaxed(index, pages, q: Query, limit: int, key: str = "page_id") -> Da
 
 
 def plan_phrase(index, pages, q: Query, limit: int, key: str = "page_id") -> DataFrame:
-    return _ordered(bm25_phrase(index, pages, q.phrase, key), pages, q, limit, key)
+    return _ordered(bm25_phrase(index, q.phrase), pages, q, limit, key)
 
 
 def recency_lift(published: Column, as_of: Column) -> Column:
@@ -303,38 +343,82 @@ def merge(plans: list[tuple[str, DataFrame]]) -> DataFrame:
     return best.select("id", "b.score", "b.mode")
 
 
+def enrich(q: Query, index: Index, domains: DataFrame | None = None) -> Query:
+    """The query with what the tables say: a known domain for neighbouring words, known halves for unknown compounds.
+
+    ``domains`` has a column domain. One small job for each; words of the query bound what is read.
+    """
+    tokens = q.tokens
+    if domains is not None and not q.domain and tokens:
+        labels = list(dict.fromkeys([*(a + b for a, b in zip(tokens, tokens[1:])), "".join(tokens)]))
+        label = U.root_label(F.lower("domain"))
+        hit = domains.where(label.isin(labels)).agg(F.min("domain").alias("d")).first()["d"]
+        if hit:
+            q = replace(q, domain=hit.lower(), nav_term=q.nav_term or hit.lower().split(".")[-2], navigational=not q.fresh)
+    long = [t for t in tokens if len(t) >= 7]
+    if long:
+        cuts = {t: [(t[:i], t[i:]) for i in range(len(t) - 3, 2, -1)] for t in long}
+        asked = {index.term(w): None for t in long for w in (t, *(x for c in cuts[t] for x in c))}
+        known = {r["term"] for r in index.postings.where(F.col("term").isin(list(asked))).select("term").distinct().collect()}
+        halves = {t: next((list(c) for c in cuts[t] if all(index.term(x) in known for x in c)), [t]) for t in long if index.term(t) not in known}
+        q = replace(q, tokens=[x for t in tokens for x in halves.get(t, [t])])
+    return q
+
+
+#: The plans from strict to loose, two at a time: each step is one job.
+CASCADE = ((("phrase", plan_phrase), ("exact", plan_exact)), (("core", plan_core), ("relaxed", plan_relaxed)))
+
+
 def retrieve(index: Index, pages: DataFrame, q: Query, limit: int, offset: int, as_of: datetime, lang: str = "", clicks: DataFrame | None = None, key: str = "page_id") -> tuple[DataFrame, int]:
-    """Candidates of the plans from strict to loose, stopping early, and the number of matches of the last plan."""
+    """Candidates of the plans from strict to loose, stopping early, and the number of matches of the last plan.
+
+    A plan gives at most 500 rows; those of a step are collected together to count the pool.
+    """
+    spark = pages.sparkSession
     want = candidate_limit(limit, offset)
     q.idf = q.idf or idf_map(index, q.tokens)
     enough = min(want // 2, 100)
-    done: list[tuple[str, DataFrame]] = []
-    total = 0
+    order = ["phrase", "exact", "core", "relaxed", "recent", "elsewhere", "navigational"]
+    rows: list = []
     seen: set = set()
-    for mode, plan in (("phrase", plan_phrase), ("exact", plan_exact), ("core", plan_core), ("relaxed", plan_relaxed)):
-        if not q.tokens:
-            break
-        # A plan gives at most 500 rows, which are kept on the driver to count the pool.
-        got = plan(index, pages, q, want, key)
-        if clicks is not None:
-            got = clicks_added(got, pages, clicks, q, key)
-        rows = got.collect()
-        if not rows:
-            continue
-        done.append((mode, pages.sparkSession.createDataFrame(rows, got.schema)))
-        total = {"phrase": lambda: phrase_ids(pages, q.phrase, key, index=index), "exact": lambda: bm25(index, q.tokens), "core": lambda: bm25(index, q.by_weight()[:2]), "relaxed": lambda: bm25(index, q.by_weight()[:4], 1, True)}[mode]().count() if len(rows) == want else len(rows)
-        seen |= {r["id"] for r in rows}
-        if len(seen) >= enough:
-            break
+    total = 0
+
+    def run(plans: list[tuple[str, DataFrame]]) -> dict[str, list]:
+        both = reduce(DataFrame.union, [df.select(F.lit(mode).alias("mode"), "id", F.col("score").cast("double").alias("score")) for mode, df in plans])
+        out: dict[str, list] = {mode: [] for mode, _ in plans}
+        for r in both.collect():
+            out[r["mode"]].append((r["id"], r["score"]))
+        return out
+
+    def added(df: DataFrame) -> DataFrame:
+        return df if clicks is None else clicks_added(df, pages, clicks, q, key)
+
+    extra = []
     if q.fresh and not q.dated and q.tokens:
-        done.append(("recent", plan_recent(bm25_phrase(index, pages, q.phrase, key), pages, as_of, min(want, 300), key)))
+        extra.append(("recent", plan_recent(bm25_phrase(index, q.phrase), pages, as_of, min(want, 300), key)))
     if q.platform and q.tokens:
-        done.append(("phrase", plan_elsewhere(bm25_phrase(index, pages, q.phrase, key), pages, q.domain or f"{q.platform}.com", max(30, min(want // 3, 100)), key)))
+        extra.append(("elsewhere", plan_elsewhere(bm25_phrase(index, q.phrase), pages, q.domain or f"{q.platform}.com", max(30, min(want // 3, 100)), key)))
+    for i, step in enumerate(CASCADE if q.tokens else ()):
+        got = run([(mode, added(plan(index, pages, q, want, key))) for mode, plan in step] + (extra if i == 0 else []))
+        for mode, _ in extra if i == 0 else ():
+            rows += [(x, s, mode) for x, s in got[mode]]
+        for mode, _ in step:
+            if got[mode] and len(seen) < enough:
+                matches = {"phrase": lambda: phrase_ids(index, q.phrase), "exact": lambda: bm25(index, q.tokens), "core": lambda: bm25(index, q.by_weight()[:2]), "relaxed": lambda: bm25(index, q.by_weight()[:4], 1, True)}[mode]
+                total = matches().count() if len(got[mode]) == want else len(got[mode])
+                rows += [(x, s, mode) for x, s in got[mode]]
+                seen |= {x for x, _ in got[mode]}
+        if len(seen) >= enough:
+            break
     if q.navigational and len(seen) < 30:
-        done.append(("navigational", plan_navigational(pages, q, min(want, 60), as_of, lang, key)))
-    if not done:
-        done = [("exact", index.docs.select("id", F.lit(0.0).alias("score")).limit(0))]
-    return merge(done), total
+        rows += [(x, s, "navigational") for x, s in run([("navigational", plan_navigational(pages, q, min(want, 60), as_of, lang, key))])["navigational"]]
+    best: dict = {}
+    for x, s, mode in rows:
+        rank = (s, -order.index(mode))
+        if x not in best or rank > best[x][0]:
+            best[x] = (rank, s, "phrase" if mode == "elsewhere" else mode)
+    kind = pages.schema[key].dataType.simpleString()
+    return spark.createDataFrame([(x, s, mode) for x, (_, s, mode) in best.items()], f"id {kind}, score double, mode string"), total
 
 
 # --- ranking ------------------------------------------------------------------------------------------------
@@ -404,7 +488,7 @@ class Ranker:
     def __init__(self, q: Query, lang: str = "", secondary: str = "en", language_boost: float = 3000.0, secondary_boost: float = 1500.0) -> None:
         self.q, self.lang, self.secondary, self.boosts = q, lang, secondary, (language_boost, secondary_boost)
 
-    def content(self, norm: dict[str, str], site_forms: list[str], host: str) -> float:
+    def content(self, norm: dict[str, str], site_forms: list[str]) -> float:
         q = self.q
         split = {k: v.split() for k, v in norm.items()}
         unique = {k: list(dict.fromkeys(v)) for k, v in split.items()}
@@ -424,7 +508,7 @@ class Ranker:
             hit = [any(cov[k][3][i] for k in ("title", "h1", "h2", "description", "url")) for i in range(len(q.tokens))]
             ratio = sum(w for w, h in zip(weights, hit) if h) / sum(weights)
             if ratio < 0.5:
-                score *= 0.75 + 0.25 * ratio if ".gub." in host or ".gov." in host else 2 * ratio
+                score *= 2 * ratio
         return score
 
     def brand_matches(self, label: str) -> int:
@@ -439,7 +523,6 @@ class Ranker:
             score += 200 * hit + (300 if hit and hit == len(q.tokens) else 0)
             depth = url.count("/") - 2
             score += 60 if depth <= 1 else 30 if depth <= 2 else 0
-            score += 150 if host.endswith((".gub.uy", ".gov.uy")) else 80 if ".gub." in host or ".gov." in host else 0
         n = self.brand_matches(label)
         score += 400 * n + (800 if n >= 2 else 0)
         if q.navigational and homepage:
@@ -472,7 +555,7 @@ class Ranker:
         a, b, c, d, e = PARTS[q.navigational]
         host = r.host or ""
         root = host == (r.registered or "")
-        score = a * self.content(norm, forms, host) + b * r.authority + c * self.address(r.url or "", host, r.label or "", bool(r.homepage), root) + d * r.freshness + e * min(r.score, 500.0) * 0.1
+        score = a * self.content(norm, forms) + b * r.authority + c * self.address(r.url or "", host, r.label or "", bool(r.homepage), root) + d * r.freshness + e * min(r.score, 500.0) * 0.1
         score += r.score * 40.0 + MODE_BONUS.get(r.mode, 0.0)
         if self.lang and r.language == self.lang:
             score += self.boosts[0]
@@ -560,9 +643,9 @@ def diversified(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: run(pdf[ranked_columns]), ranked.schema)
 
 
-def search(index: Index, pages: DataFrame, query: str, as_of: datetime, limit: int = 10, offset: int = 0, lang: str = "", domain: str = "", schema_type: str = "", clicks: DataFrame | None = None, platforms: frozenset[str] = frozenset(), site_types: frozenset[str] = frozenset(), key: str = "page_id") -> DataFrame:
+def search(index: Index, pages: DataFrame, query: str, as_of: datetime, limit: int = 10, offset: int = 0, lang: str = "", domain: str = "", schema_type: str = "", clicks: DataFrame | None = None, platforms: frozenset[str] = frozenset(), site_types: frozenset[str] = frozenset(), key: str = "page_id", domains: DataFrame | None = None) -> DataFrame:
     """One page of results: (id, url, domain, language, rank, pos, snippet)."""
-    q = parse(query, platforms, site_types)
+    q = enrich(parse(query, platforms, site_types), index, domains)
     found, _ = retrieve(index, pages, q, limit, offset, as_of, lang, clicks, key)
     ranked = rank(found, pages, q, as_of, lang, key)
     if lang:

@@ -60,7 +60,7 @@ def snk13_index_update(spark, root):
     pages = _t(spark, root, "pages")
     changed = pages.where(F.year("crawled_at") == 2024)
     old = index_of(spark, root).postings
-    new = old.join(changed.select(F.col("page_id").alias("id")), "id", "left_anti").unionByName(S.build(changed).postings)
+    new = old.join(changed.select(F.col("page_id").alias("id")), "id", "left_anti").unionByName(S.build(changed, stem=False).postings)
     return new.groupBy("term").agg(F.count("*").alias("doc"))
 
 

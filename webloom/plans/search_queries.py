@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import search as S
 from ..sources import shared_folder
-from ..sources.tables import spread, table
+from ..sources.tables import spread, stamp, table
 
 AS_OF = datetime(2024, 6, 1)
 ANY, BOTH, NAV = ["harbour", "museum", "garden"], ["river", "museum"], "norwick"
@@ -20,22 +20,25 @@ def _pages(spark, root):
     return table(spark, root, "pages")
 
 
-_INDEXES: dict[tuple[str, str], S.Index] = {}
+_INDEXES: dict[tuple, S.Index] = {}
 
 
-def index_of(spark, root) -> S.Index:
-    """Index over the pages of a folder, written once a session to the shared folder and read from there."""
-    at = (spark.sparkContext.applicationId, root)
+def index_of(spark, root, stem: bool = False) -> S.Index:
+    """Index over the pages of a folder, written once to the shared folder for each state of their files and read from there.
+
+    Without stems by default, as SQL has none to compare with.
+    """
+    at = (spark.sparkContext.applicationId, root, stem, stamp(spark, root, "pages"))
     if at not in _INDEXES:
         folder = shared_folder(spark, "index")
-        S.build(spread(_pages(spark, root))).write(folder, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        S.build(spread(_pages(spark, root)), stem=stem).write(folder, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         _INDEXES[at] = S.Index.read(spark, folder)
     return _INDEXES[at]
 
 
 def ft0_build(spark, root):
     """The index itself, built anew: its postings, counted by the number of words they share a page with."""
-    return S.build(spread(_pages(spark, root))).postings.groupBy("d").agg(F.count("*").alias("postings"))
+    return S.build(spread(_pages(spark, root)), stem=False).postings.groupBy("d").agg(F.count("*").alias("postings"))
 
 
 def _top(df, n=50):
@@ -63,8 +66,7 @@ def ft6_relaxed(spark, root):
 
 
 def ft3_phrase(spark, root):
-    pages = _pages(spark, root)
-    return S.bm25_phrase(index_of(spark, root), pages, ["the", "river", "museum"]).select("id", F.round("score", 6).alias("score"))
+    return S.bm25_phrase(index_of(spark, root), ["the", "river", "museum"]).select("id", F.round("score", 6).alias("score"))
 
 
 def ft8_recent(spark, root):
@@ -144,7 +146,7 @@ def j1_clicked(spark, root):
 
 def rk1_rank(spark, root):
     pages = _pages(spark, root)
-    index = index_of(spark, root)
+    index = index_of(spark, root, stem=True)
     q = S.parse("river museum maps")
     q.idf = S.idf_map(index, q.tokens)
     found = _top(S.bm25(index, q.tokens, need=1), 100).withColumn("mode", F.lit("exact"))
@@ -153,12 +155,12 @@ def rk1_rank(spark, root):
 
 def ft1_search(spark, root):
     pages = _pages(spark, root)
-    return S.search(index_of(spark, root), pages, "river museum maps", AS_OF, limit=20, lang="en")
+    return S.search(index_of(spark, root, stem=True), pages, "river museum maps", AS_OF, limit=20, lang="en", domains=table(spark, root, "domains"))
 
 
 def ft13_images(spark, root):
-    """Image search; the pages stand in for images: title, description and the start of the content as context."""
-    images = _pages(spark, root).select(F.col("page_id").alias("image_id"), F.col("title").alias("alt_text"), F.col("description").alias("title"), F.left("content", F.lit(200)).alias("context"))
+    """Image search; the pages stand in for images: title, description and the content as context."""
+    images = _pages(spark, root).select(F.col("page_id").alias("image_id"), F.col("title").alias("alt_text"), F.col("description").alias("title"), F.col("content").alias("context"))
     return S.search_images(images, "river museum", 20)
 
 

@@ -15,6 +15,14 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def stamp(spark: SparkSession, root: str, name: str) -> tuple:
+    """Names, sizes and times of a table's files, which differ once it has changed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 #: An input of more splits is never reshuffled for the sake of parallelism.
 SMALL_SPLITS = 64
 
