@@ -1,8 +1,10 @@
 """Stateful rules over keyed events, as small pure classes and as Structured Streaming operators.
 
 A rule keeps a few numbers per key and looks at one event at a time: ``step(state, event) -> (state, output)``.
-``keyed_rule`` runs a rule with ``applyInPandasWithState``: the events of a key come in Arrow batches from an
-iterator, so no key's events are gathered; its state is one row and expires when event time has passed it by ``ttl``.
+``run_rule`` runs a rule over a stream. Each micro-batch is joined by the states of its keys, sorted by (key, time, id)
+within its partitions, which spills, and folded as it streams by; no key's events are gathered. So the outputs
+depend on the order of the events alone, not on files or batch sizes. Events that arrive in a later micro-batch than
+their successors are taken after these, as in any live system.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources import shared_folder
 
@@ -104,28 +105,64 @@ def replay(rule, events: list[tuple[float, float]]) -> list[float]:
     return out
 
 
-def keyed_rule(events: DataFrame, rule, key: str, time: str, value: str, ident: str, late: str = "1 day", ttl_ms: int = 24 * 3_600_000) -> DataFrame:
-    """(key, id, t, output) of each event of a stream; within a batch a key's events are taken as they come."""
-    events = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
-    rows = events.where(F.col(key).isNotNull()).select(F.col(time).alias("at"), F.col(key).cast("string").alias("k"), F.col(ident).cast("string").alias("id"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("t"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
+EVENTS = "k string, id string, t double, v double"
+FOLDED = "k string, id string, t double, output double, kept string"
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = json.loads(state.get[0]) if state.exists else None
+
+def fold(rule):
+    """For ``mapInPandas`` over rows (k, id, t, v, kept) sorted by key, a key's state first: its outputs, then its new state."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state, last = None, None, 0.0
         for pdf in batches:
-            # Sorted within the Arrow batch only, which is bounded.
-            pdf = pdf.sort_values(["t", "id"], kind="stable")
-            out = []
-            for t, v in zip(pdf["t"], pdf["v"]):
-                kept, o = rule.step(kept, float(t), float(v))
-                out.append(o)
-            yield pd.DataFrame({"k": pdf["k"], "id": pdf["id"], "t": pdf["t"], "output": out})
-        state.update((json.dumps(kept),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(pdf["t"].max() * 1000)) + ttl_ms)
+            out: list[tuple] = []
+            for k, i, t, v, kept in zip(pdf["k"], pdf["id"], pdf["t"], pdf["v"], pdf["kept"]):
+                if k != at:
+                    if at is not None:
+                        out.append((at, None, last, None, json.dumps(state)))
+                    at, state = k, None
+                if isinstance(kept, str):
+                    state, last = json.loads(kept), t
+                    continue
+                state, o = rule.step(state, float(t), float(v))
+                last = t
+                out.append((k, i, t, o, None))
+            yield pd.DataFrame(out, columns=["k", "id", "t", "output", "kept"])
+        if at is not None:
+            yield pd.DataFrame([(at, None, last, None, json.dumps(state))], columns=["k", "id", "t", "output", "kept"])
+
+    return run
+
+
+def run_rule(events: DataFrame, rule, key: str, time: str, value: str, ident: str, what: str, ttl_s: float = 30 * 86_400.0) -> DataFrame:
+    """(k, id, t, output) of each event that a stream holds now. NULL keys are left out, NULL values count as 0.
+
+    The states of all keys are one small table, written anew with each micro-batch; those of keys not heard of for
+    ``ttl_s`` of event time are dropped. A batch that was written before is not written again.
+    """
+    spark = events.sparkSession
+    folder = shared_folder(spark, what)
+    rows = events.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(ident).cast("string").alias("id"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("t"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
+
+    def batch(df: DataFrame, number: int) -> None:
+        if exists(spark, f"{folder}/all/batch={number}/_SUCCESS"):
+            return
+        events_ = df.withColumn("kept", F.lit(None).cast("string"))
+        if number:
+            old = spark.read.schema(FOLDED).parquet(f"{folder}/all/batch={number - 1}").where("kept is not null")
+            old = old.where(F.col("t") >= old.agg((F.max("t") - ttl_s).alias("m")).first()["m"])
+            events_ = events_.unionByName(old.select("k", "id", "t", F.lit(0.0).alias("v"), "kept"))
+        ordered = events_.repartition("k").sortWithinPartitions("k", F.col("kept").isNull(), "t", "id")
+        ordered.mapInPandas(fold(rule), FOLDED).write.mode("overwrite").parquet(f"{folder}/all/batch={number}")
+
+    rows.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(FOLDED).parquet(f"{folder}/all") if exists(spark, f"{folder}/all") else spark.createDataFrame([], FOLDED)
+    return done.where("kept is null").select("k", "id", "t", "output")
 
-    return rows.groupBy("k").applyInPandasWithState(run, "k string, id string, t double, output double", "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 # --- sources and sinks --------------------------------------------------------------------------------------
@@ -149,13 +186,16 @@ def drain(df: DataFrame, what: str) -> DataFrame:
 
 
 class VersionedTable:
-    """A Parquet table that micro-batches upsert: each batch writes a new version, the pointer moves when it is whole.
+    """A Parquet table that micro-batches upsert by key.
 
-    A batch that was written before is skipped, so that a restart replays nothing twice.
+    Rows lie in buckets by the hash of their key. A batch rewrites the buckets that it touches under its number and
+    then writes a manifest with the version of each bucket, at which moment it counts. Versions that no manifest
+    but the last uses are deleted with the batch after. A batch that was written before is skipped, so that a restart
+    replays nothing twice.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema) -> None:
-        self.spark, self.folder, self.schema = spark, folder, schema
+    def __init__(self, spark: SparkSession, folder: str, schema, keys: list[str], buckets: int = 64) -> None:
+        self.spark, self.folder, self.schema, self.keys, self.buckets = spark, folder, schema, keys, buckets
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -167,13 +207,33 @@ class VersionedTable:
         if not fs.exists(path(self.folder)):
             return -1
         done = [s.getPath().getName() for s in fs.listStatus(path(self.folder))]
-        return max((int(n[1:]) for n in done if n.startswith("v") and fs.exists(path(f"{self.folder}/{n}/_SUCCESS"))), default=-1)
+        return max((int(n[1:]) for n in done if n.startswith("m") and fs.exists(path(f"{self.folder}/{n}/_SUCCESS"))), default=-1)
 
-    def read(self) -> DataFrame:
+    def _manifest(self) -> dict[int, tuple[int, int]]:
+        """(version, former version) of each bucket that has rows."""
         v = self.version()
-        return self.spark.createDataFrame([], self.schema) if v < 0 else self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{v}")
+        rows = self.spark.read.parquet(f"{self.folder}/m{v}").collect() if v >= 0 else []
+        return {r["bucket"]: (r["version"], r["former"]) for r in rows}
+
+    def _read(self, versions: dict[int, tuple[int, int]]) -> DataFrame:
+        paths = [f"{self.folder}/v{v}/bucket={b}" for b, (v, _) in versions.items()]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self) -> DataFrame:
+        return self._read(self._manifest())
 
     def upsert(self, batch: DataFrame, number: int, merge) -> None:
         """``merge(old, batch) -> new``; to be called from ``foreachBatch``."""
-        if number > self.version():
-            merge(self.read(), batch).write.mode("overwrite").parquet(f"{self.folder}/v{number}")
+        if number <= self.version():
+            return
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        touched = {r[0] for r in batch.select(bucket.alias("b")).distinct().collect()}
+        now = self._manifest()
+        fs, path = self._fs()
+        for b, (_, former) in now.items():
+            if former >= 0:
+                fs.delete(path(f"{self.folder}/v{former}/bucket={b}"), True)
+        new = merge(self._read({b: v for b, v in now.items() if b in touched}), batch).withColumn("bucket", bucket)
+        new.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/v{number}")
+        rows = [(b, number, now[b][0] if b in now else -1) for b in touched] + [(b, v, -1) for b, (v, _) in now.items() if b not in touched]
+        self.spark.createDataFrame(rows, "bucket int, version int, former int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/m{number}")
