@@ -12,12 +12,10 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import frontier as R
 from ..operators import graph as G
-from ..operators import html as H
 from ..operators import profile as P
 from ..operators import search as S
 from ..operators import storage as W
 from ..sources import table
-from .parse_queries import as_html
 from .search_queries import INDEX, index_of, plain_sql
 from .url_queries import HOST, PATH
 
@@ -64,33 +62,10 @@ def snk13_index_update(spark, root):
     return new.groupBy("term").agg(F.count("*").alias("doc"))
 
 
-def ex5_language(spark, root):
-    """html@lang, else the language of the address."""
-    rows = as_html(_t(spark, root, "pages"))
-    tag = U.language_tag(F.regexp_extract("html", '<html lang="([^"]*)"', 1))
-    return rows.select("page_id", F.coalesce(F.nullif(tag, F.lit("")), U.language_of_url(F.col("url"))).alias("language"))
-
-
-def ex11_headings(spark, root):
-    html = as_html(_t(spark, root, "pages"))
-    texts = F.transform(F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), F.lit(1)), lambda x: X.squeeze(x))
-    return html.select("page_id", F.array_join(F.array_distinct(texts), " ").alias("h1"))
-
-
 def ex12_cut(spark, root):
     return _t(spark, root, "pages").select("page_id", F.octet_length(X.truncated(F.col("content"), 1000)).between(0, 1000).alias("fits"), F.length(X.truncated(F.col("title"), 20)).alias("chars"))
 
 
-def ex13_links(spark, root):
-    """Links of a page by expressions: fragments, scripts and mail addresses are skipped, the rest resolved and filtered."""
-    html = as_html(_t(spark, root, "pages"))
-    hrefs = F.filter(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)), lambda x: ~x.rlike("^(#|javascript:|mailto:|tel:)") & (x != ""))
-    base = F.concat(U.scheme(F.col("url")), F.lit("://"), U.host(F.col("url")))
-    rows = html.select("page_id", base.alias("base"), F.posexplode(F.array_distinct(hrefs)).alias("pos", "href"))
-    full = F.when(F.col("href").startswith("/"), F.concat("base", "href")).otherwise(F.col("href"))
-    return rows.select("page_id", full.alias("link")).where(~U.non_indexable(F.col("link")))
-
-
 def ex25_persisted(spark, root):
     u = F.col("url")
     return _t(spark, root, "pages").select("page_id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"), U.region(U.domain(u)).alias("region"), F.left("title", F.lit(500)).alias("title"))
@@ -341,9 +316,6 @@ ORACLES = {
     "snk4_images": "SELECT url || '#img' AS url, page_id AS source_id, title AS alt_text FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY coalesce(crawled_at, TIMESTAMP '1970-01-01') DESC, page_id DESC) AS k FROM pages) WHERE k = 1",
     "snk6_outlinks": """WITH o AS (SELECT page_id, list_filter([url, 'ftp://x', 'https://', 'https://' || domain, 'http://a.example/1', 'http://a.example/2'], lambda x: regexp_matches(x, '^https?://[^/]+'))[1:3] AS o FROM pages) SELECT page_id, CAST(i AS INTEGER) AS pos, o[i + 1] AS target FROM o, LATERAL (SELECT unnest(range(0, len(o))) AS i) r""",
     "snk13_index_update": f"WITH {INDEX} SELECT term, CAST(count(*) AS BIGINT) AS doc FROM post GROUP BY term",
-    "ex5_language": f"""SELECT page_id, coalesce(nullif(CASE WHEN strlen(regexp_extract(lower(trim(coalesce(language, ''))), '^([^-_]*)', 1)) BETWEEN 2 AND 3 THEN regexp_extract(lower(trim(language)), '^([^-_]*)', 1) ELSE '' END, ''), {_LANG_URL}) AS language FROM pages""",
-    "ex11_headings": rf"SELECT page_id, trim(regexp_replace({_ESC.format(x='h1')}, '\s+', ' ', 'g')) AS h1 FROM pages",
-    "ex13_links": f"SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || {HOST} || '/about' AS link FROM pages",
     "ex25_persisted": "SELECT page_id, sha256(coalesce(content, '')) AS content_hash, '' AS region, left(title, 500) AS title FROM pages",
     "url4_domains": f"SELECT regexp_replace({HOST}, '^www[.]', '') AS site, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY 1",
     "url9_indexable": f"""SELECT queue_id FROM crawl_queue WHERE NOT (lower(regexp_extract({PATH}, '([.][^./]*)$', 1)) IN ({", ".join(f"'{x}'" for x in U.BINARY + U.ASSET)}) OR regexp_matches(lower({PATH}), '^({"|".join(U.NO_CONTENT)})') OR regexp_matches(lower({PATH}), '{"|".join(U.CHALLENGE)}'))""",
