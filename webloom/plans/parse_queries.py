@@ -140,7 +140,8 @@ _CYRILLIC, _AS_BYTES = ("".join(map(chr, range(a, a + 64))) for a in (0x410, 0xC
 def src9_decoded(spark, root):
     """Titles as bytes in the first old encoding that can write them, decoded by the declared one."""
     t = F.coalesce("title", F.lit(""))
-    latin, cyrillic = ~t.rlike("[^\\x00-\\x7f\\xa0-\\xff]"), ~t.rlike("[^\\x00-\\x7f\u0410-\u044f]")
+    # Bytes that happen to be sound UTF-8 are read as such, whatever is declared; such titles are written in UTF-8.
+    latin, cyrillic = ~t.rlike("[^\\x00-\\x7f\\xa0-\\xff]|[\\xc2-\\xf4][\\x80-\\xbf]"), ~t.rlike("[^\\x00-\\x7f\u0410-\u044f]")
     raw = F.when(latin, F.encode(t, "ISO-8859-1")).when(cyrillic, F.encode(F.translate(t, _CYRILLIC, _AS_BYTES), "ISO-8859-1")).otherwise(F.encode(t, "UTF-8"))
     name = F.when(latin, "iso-8859-1").when(cyrillic, "windows-1251").otherwise("utf-8")
     return table(spark, root, "pages").select("page_id", H.decoded(raw, F.concat(F.lit("text/html; charset="), name)).alias("title"))
