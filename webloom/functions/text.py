@@ -144,6 +144,11 @@ def edit_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_similarity(x or "", y or "") for x, y in zip(a, b)])
 
 
+@F.pandas_udf(T.DoubleType())
+def token_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([token_similarity(x or "", y or "") for x, y in zip(a, b)])
+
+
 def strip_marks(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
 

@@ -257,6 +257,17 @@ def parse(query: str, platforms: frozenset[str] = frozenset(), site_types: froze
     return Query(query, normal, tokens, phrase, domain, nav, platform, site_type, fresh, dated, navigational)
 
 
+def parsed(queries: DataFrame, platforms: frozenset[str] = frozenset(), site_types: frozenset[str] = frozenset()) -> DataFrame:
+    """``queries(query)`` with what ``parse`` says of each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            q = [parse(x, platforms, site_types) for x in pdf["query"]]
+            yield pd.DataFrame({"query": pdf["query"], "tokens": [x.tokens for x in q], "phrase": [x.phrase for x in q], "domain": [x.domain for x in q], "platform": [x.platform for x in q], "site_type": [x.site_type for x in q], "fresh": [x.fresh for x in q], "dated": [x.dated for x in q], "navigational": [x.navigational for x in q]})
+
+    return queries.select("query").where("query is not null").mapInPandas(run, "query string, tokens array<string>, phrase array<string>, domain string, platform string, site_type string, fresh boolean, dated boolean, navigational boolean")
+
+
 def candidate_limit(limit: int, offset: int = 0) -> int:
     return min(500, max(300, offset + 8 * limit + 30))
 
@@ -482,6 +493,22 @@ def term_frequency(words: list[str], idf: dict[str, float], fields: dict[str, li
     return total
 
 
+def field_scores(pages: DataFrame, words: list[str], idf: dict[str, float], key: str = "page_id") -> DataFrame:
+    """(page_id, coverage of the title, tf over the headings) of each page for the words of a query."""
+    names = [c for c in FIELD_WEIGHTS if c in pages.columns]
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [dict(zip(names, r)) for r in zip(*(pdf[n].map(list) for n in names))]
+            got = [coverage(words, idf, list(dict.fromkeys(r["title"]))) for r in rows]
+            yield pd.DataFrame({"k": pdf["k"], "coverage": [{"mean": c[0], "share": c[1], "exact": c[2]} for c in got], "tf": [term_frequency(words, idf, r) for r in rows]})
+
+    rows = pages.select(F.col(key).cast("string").alias("k"), *[X.tokens(F.col(n)).alias(n) for n in names])
+    out = rows.mapInPandas(run, "k string, coverage struct<mean: double, share: double, exact: int>, tf double")
+    return out.withColumn(key, F.col("k").cast(kind)).drop("k")
+
+
 class Ranker:
     """Score of one candidate for one query; the parts and their order follow the documented composition."""
 
@@ -547,39 +574,65 @@ class Ranker:
         words = len(self.q.tokens) + (len(self.q.site_type) >= 3)
         return n * 2000.0 + (5000.0 if n == words else 0.0) if n >= 2 else 0.0
 
+    def parts(self, r) -> dict[str, float]:
+        """Parts of the total that rest on the address and the plan."""
+        host, label = r.host or "", r.label or ""
+        root, home = host == (r.registered or ""), bool(r.homepage)
+        forms = [X.plain_str(x or "") for x in (r.domain, r.registered, r.label)]
+        words = list(dict.fromkeys(w for s in forms for w in s.split()))
+        profile = any(f"/{x}/" in (r.url or "").lower() for x in PROFILES)
+        phrase = X.phrase_score(self.q.normal, self.q.tokens, forms[0], words)
+        return {"address": self.address(r.url or "", host, label, home, root), "brand": self.brand(label), "navigational": self.navigational(r.domain or "", label, root, home, profile, phrase), "bonus": MODE_BONUS.get(r.mode, 0.0), "user": min(r.score, 500.0) * 0.1}
+
     def total(self, r) -> float:
         """``r``: a row with the candidate's fields and the native parts (authority, freshness, address forms)."""
         q = self.q
         norm = {k: X.plain_str(getattr(r, k, None) or "") for k in ("title", "h1", "h2", "description", "url", "domain")}
         forms = [norm["domain"], X.plain_str(r.registered or ""), X.plain_str(r.label or "")]
         a, b, c, d, e = PARTS[q.navigational]
-        host = r.host or ""
-        root = host == (r.registered or "")
-        score = a * self.content(norm, forms) + b * r.authority + c * self.address(r.url or "", host, r.label or "", bool(r.homepage), root) + d * r.freshness + e * min(r.score, 500.0) * 0.1
-        score += r.score * 40.0 + MODE_BONUS.get(r.mode, 0.0)
+        own = self.parts(r)
+        score = a * self.content(norm, forms) + b * r.authority + c * own["address"] + d * r.freshness + e * own["user"]
+        score += r.score * 40.0 + own["bonus"]
         if self.lang and r.language == self.lang:
             score += self.boosts[0]
         elif self.lang and self.lang != self.secondary and r.language == self.secondary:
             score += self.boosts[1]
-        profile = any(f"/{x}/" in (r.url or "").lower() for x in ("user", "profile", "u", "people", "member", "author", "accounts"))
-        if q.navigational:
-            words = list(dict.fromkeys(w for s in forms for w in s.split()))
-            score += self.navigational(r.domain or "", r.label or "", root, bool(r.homepage), profile, X.phrase_score(q.normal, q.tokens, norm["domain"], words))
-        else:
-            score += self.brand(r.label or "")
+        score += own["navigational" if q.navigational else "brand"]
         if q.site_type in ("noticias", "news"):
             score += r.freshness * 40 + (0.0 if q.dated else r.news)
         return score
 
 
-def rank(candidates: DataFrame, pages: DataFrame, q: Query, as_of: datetime, lang: str = "", key: str = "page_id") -> DataFrame:
-    """(id, url, domain, language, rank, pos): candidates in their final order."""
+# First parts of the addresses of profiles.
+PROFILES = ("user", "profile", "u", "people", "member", "author", "accounts")
+
+
+def _seen(candidates: DataFrame, pages: DataFrame, as_of: datetime, key: str) -> DataFrame:
+    """Candidates with their fields and native parts."""
     u, now = F.col("url"), F.lit(as_of)
     keep = [c for c in ("url", "title", "h1", "h2", "description", "domain", "language", "crawled_at") if c in pages.columns]
-    rows = candidates.join(pages.withColumnRenamed(key, "id"), "id").select(
+    return candidates.join(pages.withColumnRenamed(key, "id"), "id").select(
         "id", "score", "mode", *keep, U.domain(u).alias("host"), U.registered_domain(U.domain(u)).alias("registered"), U.root_label(U.domain(u)).alias("label"), U.is_homepage(u).alias("homepage"),
         authority(F.col("pagerank"), F.col("referring_domains")).alias("authority"), freshness(F.col("crawled_at"), F.col("published_at"), now).alias("freshness"), news_recency(F.col("published_at"), now).alias("news"),
     )
+
+
+def rank_parts(candidates: DataFrame, pages: DataFrame, q: Query, as_of: datetime, key: str = "page_id") -> DataFrame:
+    """(id, address, brand, navigational, bonus, user): those parts of the ranker's total for each candidate."""
+    rows = _seen(candidates, pages, as_of, key)
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranker = Ranker(q)
+        for pdf in batches:
+            yield pd.DataFrame([{"id": r.id, **ranker.parts(r)} for r in pdf.itertuples()], columns=["id", "address", "brand", "navigational", "bonus", "user"])
+
+    return rows.mapInPandas(run, f"id {kind}, address double, brand double, navigational double, bonus double, user double")
+
+
+def rank(candidates: DataFrame, pages: DataFrame, q: Query, as_of: datetime, lang: str = "", key: str = "page_id") -> DataFrame:
+    """(id, url, domain, language, rank, pos): candidates in their final order."""
+    rows = _seen(candidates, pages, as_of, key)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -20,7 +20,9 @@ from .search_queries import INDEX, index_of, plain_sql
 from .url_queries import HOST, PATH
 
 AS_OF = datetime(2024, 12, 1)
+S_NOW = datetime(2024, 6, 1)
 WORDS = ["river", "museum", "maps"]
+PLATFORMS, SITE_TYPES = frozenset({"reddit", "github"}), frozenset({"noticias", "news", "blog"})
 
 
 def _t(spark, root, name):
@@ -147,20 +149,30 @@ def ft15_stems(spark, root):
     return _t(spark, root, "pages").select("page_id", F.array_join(X.stems(X.tokens(F.col("title"))), " ").alias("stems"))
 
 
+def _asked(spark, root):
+    """Clicked queries, and some with every kind of intent, parsed by the engine."""
+    more = ["reddit warframe", "warframe reddit", "noticias uruguay", "uruguay news today", "example.com", "https://www.shop.example.org/a?b", "elections 2024", "report 12/05/2023", "marzo lluvias", "the", "from serie tv", "river museum maps"]
+    q = _t(spark, root, "click_log").select("query").where("query is not null").unionByName(spark.createDataFrame([(x,) for x in more], "query string")).distinct()
+    return S.parsed(q, PLATFORMS, SITE_TYPES)
+
+
+def qp1_tokens(spark, root):
+    """Words for retrieval and for phrases, without a platform or site-type word at either end."""
+    return _asked(spark, root).select("query", F.array_join("tokens", " ").alias("tokens"), F.array_join("phrase", " ").alias("phrase"))
+
+
 def qp4_intents(spark, root):
-    """Freshness and date intents of the clicked queries."""
-    toks = X.tokens(F.col("query"))
-    has = lambda words: F.arrays_overlap(toks, F.array(*[F.lit(w) for w in sorted(words)]))
-    q = _t(spark, root, "click_log").select("query").distinct().where("query is not null")
-    dated = F.col("query").rlike(r"\b(199[0-9]|20[0-9]{2}|2100)\b") | F.col("query").rlike(r"\b[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}\b|\b[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}\b") | has(S.MONTHS)
-    return q.select("query", has(S.FRESH).alias("fresh"), dated.alias("dated"))
+    """Freshness and date intents."""
+    return _asked(spark, root).select("query", "fresh", "dated")
+
+
+def qp6_edges(spark, root):
+    """Platform and site-type words count at either end only."""
+    return _asked(spark, root).select("query", "platform", "site_type", "domain")
 
 
 def qp7_classes(spark, root):
-    """One word asks for a site, three ask for a subject."""
-    kept = X.without_stopwords(X.tokens(F.col("query")))
-    q = _t(spark, root, "click_log").select("query").distinct().where("query is not null")
-    return q.select("query", F.when(F.size(kept) == 1, "navigational").otherwise("informational").alias("intent"))
+    return _asked(spark, root).select("query", F.when(F.col("navigational"), "navigational").otherwise("informational").alias("intent"))
 
 
 def qp8_domains(spark, root):
@@ -176,16 +188,18 @@ def rk8_user(spark, root):
     return P.click_counts(_t(spark, root, "click_log")).select("query", "url", F.round(F.least(F.col("clicks") * 50.0, F.lit(500.0)) * 0.1, 6).alias("points"))
 
 
+IDF = {"river": 2.0, "museum": 0.5, "maps": 0.0}
+
+
 def rk12_coverage(spark, root):
-    """Best similarity of each query word to the words of a title: equal, beginning, part."""
-    toks = X.tokens(F.col("title"))
+    """Mean similarity of the query words to those of a title, share matched and exact matches, weighted by idf."""
+    return S.field_scores(_t(spark, root, "pages"), WORDS, IDF).select("page_id", F.round("coverage.mean", 6).alias("avg"), F.round("coverage.share", 6).alias("share"), F.col("coverage.exact").alias("exact"))
 
-    def best(q):
-        sim = F.transform(toks, lambda t: F.when(t == q, 1.0).when(t.startswith(q) | F.lit(q).startswith(t), 0.94).when(t.contains(q) | F.lit(q).contains(t), 0.88).otherwise(0.0))
-        return F.coalesce(F.array_max(sim), F.lit(0.0))
 
-    scores = [best(w) for w in WORDS]
-    return _t(spark, root, "pages").select("page_id", F.round(sum(scores, F.lit(0.0)) / 3, 6).alias("avg"), sum(((s >= 0.72).cast("int") for s in scores), F.lit(0)).alias("matched"))
+def rk13_similarity(spark, root):
+    """Similarity of each word of a title to one query word."""
+    words = _t(spark, root, "pages").select(F.explode(X.tokens(F.col("title"))).alias("word")).distinct()
+    return words.select("word", F.round(X.token_similarity_udf(F.lit("museum"), F.col("word")), 6).alias("similarity"))
 
 
 def rk15_edits(spark, root):
@@ -194,13 +208,35 @@ def rk15_edits(spark, root):
 
 
 def rk16_frequency(spark, root):
-    t, h, d = (X.tokens(F.col(c)) for c in ("title", "h1", "description"))
+    return S.field_scores(_t(spark, root, "pages"), WORDS, IDF).select("page_id", F.round("tf", 6).alias("tf"))
+
+
+def _candidates(spark, root, query, n=200):
+    """Pages that hold a word of a query, as the ranker sees them."""
+    pages = _t(spark, root, "pages")
+    q = S.parse(query, PLATFORMS, SITE_TYPES)
+    found = S.bm25(index_of(spark, root), q.tokens, need=1).select("id", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "id").limit(n).withColumn("mode", F.lit("exact"))
+    return found, pages, q
+
+
+def rk5_address(spark, root):
+    """Signals of the address: query words in its parts, depth, brand."""
+    found, pages, q = _candidates(spark, root, "harbour garden river")
+    return S.rank_parts(found, pages, q, S_NOW).select("id", F.round("address", 6).alias("points"))
+
+
+def rk9_navigational(spark, root):
+    """Boosts of a query that asks for a site."""
+    found, pages, q = _candidates(spark, root, "norwick")
+    flat = pages.select(F.col("page_id").alias("id"), F.lit(1.0).alias("score"), F.lit("navigational").alias("mode"))
+    return S.rank_parts(flat, pages, S.parse("farnnomoor-blog.test"), S_NOW).select("id", F.round("navigational", 6).alias("points"))
 
-    def count(words, w, cap):
-        return F.least(F.size(F.filter(words, lambda x: x == w)), F.lit(cap))
 
-    total = sum((3.0 * count(t, w, 4) + 2.0 * count(h, w, 5) + 2.0 * count(d, w, 5) for w in WORDS), F.lit(0.0))
-    return _t(spark, root, "pages").select("page_id", total.alias("tf"))
+def rk17_bonus(spark, root):
+    """Bonus of the plan, and the user's signal, for each candidate."""
+    found, pages, q = _candidates(spark, root, "harbour garden river")
+    modes = F.element_at(F.array(*[F.lit(m) for m in S.MODE_BONUS]), (F.col("id") % len(S.MODE_BONUS) + 1).cast("int"))
+    return S.rank_parts(found.withColumn("mode", modes), pages, q, S_NOW).select("id", "bonus", F.round("user", 6).alias("user"))
 
 
 def rk18_filtered(spark, root):
@@ -300,9 +336,19 @@ _LANG_URL = f"""(SELECT CASE WHEN regexp_full_match(a, '[a-z]{{2,3}}') THEN a WH
     FROM (SELECT regexp_extract(lower(split_part(regexp_replace({PATH}, '^/+|/+$', '', 'g'), '/', 1)), '^([^-_]*)', 1) AS a, CASE WHEN {HOST} LIKE '%.%' THEN regexp_extract(split_part({HOST}, '.', 1), '^([^-_]*)', 1) ELSE '' END AS b))"""
 _TITLE = f"list_filter(string_split(coalesce({plain_sql('title')}, ''), ' '), lambda x: x <> '')"
 _W = lambda c: f"list_filter(string_split(coalesce({plain_sql(c)}, ''), ' '), lambda x: x <> '')"
-_SIM = "coalesce(list_max(list_transform(ws, lambda t: CASE WHEN t = '{q}' THEN 1.0 WHEN starts_with(t, '{q}') OR starts_with('{q}', t) THEN 0.94 WHEN contains(t, '{q}') OR contains('{q}', t) THEN 0.88 ELSE 0.0 END)), 0.0)"
+_SIM1 = """CASE WHEN {t} = '{q}' THEN 1.0 WHEN starts_with({t}, '{q}') OR starts_with('{q}', {t}) THEN 0.94 WHEN contains({t}, '{q}') OR contains('{q}', {t}) THEN 0.88 WHEN least(length({t}), length('{q}')) < 4 OR abs(length({t}) - length('{q}')) > 0.3 * greatest(length({t}), length('{q}')) THEN 0.0
+    WHEN 1 - damerau_levenshtein({t}, '{q}')::DOUBLE / greatest(length({t}), length('{q}')) >= 0.72 THEN 1 - damerau_levenshtein({t}, '{q}')::DOUBLE / greatest(length({t}), length('{q}')) ELSE 0.0 END"""
+_SIM = "coalesce(list_max(list_transform(ws, lambda t: " + _SIM1.format(q="{q}", t="t") + ")), 0.0)"
 _HAS = lambda ws: "list_has_any(ws, [" + ", ".join(f"'{w}'" for w in sorted(ws)) + "])"
 _STOP = lambda ws: "[" + ", ".join(f"'{w}'" for w in sorted(ws)) + "]"
+_ASK = ["reddit warframe", "warframe reddit", "noticias uruguay", "uruguay news today", "example.com", "https://www.shop.example.org/a?b", "elections 2024", "report 12/05/2023", "marzo lluvias", "the", "from serie tv", "river museum maps"]
+_KEPT = f"""CASE WHEN {_HAS(X.MEDIA_WORDS)} THEN list_filter(ws, lambda x: NOT list_contains({_STOP(X.STOPWORDS - X.TITLE_WORDS)}, x)) ELSE list_filter(ws, lambda x: NOT list_contains({_STOP(X.STOPWORDS)}, x)) END"""
+_DOMAIN = r"""(SELECT CASE WHEN contains(d, '.') THEN trim(d, './ ') ELSE '' END FROM (SELECT regexp_replace(CASE WHEN contains(l, '://') THEN regexp_replace(l, '^[a-z][a-z0-9+.-]*://(?:[^@/?#]*@)?([^/?#:]*).*$', '\1') WHEN contains(l, '.') AND NOT contains(l, ' ') THEN regexp_extract(l, '^([^/?#:]*)', 1) ELSE l END, '^www[.]', '') AS d FROM (SELECT trim(lower(query)) AS l)))"""
+_ASKED = f"""q AS (SELECT DISTINCT query FROM (SELECT query FROM click_log WHERE query IS NOT NULL UNION ALL SELECT unnest([{", ".join(f"'{x}'" for x in _ASK)}]))), a AS (SELECT query, {_W('query')} AS ws FROM q),
+    b AS (SELECT *, list_filter([ws[1], CASE WHEN len(ws) > 1 THEN ws[-1] END], lambda x: x IN ('reddit', 'github')) AS ps, list_filter([ws[1], CASE WHEN len(ws) > 1 THEN ws[-1] END], lambda x: x IN ('noticias', 'news', 'blog')) AS ts, {_KEPT} AS kept FROM a),
+    c AS (SELECT query, ws, CASE WHEN len(ps) = 1 THEN ps[1] ELSE '' END AS platform, CASE WHEN len(ts) = 1 AND len(ps) <> 1 THEN ts[1] ELSE '' END AS site_type, CASE WHEN len(ws) <= 1 OR len(kept) = 0 THEN ws ELSE kept END AS sharp FROM b),
+    asked AS (SELECT query, ws, platform, site_type, {_DOMAIN} AS domain, CASE WHEN len(list_filter(sharp, lambda x: x NOT IN (platform, site_type))) = 0 THEN sharp ELSE list_filter(sharp, lambda x: x NOT IN (platform, site_type)) END AS tokens,
+    CASE WHEN len(list_filter(ws, lambda x: x NOT IN (platform, site_type))) = 0 THEN ws ELSE list_filter(ws, lambda x: x NOT IN (platform, site_type)) END AS phrase FROM c)"""
 _ITOK = r"regexp_split_to_array(lower({x}), '[^\p{L}\p{Nd}]+')"
 _PROFILE = f"SELECT term, CAST(2 * count(*) AS DOUBLE) AS weight FROM (SELECT unnest({_ITOK.replace('{x}', 'query')}) AS term FROM click_log) WHERE strlen(term) > 2 GROUP BY term"
 from .table_queries import _GRAPH, ORACLES as _TABLE  # noqa: E402
@@ -331,14 +377,26 @@ ORACLES = {
     "t2_order": f"""SELECT page_id FROM pages ORDER BY round(pagerank, 1) DESC NULLS LAST, {_HOME} DESC, crawled_at DESC NULLS LAST, url, page_id LIMIT 50""",
     "t10_outlinks": f"WITH {_GRAPH} SELECT source_id, coalesce(n.r.u, 'hash:' || target_hash) AS target, created_at FROM links LEFT JOIN nodes n ON n.node = target_hash WHERE source_id = 1 ORDER BY created_at DESC, target LIMIT 50",
     "ft11_domain_tokens": "SELECT page_id, h AS hits FROM (SELECT page_id, " + " + ".join(f"CAST(contains(lower(domain), '{w}') AS INTEGER)" for w in ("wiki", "bury", "gal", "nor")) + " AS h FROM pages) WHERE h >= 2",
-    "qp4_intents": rf"""SELECT query, {_HAS(S.FRESH)} AS fresh, regexp_matches(query, '\b(199[0-9]|20[0-9]{{2}}|2100)\b') OR regexp_matches(query, '\b[0-9]{{1,2}}[-/][0-9]{{1,2}}[-/][0-9]{{2,4}}\b|\b[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}\b') OR {_HAS(S.MONTHS)} AS dated FROM (SELECT DISTINCT query, {_W('query')} AS ws FROM click_log WHERE query IS NOT NULL)""",
-    "qp7_classes": f"""WITH w AS (SELECT DISTINCT query, {_W('query')} AS ws FROM click_log WHERE query IS NOT NULL), k AS (SELECT query, ws, CASE WHEN {_HAS(X.MEDIA_WORDS)} THEN list_filter(ws, lambda x: NOT list_contains({_STOP(X.STOPWORDS - X.TITLE_WORDS)}, x)) ELSE list_filter(ws, lambda x: NOT list_contains({_STOP(X.STOPWORDS)}, x)) END AS r FROM w)
-        SELECT query, CASE WHEN len(CASE WHEN len(ws) <= 1 OR len(r) = 0 THEN ws ELSE r END) = 1 THEN 'navigational' ELSE 'informational' END AS intent FROM k""",
+    "qp4_intents": rf"""WITH {_ASKED} SELECT query, {_HAS(S.FRESH)} OR site_type IN ('noticias', 'news') AS fresh, regexp_matches(query, '\b(199[0-9]|20[0-9]{{2}}|2100)\b') OR regexp_matches(query, '\b[0-9]{{1,2}}[-/][0-9]{{1,2}}[-/][0-9]{{2,4}}\b|\b[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}\b') OR {_HAS(S.MONTHS)} AS dated FROM asked""",
+    "qp6_edges": f"WITH {_ASKED} SELECT query, platform, site_type, domain FROM asked",
+    "qp1_tokens": f"WITH {_ASKED} SELECT query, array_to_string(tokens, ' ') AS tokens, array_to_string(phrase, ' ') AS phrase FROM asked",
+    "qp7_classes": rf"""WITH {_ASKED} SELECT query, CASE WHEN (site_type <> '' AND platform = '' AND domain = '') OR (({_HAS(S.FRESH)} OR site_type IN ('noticias', 'news')) AND platform = '') THEN 'informational'
+        WHEN domain <> '' OR platform <> '' OR len(tokens) = 1 THEN 'navigational' ELSE 'informational' END AS intent FROM asked""",
     "qp8_domains": f"""WITH w AS (SELECT {_W('query')} AS ws FROM click_log), n AS (SELECT unnest(ws) AS l FROM w UNION SELECT ws[i] || ws[i + 1] FROM w, LATERAL (SELECT unnest(range(1, len(ws))) AS i) r), d AS (SELECT domain, regexp_extract(domain, '([^.]*)[.][^.]*$', 1) AS label FROM domains)
         SELECT label, min(domain) AS domain FROM d WHERE label IN (SELECT l FROM n) GROUP BY label""",
     "rk8_user": f"SELECT query, url, round(least(50.0 * count(*), 500) * 0.1, 6)::DOUBLE AS points FROM (SELECT {plain_sql('query')} AS query, url FROM click_log) WHERE query <> '' GROUP BY query, url",
-    "rk12_coverage": f"""WITH w AS (SELECT page_id, {_TITLE} AS ws FROM pages), s AS (SELECT page_id, {", ".join(f"{_SIM.format(q=q)} AS s{i}" for i, q in enumerate(WORDS))} FROM w) SELECT page_id, round((s0 + s1 + s2)::DOUBLE / 3, 6) AS avg, CAST(s0 >= 0.72 AS INTEGER) + CAST(s1 >= 0.72 AS INTEGER) + CAST(s2 >= 0.72 AS INTEGER) AS matched FROM s""",
-    "rk16_frequency": f"""WITH w AS (SELECT page_id, {_W('title')} AS t, {_W('h1')} AS h, {_W('description')} AS d FROM pages) SELECT page_id, CAST({" + ".join(f"3 * least(len(list_filter(t, lambda x: x = '{q}')), 4) + 2 * least(len(list_filter(h, lambda x: x = '{q}')), 5) + 2 * least(len(list_filter(d, lambda x: x = '{q}')), 5)" for q in WORDS)} AS DOUBLE) AS tf FROM w""",
+    "rk12_coverage": f"""WITH w AS (SELECT page_id, {_TITLE} AS ws FROM pages), s AS (SELECT page_id, len(ws) = 0 AS none, {", ".join(f"{_SIM.format(q=q)} AS s{i}" for i, q in enumerate(WORDS))} FROM w)
+        SELECT page_id, round((2.0 * s0 + 0.5 * s1 + 1.0 * s2)::DOUBLE / 3.5, 6) AS avg, round((CASE WHEN s0 >= 0.72 THEN 2.0 ELSE 0 END + CASE WHEN s1 >= 0.72 THEN 0.5 ELSE 0 END + CASE WHEN s2 >= 0.72 THEN 1.0 ELSE 0 END)::DOUBLE / 3.5, 6) AS share,
+        CAST(s0 = 1 AS INTEGER) + CAST(s1 = 1 AS INTEGER) + CAST(s2 = 1 AS INTEGER) AS exact FROM s""",
+    "rk13_similarity": f"SELECT word, round(coalesce({_SIM1.format(q='museum', t='word')}, 0)::DOUBLE, 6) AS similarity FROM (SELECT DISTINCT unnest({_TITLE}) AS word FROM pages)",
+    "rk16_frequency": f"""WITH w AS (SELECT page_id, {_W('title')} AS t, {_W('h1')} AS h, {_W('description')} AS d FROM pages) SELECT page_id, round(CAST({" + ".join(f"{IDF[q] or 1.0} * (3 * least(len(list_filter(t, lambda x: x = '{q}')), 4) + 2 * least(len(list_filter(h, lambda x: x = '{q}')), 5) + 2 * least(len(list_filter(d, lambda x: x = '{q}')), 5))" for q in WORDS)} AS DOUBLE), 6) AS tf FROM w""",
+    "rk5_address": f"""WITH {INDEX}, {bm25_sql(_terms(["harbour", "garden", "river"]))}, c AS (SELECT id FROM s ORDER BY round(score, 6) DESC, id LIMIT 200), p AS (SELECT id, list_filter(regexp_split_to_array(trim(lower(url), '/'), '[/\\-_.?=&]'), lambda x: true) AS parts, length(url) - length(replace(url, '/', '')) - 2 AS depth,
+        regexp_extract(regexp_replace({HOST}, '^www[.]', ''), '([^.]*)[.][^.]*$', 1) AS label FROM c JOIN pages ON page_id = id),
+        k AS (SELECT id, depth, {" + ".join(f"CAST(len(list_filter(parts, lambda x: contains(x, '{w}') OR (x <> '' AND contains('{w}', x)))) > 0 AS INTEGER)" for w in ("harbour", "garden", "river"))} AS hit, {" + ".join(f"CAST(contains(label, '{w}') AND {len(w)} * 100 // length(label) >= 40 AS INTEGER)" for w in ("harbour", "garden", "river"))} AS brand FROM p)
+        SELECT id, CAST(200 * hit + CASE WHEN hit = 3 THEN 300 ELSE 0 END + CASE WHEN depth <= 1 THEN 60 WHEN depth <= 2 THEN 30 ELSE 0 END + 400 * brand + CASE WHEN brand >= 2 THEN 800 ELSE 0 END AS DOUBLE) AS points FROM k""",
+    "rk9_navigational": f"""SELECT page_id AS id, CAST(CASE WHEN regexp_matches(lower(url), '/(user|profile|u|people|member|author|accounts)/') OR coalesce(domain, '') <> 'farnnomoor-blog.test' THEN 0 WHEN {_HOME} THEN 29000 ELSE 8000 END AS DOUBLE) AS points FROM pages""",
+    "rk17_bonus": f"""WITH {INDEX}, {bm25_sql(_terms(["harbour", "garden", "river"]))}, c AS (SELECT id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, id LIMIT 200)
+        SELECT id, CAST(CASE id % 6 {" ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(S.MODE_BONUS.values()))} END AS DOUBLE) AS bonus, round(least(score, 500) * 0.1, 6) AS user FROM c""",
     "rk18_filtered": "SELECT page_id FROM pages WHERE lower(domain) = 'tulriley.test' AND lower(schema_type) = 'article'",
     "rk19_bodies": "WITH t AS (SELECT * FROM pages ORDER BY pagerank DESC NULLS LAST, page_id LIMIT 20) SELECT page_id, left(content, 4000) AS body, left(coalesce(nullif(description, ''), content), 240) AS snippet FROM t",
     "sp3_levenshtein": f"SELECT page_id, CAST(levenshtein({HOST}, domain) AS INTEGER) AS distance FROM pages WHERE domain IS NOT NULL",
