@@ -58,3 +58,21 @@ def test_split_join_keeps_hot_rows_in_place(spark, monkeypatch):
         assert sorted(map(tuple, skew.split_join(rows, table, ["k"], "n").select("k", "x", "m").collect())) == want
         assert sorted(map(tuple, skew.split_join(rows, table, ["k"], "n", "left_semi").collect())) == sorted((k, x) for k, x, _ in want)
     assert skew.split_join(rows.limit(0), table, ["k"], "n").count() == skew.split_join(rows, table.limit(0), ["k"], "n").count() == 0
+
+
+def test_places_and_tops_of_a_hot_key(spark, monkeypatch):
+    """One key holds half of all rows: places and tops are those of plain sorting, whatever the number of tasks."""
+    rng = random.Random(5)
+    data = [("hot" if i % 2 else f"k{rng.randrange(9)}", rng.randrange(40), i) for i in range(700)] + [(None, 1, 700), (None, 0, 701)]
+    rows = spark.createDataFrame(data, "k string, v int, i long")
+    order = [F.col("v").desc(), F.col("i")]
+    want = {}
+    for k, v, i in sorted(data, key=lambda r: (r[0] or "", -r[1], r[2])):
+        want.setdefault(k, []).append(i)
+    places = {i: n for ids in want.values() for n, i in enumerate(ids, 1)}
+    for parts in ("4", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        assert {r["i"]: r["place"] for r in skew.places_per_key(rows, "k", order).collect()} == places
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {r["i"]: r["nth"] for r in skew.top_per_key(rows, "k", order, 5).collect()} == {i: n for i, n in places.items() if n <= 5}
+    assert skew.places_per_key(rows.limit(0), "k", order).count() == skew.top_per_key(rows.limit(0), "k", order, 5).count() == 0

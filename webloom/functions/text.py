@@ -35,6 +35,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(p, " "), lambda x: x != "")
 
 
+def first_occurrences(words: Column) -> Column:
+    """Words without their repetitions, in order."""
+    return F.array_distinct(words)
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

@@ -279,3 +279,9 @@ def blocked_patterns(images: bool) -> list[str]:
     """Address patterns of files that a renderer need not load: four for each ending."""
     ends = [e for e in BINARY if e not in IMAGE and e not in (".mjs",)] + (IMAGE if images else [])
     return [f"{start}{e}{tail}" for e in ends for start in ("*://*/*", "*://*:*/*") for tail in ("", "?*")]
+
+
+def client_address(forwarded: Column, real: Column, peer: Column) -> Column:
+    """The first forwarded address, else the real one, else the peer's."""
+    first = F.nullif(F.trim(F.split_part(forwarded, F.lit(","), F.lit(1))), F.lit(""))
+    return F.coalesce(first, F.nullif(F.trim(real), F.lit("")), peer)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from .skew import places_per_key, top_per_key
 
 NORMAL, SEED, DISCOVERY, RECRAWL = 10.0, 100.0, 50.0, 5.0
 DEPTH_K = 12.0
@@ -40,11 +41,8 @@ def admit(links: DataFrame, pages: DataFrame, blocked: DataFrame | None = None,
     rows = rows.join(pages.select(U.canonical(F.col("url")).alias("canonical")).distinct(), "canonical", "left_anti")
     known = pages.groupBy(U.fingerprint(F.col("url")).alias("fingerprint")).agg(F.count("*").alias("known"))
     rows = rows.join(known, "fingerprint", "left").withColumn("known", F.coalesce("known", F.lit(0)))
-    nth = F.row_number().over(Window.partitionBy("fingerprint").orderBy("depth", "canonical"))
-    limit = F.lit(1) if strict else F.lit(per_shape)
-    # The plain bound on the rank is applied before the shuffle, so that a huge shape is cut where it is read.
     most = 1 if strict else per_shape
-    rows = rows.withColumn("nth", nth).where(F.col("nth") <= most).where(F.col("nth") + F.col("known") <= limit)
+    rows = top_per_key(rows, "fingerprint", [F.col("depth"), F.col("canonical")], most).where(F.col("nth") + F.col("known") <= most)
     return rows.select(u.alias("url"), "domain", "fingerprint", "depth", static_score(F.col("base"), F.col("depth")).alias("score"))
 
 
@@ -58,15 +56,16 @@ def fair_order(queue: DataFrame) -> DataFrame:
 
     Within a domain by score, then age; turns go round the domains in the order of their names.
     """
-    pending = queue.where("status = 'pending'")
-    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.col("score").desc(), "added_at", "queue_id"))
-    return pending.withColumn("place", rank).select("queue_id", "domain", "score", "place")
+    pending = queue.where("status = 'pending'").select("queue_id", "domain", "score", "added_at")
+    return places_per_key(pending, "domain", [F.col("score").desc(), F.col("added_at"), F.col("queue_id")]).select("queue_id", "domain", "score", "place")
 
 
 def take_round_robin(queue: DataFrame, n: int) -> DataFrame:
     """The next n jobs when domains take turns."""
-    # No domain can take more than n places; the bound reaches the window, which then keeps n rows a domain.
-    return fair_order(queue).where(F.col("place") <= n).orderBy("place", "domain", "queue_id").limit(n)
+    # No domain can take more than n places.
+    pending = queue.where("status = 'pending'").select("queue_id", "domain", "score", "added_at")
+    best = top_per_key(pending, "domain", [F.col("score").desc(), F.col("added_at"), F.col("queue_id")], n)
+    return best.withColumnRenamed("nth", "place").orderBy("place", "domain", "queue_id").limit(n).select("queue_id", "domain", "score", "place")
 
 
 def dequeue(queue: DataFrame, n: int, as_of: datetime, without: list[str] | None = None) -> DataFrame:
@@ -113,6 +112,17 @@ def demoted(score: Column) -> Column:
     return F.greatest(F.lit(1.0), score * 0.25)
 
 
+def retried(queue: DataFrame, most: int = 3) -> DataFrame:
+    """Failed jobs with their retries counted up, and whether they are tried again."""
+    again = F.col("retries") < most
+    return queue.where("status = 'failed'").select("queue_id", F.when(again, F.col("retries") + 1).otherwise(F.col("retries")).alias("retries"), again.alias("again"))
+
+
+def render_backlog(pages: DataFrame) -> DataFrame:
+    """Pages to render, each shape and reason once."""
+    return pages.where("render_reason <> ''").groupBy("url_fingerprint", "render_reason").agg(F.min("page_id").alias("page_id"))
+
+
 def backoff_seconds(failures: Column, most: float = 60.0) -> Column:
     """2 * 2**n seconds for n failures in a row, 60 at most."""
     return F.least(F.lit(most), 2 * F.pow(F.lit(2.0), F.least(failures, F.lit(5))))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import materialize
+from .skew import split_join
 
 
 def nodes(pages: DataFrame) -> DataFrame:
@@ -21,9 +22,10 @@ def nodes(pages: DataFrame) -> DataFrame:
 def edges(links: DataFrame, pages: DataFrame) -> DataFrame:
     """(src, dst): distinct links between known pages."""
     source = pages.select(F.col("page_id").alias("source_id"), F.col("url_hash").alias("src"))
-    known = pages.select(F.col("url_hash").alias("dst")).distinct()
+    # How often a page is linked to is counted first, so that the links to a hot one stay where they are.
+    known = pages.select(F.col("url_hash").alias("dst")).distinct().join(links.groupBy(F.col("target_hash").alias("dst")).agg(F.count("*").alias("n")), "dst")
     rows = links.join(source, "source_id").select("src", F.col("target_hash").alias("dst")).where("src <> dst")
-    return rows.join(known, "dst", "left_semi").distinct()
+    return split_join(rows, known, ["dst"], "n", "left_semi").select("src", "dst").distinct()
 
 
 def referring_domains(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -31,9 +33,9 @@ def referring_domains(links: DataFrame, pages: DataFrame) -> DataFrame:
     n = nodes(pages)
     src = n.select(F.col("node").alias("src"), F.col("domain").alias("from_domain"))
     dst = n.select(F.col("node").alias("dst"), F.col("domain").alias("to_domain"))
-    pairs = edges(links, pages).join(src, "src").join(dst, "dst").where("from_domain <> to_domain")
-    # Distinct pairs first, so that a page that all link to is combined on the map side before it is counted.
-    counted = pairs.select("dst", "from_domain").distinct().groupBy("dst").agg(F.count("*").alias("c"))
+    # Distinct pairs first: the links to a page that all link to are one row for each domain before they meet it.
+    pairs = edges(links, pages).join(src, "src").select("dst", "from_domain").distinct().join(dst, "dst").where("from_domain <> to_domain")
+    counted = pairs.groupBy("dst").agg(F.count("*").alias("c"))
     return n.select("node").join(counted, F.col("node") == F.col("dst"), "left").select("node", F.coalesce("c", F.lit(0)).alias("referring"))
 
 

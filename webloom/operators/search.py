@@ -617,6 +617,11 @@ def _seen(candidates: DataFrame, pages: DataFrame, as_of: datetime, key: str) ->
     )
 
 
+def final_order() -> list[Column]:
+    """Order of results: rank, homepages first, the newest crawl, then by address and id."""
+    return [F.col("rank").desc(), F.col("homepage").desc(), F.col("crawled_at").desc_nulls_last(), F.col("url"), F.col("id")]
+
+
 def rank_parts(candidates: DataFrame, pages: DataFrame, q: Query, as_of: datetime, key: str = "page_id") -> DataFrame:
     """(id, address, brand, navigational, bonus, user): those parts of the ranker's total for each candidate."""
     rows = _seen(candidates, pages, as_of, key)
@@ -641,9 +646,8 @@ def rank(candidates: DataFrame, pages: DataFrame, q: Query, as_of: datetime, lan
             yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "domain": pdf["domain"], "language": pdf["language"], "homepage": pdf["homepage"], "crawled_at": pdf["crawled_at"], "rank": [ranker.total(r) for r in pdf.itertuples()]})
 
     scored = rows.mapInPandas(run, f"id {kind}, url string, domain string, language string, homepage boolean, crawled_at {dict(rows.dtypes)["crawled_at"]}, rank double")
-    order = Window.orderBy(F.col("rank").desc(), F.col("homepage").desc(), F.col("crawled_at").desc_nulls_last(), "url", "id")
     # At most a few hundred rows, so one window over all of them is fine.
-    return scored.withColumn("pos", F.row_number().over(order))
+    return scored.withColumn("pos", F.row_number().over(Window.orderBy(*final_order())))
 
 
 def promote_language(ranked: DataFrame, lang: str, secondary: str = "en") -> DataFrame:
@@ -696,6 +700,26 @@ def diversified(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: run(pdf[ranked_columns]), ranked.schema)
 
 
+def filtered(ranked: DataFrame, pages: DataFrame, domain: str = "", schema_type: str = "", key: str = "page_id") -> DataFrame:
+    """Results of one domain and of one type, whatever the case of their letters."""
+    if domain:
+        ranked = ranked.where(F.lower("domain") == domain.lower())
+    if schema_type:
+        ranked = ranked.join(pages.where(F.lower("schema_type") == schema_type.lower()).select(F.col(key).alias("id")), "id", "left_semi")
+    return ranked
+
+
+def bodies(pages: DataFrame, key: str = "page_id", body_chars: int = 4000, snippet_chars: int = 240) -> DataFrame:
+    """(id, body, snippet) as results show them; joined to the page of results only."""
+    text = F.coalesce(F.nullif("description", F.lit("")), "content")
+    return pages.select(F.col(key).alias("id"), F.left("content", F.lit(body_chars)).alias("body"), F.left(text, F.lit(snippet_chars)).alias("snippet"))
+
+
+def user_points(score: Column) -> Column:
+    """The user's signal of a plan's score with its clicks."""
+    return F.least(score, F.lit(500.0)) * 0.1
+
+
 def search(index: Index, pages: DataFrame, query: str, as_of: datetime, limit: int = 10, offset: int = 0, lang: str = "", domain: str = "", schema_type: str = "", clicks: DataFrame | None = None, platforms: frozenset[str] = frozenset(), site_types: frozenset[str] = frozenset(), key: str = "page_id", domains: DataFrame | None = None) -> DataFrame:
     """One page of results: (id, url, domain, language, rank, pos, snippet)."""
     q = enrich(parse(query, platforms, site_types), index, domains)
@@ -703,16 +727,11 @@ def search(index: Index, pages: DataFrame, query: str, as_of: datetime, limit: i
     ranked = rank(found, pages, q, as_of, lang, key)
     if lang:
         ranked = promote_language(ranked, lang)
-    if domain:
-        ranked = ranked.where(F.lower("domain") == domain.lower())
-    if schema_type:
-        kept = pages.where(F.lower("schema_type") == schema_type.lower()).select(F.col(key).alias("id"))
-        ranked = ranked.join(kept, "id", "left_semi")
+    ranked = filtered(ranked, pages, domain, schema_type, key)
     if not domain:
         ranked = diversified(ranked)
     page = ranked.orderBy("pos").offset(offset).limit(limit)
-    body = pages.select(F.col(key).alias("id"), F.coalesce(F.nullif("description", F.lit("")), F.left("content", F.lit(240))).alias("snippet"))
-    return page.join(body, "id", "left").select("id", "url", "domain", "language", "rank", "pos", "snippet")
+    return page.join(bodies(pages, key).select("id", "snippet"), "id", "left").select("id", "url", "domain", "language", "rank", "pos", "snippet")
 
 
 def search_images(images: DataFrame, query: str, limit: int = 20, offset: int = 0, key: str = "image_id") -> DataFrame:

@@ -7,6 +7,8 @@ Operators:
   rank, and refines only that bucket. Values of a key are never gathered or sorted, so a key with a third of
   all rows costs no more per task than any other.
 * ``split_join`` - a join on a key of which a few values hold most rows.
+* ``top_per_key`` - the first n rows of each key.
+* ``places_per_key`` - the place of every row within its key.
 * ``site_totals`` - counts, distinct urls and latest time per key, aggregated first by (key, url).
 
 Nulls: rows with a NULL key are ignored; NULL values are not ranked but are counted in ``n_rows``.
@@ -15,9 +17,10 @@ Ties and repeated rows count as often as they stand. An empty input gives an emp
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import materialize
@@ -97,6 +100,51 @@ def keyed_ranks(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         shift_before, shift, first = shift, max(0, shift - BITS), False
 
 
+#: Parts into which the rows of each key are dealt before the first n of the key are chosen.
+SALTS = 64
+
+
+def top_per_key(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each key in ``order`` (total), with their place ``nth``.
+
+    Each key is dealt into ``SALTS`` parts, of which n rows each are kept; so no task sees more than a part of a hot
+    key, nor then more than SALTS * n rows.
+    """
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))
+    part = rows.withColumn("_salt", salt)
+    first = part.withColumn("nth", F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order))).where(F.col("nth") <= n).drop("_salt", "nth")
+    return first.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("nth") <= n)
+
+
+def places_per_key(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """``rows`` with their ``place`` within their key in ``order``, counted from 1.
+
+    The rows are range-partitioned by key and order, so a hot key covers many tasks. Each task numbers its rows of a
+    key as they pass; the numbers of the tasks before are added from one small row for each task and key in it.
+    """
+    by = [F.col(key), *order]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    columns = [c for c in rows.columns]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, first = None, 0, True
+        for b in batches:
+            places = []
+            for k in b.column(key).to_pylist():
+                at, n, first = k, 1 if first or k != at else n + 1, False
+                places.append(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(places, "int64")], names=[*columns, "_n"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    numbered = materialize(ordered.mapInArrow(number, f"{kinds}, _n bigint").withColumn("_task", F.spark_partition_id()))
+    counts = numbered.groupBy(F.col(key).alias("_k"), "_task").agg(F.max("_n").alias("_c"))
+    # A key that lies in one task needs nothing added; only those that cross a border are joined.
+    ahead = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("_k").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))).where(F.col("_before") > 0)
+    # At most one such row for each border between tasks.
+    out = numbered.join(F.broadcast(ahead.select("_k", F.col("_task").alias("_t"), "_before")), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_task") == F.col("_t")), "left")
+    return out.select(*columns, (F.col("_n") + F.coalesce("_before", F.lit(0))).cast("int").alias("place"))
+
+
 def keyed_quantiles(df: DataFrame, key: str, value: Column, probs: Sequence[float]) -> DataFrame:
     """Exact lower quantiles per key: (key, n_rows, prob, value) with the value at rank ceil(p * n) - 1.
 

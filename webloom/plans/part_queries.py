@@ -82,14 +82,11 @@ def url9_indexable(spark, root):
 
 
 def fd2_retries(spark, root):
-    q = _t(spark, root, "crawl_queue").where("status = 'failed'")
-    return q.select("queue_id", F.when(F.col("retries") < 3, F.col("retries") + 1).otherwise(F.col("retries")).alias("retries"), (F.col("retries") < 3).alias("again"))
+    return R.retried(_t(spark, root, "crawl_queue"))
 
 
 def fd5_backlog(spark, root):
-    """Pages to render, each shape and reason once."""
-    rows = _t(spark, root, "pages").where("render_reason <> ''")
-    return rows.groupBy("url_fingerprint", "render_reason").agg(F.min("page_id").alias("page_id"))
+    return R.render_backlog(_t(spark, root, "pages"))
 
 
 def j7_update(spark, root):
@@ -121,7 +118,7 @@ def a15_frequencies(spark, root):
 
 
 def w6_first(spark, root):
-    return _t(spark, root, "pages").select("page_id", F.array_join(F.array_distinct(X.tokens(F.col("title"))), " ").alias("words"))
+    return _t(spark, root, "pages").select("page_id", F.array_join(X.first_occurrences(X.tokens(F.col("title"))), " ").alias("words"))
 
 
 def t1_boosted(spark, root):
@@ -131,8 +128,8 @@ def t1_boosted(spark, root):
 
 
 def t2_order(spark, root):
-    u = F.col("url")
-    return _t(spark, root, "pages").orderBy(F.round("pagerank", 1).desc(), U.is_homepage(u).desc(), F.col("crawled_at").desc(), "url", "page_id").limit(50).select("page_id")
+    rows = _t(spark, root, "pages").select(F.col("page_id").alias("id"), "url", "crawled_at", F.round("pagerank", 1).alias("rank"), U.is_homepage(F.col("url")).alias("homepage"))
+    return rows.orderBy(*S.final_order()).limit(50).select(F.col("id").alias("page_id"))
 
 
 def t10_outlinks(spark, root):
@@ -185,7 +182,7 @@ def qp8_domains(spark, root):
 
 
 def rk8_user(spark, root):
-    return P.click_counts(_t(spark, root, "click_log")).select("query", "url", F.round(F.least(F.col("clicks") * 50.0, F.lit(500.0)) * 0.1, 6).alias("points"))
+    return P.click_counts(_t(spark, root, "click_log")).select("query", "url", F.round(S.user_points(F.col("clicks") * S.CLICK), 6).alias("points"))
 
 
 IDF = {"river": 2.0, "museum": 0.5, "maps": 0.0}
@@ -240,12 +237,13 @@ def rk17_bonus(spark, root):
 
 
 def rk18_filtered(spark, root):
-    return _t(spark, root, "pages").where((F.lower("domain") == "tulriley.test") & (F.lower("schema_type") == "article")).select("page_id")
+    pages = _t(spark, root, "pages")
+    return S.filtered(pages.select(F.col("page_id").alias("id"), "domain"), pages, "TulRiley.test", "ARTICLE").select(F.col("id").alias("page_id"))
 
 
 def rk19_bodies(spark, root):
     top = _t(spark, root, "pages").orderBy(F.col("pagerank").desc(), "page_id").limit(20).select("page_id")
-    return _t(spark, root, "pages").join(top, "page_id", "left_semi").select("page_id", F.left("content", F.lit(4000)).alias("body"), F.left(F.coalesce(F.nullif("description", F.lit("")), "content"), F.lit(240)).alias("snippet"))
+    return S.bodies(_t(spark, root, "pages")).withColumnRenamed("id", "page_id").join(top, "page_id", "left_semi").select("page_id", "body", "snippet")
 
 
 def sp3_levenshtein(spark, root):
@@ -297,7 +295,7 @@ def hp6_extensions(spark, root):
 def hp7_client(spark, root):
     """Client address: first forwarded, then real, then peer."""
     rows = _t(spark, root, "pages").select("page_id", F.concat_ws(", ", F.nullif("domain", F.lit("")), F.lit("10.0.0.1")).alias("xff"), F.coalesce("region", F.lit("")).alias("real"))
-    return rows.select("page_id", F.coalesce(F.nullif(F.trim(F.split_part("xff", F.lit(","), F.lit(1))), F.lit("")), F.nullif(F.trim("real"), F.lit("")), F.lit("peer")).alias("client"))
+    return rows.select("page_id", U.client_address(F.col("xff"), F.col("real"), F.lit("peer")).alias("client"))
 
 
 def hp8_seeds(spark, root):
