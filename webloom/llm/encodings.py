@@ -74,6 +74,8 @@ def _sequences(read: str) -> str:
 
 
 _UTF8_RUN = {("utf-8", r): re.compile(f"{_sequences(r)}+") for r in READ_AS}
+#: Characters of which a garbled UTF-8 sequence begins with one.
+_UTF8_LEADS = {("utf-8", r): frozenset(_TABLES[r][b] for b in range(0xC2, 0xF5)) for r in READ_AS}
 _RUN = re.compile(r"[^\x00-\x7f]+")
 #: Letters and signs that the seven languages use, and what a second garbling leaves; a repair must not lead outside.
 _SOUND = re.compile(r"[\u0080-\u00ffŒœŠšŽžŸА-Яа-яЁё‐-‧‹›€ƒ™ˆ˜…]+")
@@ -128,8 +130,6 @@ class Repairer:
 
     @staticmethod
     def _one_to_one(text: str, transform: tuple[str, str]) -> list[tuple[int, int, str]]:
-        if (_TURNED if transform[1] in ("cp1251", "koi8-r", "cp866") else _HIGH).search(text) is None:
-            return []
         out, start = [], 0
         cyrillic = transform[1] in ("cp1251", "koi8-r", "cp866")
         for line in text.split("\n"):
@@ -164,12 +164,16 @@ class Repairer:
         for _ in range(4):
             best: list[tuple[int, int, str]] = []
             weight = 0
+            chars = set(text)
             for transform, pattern in self.utf8:
-                if pattern.search(text):
+                if not chars.isdisjoint(_UTF8_LEADS[transform]) and pattern.search(text):
                     found = self._multi(text, transform, pattern)
                     if (w := sum(b - a for a, b, _ in found)) > weight:
                         best, weight = found, w
+            turned, high = _TURNED.search(text) is not None, _HIGH.search(text) is not None
             for transform in self.single:
+                if not (turned if transform[1] in ("cp1251", "koi8-r", "cp866") else high):
+                    continue
                 found = self._one_to_one(text, transform)
                 if (w := sum(b - a for a, b, _ in found)) > weight:
                     best, weight = found, w

@@ -29,6 +29,8 @@ NAV = {
 NAV |= {re.sub(r"[^\x00-\x7f]", "\ufffd", w) for w in NAV}
 _NAV_SORTED = sorted(NAV, key=len, reverse=True)
 _NAV_RUN = re.compile(r"(?:%s)(?:\s+(?:%s))*" % (("|".join(map(re.escape, _NAV_SORTED)),) * 2))
+_SEPARATORS = frozenset("|»·/•›>\ufffd")
+_NAV_FIRST = frozenset(w.split()[0] for w in NAV)
 _PARTS = re.compile(r"\s*(?:[|»·/•›>]|\s\ufffd\s)\s*")
 
 # Wording of notices, prompts and list headings.
@@ -85,11 +87,11 @@ def is_nav(s: str, site: str = "") -> bool:
         return True
     if len(low) > 240:
         return False
-    parts = [p for p in _PARTS.split(low) if p]
+    parts = [p for p in _PARTS.split(low) if p] if not _SEPARATORS.isdisjoint(low) else ()
     if len(parts) > 1:
         known = sum(p in NAV or p == site for p in parts)
         return known * 3 >= len(parts) * 2
-    return _NAV_RUN.fullmatch(low) is not None
+    return low.split(None, 1)[:1] != [] and low.split(None, 1)[0] in _NAV_FIRST and _NAV_RUN.fullmatch(low) is not None
 
 
 def _triggers(*patterns: re.Pattern[str]) -> frozenset[str]:
@@ -158,7 +160,7 @@ def page_lines(content: str | None) -> list[str]:
     fixed = content if content.isascii() else untangle(content)
     lines = fixed.split("\n")
     if "  " in fixed or "\t" in fixed or "\xa0" in fixed or "\r" in fixed:
-        return [" ".join(x.split()) for x in lines]
+        return [" ".join(x.split()) if "  " in x or "\t" in x or "\xa0" in x or "\r" in x else x.strip() for x in lines]
     return [x.strip() for x in lines]
 
 
