@@ -6,27 +6,33 @@ import numpy as np
 
 
 class Forest:
-    """Average of the leaf rates of several trees; each tree is a list of (feature, cut, left, right, rate)."""
+    """Average of the leaf rates of several trees; each tree is a list of (feature, cut, left, right, rate).
+
+    All trees lie in one table, in which a leaf leads back to itself; so all rows walk down all trees at once.
+    """
 
     def __init__(self, trees: list[np.ndarray], default: float) -> None:
         self.trees, self.default = trees, default
+        starts = np.cumsum([0, *map(len, trees)])
+        self.roots = starts[:-1].astype("int32")
+        table = np.concatenate(trees) if trees else np.zeros((0, 5))
+        here, leaf = np.arange(len(table)), table[:, 0] < 0
+        shift = np.repeat(self.roots, list(map(len, trees))) if trees else here
+        self.feature = np.where(leaf, 0, table[:, 0]).astype("int32")
+        self.cut = np.where(leaf, np.inf, table[:, 1])
+        self.next = np.stack([np.where(leaf, here, table[:, 3] + shift), np.where(leaf, here, table[:, 2] + shift)], 1).astype("int32")
+        self.rate = table[:, 4]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         if not self.trees:
             return np.full(len(x), self.default)
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for t in self.trees:
-            at = np.zeros(len(x), int)
-            while True:
-                feature = t[at, 0].astype(int)
-                inner = feature >= 0
-                if not inner.any():
-                    break
-                go = x[rows[inner], feature[inner]] <= t[at[inner], 1]
-                at[inner] = np.where(go, t[at[inner], 2], t[at[inner], 3]).astype(int)
-            total += t[at, 4]
-        return total / len(self.trees)
+        at = np.broadcast_to(self.roots, (len(x), len(self.roots))).copy()
+        rows = np.arange(len(x))[:, None]
+        while True:
+            down = self.next[at, (x[rows, self.feature[at]] <= self.cut[at]).astype("int8")]
+            if np.array_equal(down, at):
+                return self.rate[at].mean(1)
+            at = down
 
 
 def _best_cut(x: np.ndarray, y: np.ndarray, features: np.ndarray, least: int) -> tuple[int, float] | None:
