@@ -734,9 +734,9 @@ def search(index: Index, pages: DataFrame, query: str, as_of: datetime, limit: i
     return page.join(bodies(pages, key).select("id", "snippet"), "id", "left").select("id", "url", "domain", "language", "rank", "pos", "snippet")
 
 
-def search_images(images: DataFrame, query: str, limit: int = 20, offset: int = 0, key: str = "image_id") -> DataFrame:
+def search_images(images: DataFrame, query: str, limit: int = 20, offset: int = 0, key: str = "image_id", stem: bool = True) -> DataFrame:
     """Images by BM25 over alt text, title and context, all fields alike; any word or beginning counts."""
-    index = build(images, key, {"alt_text": 1.0, "title": 1.0, "context": 1.0})
+    index = build(images, key, {"alt_text": 1.0, "title": 1.0, "context": 1.0}, stem)
     q = parse(query)
     q = replace(q, idf=idf_map(index, q.tokens))
     return bm25(index, q.by_weight()[:4], 1, True).orderBy(F.col("score").desc(), "id").offset(offset).limit(limit)

@@ -154,6 +154,7 @@ _ESC = "replace(replace(replace(coalesce({x}, ''), '&', '&amp;'), '<', '&lt;'),
 _SQUEEZED = "trim(regexp_replace(coalesce({x}, ''), '" + _WS + "', ' ', 'g'))"
 ORACLES = {
     "ex1_parse": f"""SELECT page_id, {_SQUEEZED.replace('{x}', 'title')} AS title, {_SQUEEZED.replace('{x}', 'description')} AS description, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published, 'about' AS links, CAST(1 AS INTEGER) AS images FROM pages""",
+    "ex8_main_text": rf"""SELECT page_id, CAST(length(regexp_replace(coalesce(content, ''), '{_WS}', '', 'g')) AS INTEGER) + CASE WHEN strlen({_SQUEEZED.replace('{x}', 'content')}) <= 100 THEN length(regexp_replace(coalesce(h1, ''), '{_WS}', '', 'g')) ELSE 0 END AS chars FROM pages""",
     "ex3_description": f"SELECT page_id, {_SQUEEZED.replace('{x}', 'description')} AS description, {_SQUEEZED.replace('{x}', 'title')} AS title FROM pages",
     "ex11_headings": f"SELECT page_id, CASE WHEN {_SQUEEZED.replace('{x}', 'h1')} <> '' OR strlen({_SQUEEZED.replace('{x}', 'content')}) <= 100 THEN {_SQUEEZED.replace('{x}', 'h1')} ELSE {_SQUEEZED.replace('{x}', 'title')} END AS h1 FROM pages",
     "ex13_links": "SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) || '/about' AS link FROM pages",

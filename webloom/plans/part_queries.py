@@ -35,12 +35,12 @@ def _images(spark, root):
 
 
 def snk3_flush(spark, root):
-    """A batch of pages and links in one go: upserted pages, ids resolved, links replaced; rows of each target."""
+    """A batch of pages and links in one go: upserted pages, ids resolved, their links replaced in the table; rows of each target."""
     pages, links = _t(spark, root, "pages"), _t(spark, root, "links")
     new = W.upsert_pages(pages.select("page_id", "url", "title", "published_at", "crawled_at", "fetch_mode", "ingest_hits", "last_seen_at"))
     ids = pages.select("page_id", "url").join(new.select("url", F.col("page_id").alias("kept")), "url").select(F.col("page_id").alias("source_id"), "kept")
     moved = links.join(ids, "source_id").select(F.col("kept").alias("source_id"), "target_hash", "anchor_text", "created_at")
-    out = W.replace_links(links.limit(0), moved)
+    out = W.replace_links(links, moved.select("source_id", "target_hash", "anchor_text", "created_at"))
     return new.select(F.lit("pages").alias("what")).unionAll(out.select(F.lit("links"))).groupBy("what").agg(F.count("*").alias("n"))
 
 
@@ -355,8 +355,10 @@ from .url_queries import ORACLES as _URL, _CANON  # noqa: E402
 
 _SHAPE = _URL["url5_fingerprint"].replace("SELECT page_id, ", "").replace(" AS fingerprint FROM pages", "")
 ORACLES = {
-    "snk3_flush": """WITH k AS (SELECT url, arg_max(page_id, struct_pack(c := coalesce(crawled_at, TIMESTAMP '1970-01-01'), p := page_id)) AS kept FROM pages GROUP BY url)
-        SELECT 'pages' AS what, CAST(count(*) AS BIGINT) AS n FROM k UNION ALL SELECT 'links', count(DISTINCT (kept, target_hash)) FROM links JOIN pages p ON p.page_id = source_id JOIN k ON k.url = p.url""",
+    "snk3_flush": """WITH k AS (SELECT url, arg_max(page_id, struct_pack(c := coalesce(crawled_at, TIMESTAMP '1970-01-01'), p := page_id)) AS kept FROM pages GROUP BY url),
+        m AS (SELECT DISTINCT kept, target_hash FROM links JOIN pages p ON p.page_id = source_id JOIN k ON k.url = p.url)
+        SELECT 'pages' AS what, CAST(count(*) AS BIGINT) AS n FROM k UNION ALL SELECT 'links', (SELECT count(*) FROM m) + (SELECT count(*) FROM links WHERE source_id NOT IN (SELECT kept FROM m))""",
+    "ex12_cut": """SELECT page_id, CASE WHEN content IS NOT NULL THEN true END AS fits, CAST(CASE WHEN title IS NOT NULL THEN list_max(list_filter(range(0, 21), lambda k: strlen(left(title, k)) <= 20 AND k <= length(title))) END AS INTEGER) AS chars FROM pages""",
     "snk4_images": "SELECT url || '#img' AS url, page_id AS source_id, title AS alt_text FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY coalesce(crawled_at, TIMESTAMP '1970-01-01') DESC, page_id DESC) AS k FROM pages) WHERE k = 1",
     "snk6_outlinks": """WITH o AS (SELECT page_id, list_filter([url, 'ftp://x', 'https://', 'https://' || domain, 'http://a.example/1', 'http://a.example/2'], lambda x: regexp_matches(x, '^https?://[^/]+'))[1:3] AS o FROM pages) SELECT page_id, CAST(i AS INTEGER) AS pos, o[i + 1] AS target FROM o, LATERAL (SELECT unnest(range(0, len(o))) AS i) r""",
     "snk13_index_update": f"WITH {INDEX} SELECT term, CAST(count(*) AS BIGINT) AS doc FROM post GROUP BY term",

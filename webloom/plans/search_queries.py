@@ -161,7 +161,7 @@ def ft1_search(spark, root):
 def ft13_images(spark, root):
     """Image search; the pages stand in for images: title, description and the content as context."""
     images = _pages(spark, root).select(F.col("page_id").alias("image_id"), F.col("title").alias("alt_text"), F.col("description").alias("title"), F.col("content").alias("context"))
-    return S.search_images(images, "river museum", 20)
+    return S.search_images(images, "river museum", 20, stem=False).select("id", F.round("score", 6).alias("score"))
 
 
 def w2_promoted(spark, root):
@@ -197,11 +197,18 @@ def plain_sql(x: str) -> str:
     return PLAIN.replace("{x}", x)
 
 
-_F = " UNION ALL ".join(f"SELECT page_id AS id, {w} AS w, {plain_sql(c)} AS x FROM pages" for c, w in S.WEIGHTS.items() if c in ("title", "h1", "description", "content"))
-INDEX = f"""f AS ({_F}), t AS (SELECT id, w, unnest(string_split(x, ' ')) AS term FROM f), post AS (SELECT term, id, CAST(sum(w) AS DOUBLE) AS w, count(*) AS n FROM t WHERE term <> '' GROUP BY term, id),
+
+
+def index_sql(weights: dict[str, float]) -> str:
+    """CTEs post(term, id, w, n), docs(id, d), st(nn, a) over columns of the pages."""
+    fields = " UNION ALL ".join(f"SELECT page_id AS id, {w} AS w, {plain_sql(c)} AS x FROM pages" for c, w in weights.items())
+    return f"""f AS ({fields}), t AS (SELECT id, w, unnest(string_split(x, ' ')) AS term FROM f), post AS (SELECT term, id, CAST(sum(w) AS DOUBLE) AS w, count(*) AS n FROM t WHERE term <> '' GROUP BY term, id),
     docs AS (SELECT page_id AS id, coalesce(c, 0) AS d FROM pages LEFT JOIN (SELECT id, sum(n) AS c FROM post GROUP BY id) z ON z.id = page_id), st AS (SELECT count(*) AS nn, avg(d) AS a FROM docs)"""
 
 
+INDEX = index_sql({c: w for c, w in S.WEIGHTS.items() if c in ("title", "h1", "description", "content")})
+
+
 def bm25_sql(hits: str, name: str = "s") -> str:
     """CTEs that end in ``name``(id, score, k) for a relation of hits (q, id, w)."""
     return f"""{name}_h AS ({hits}), {name}_df AS (SELECT q, CASE WHEN ln((nn - count(*) + 0.5) / (count(*) + 0.5)) <= 0 THEN 1e-6 ELSE ln((nn - count(*) + 0.5) / (count(*) + 0.5)) END AS idf FROM {name}_h, st GROUP BY q, nn),
@@ -254,6 +261,15 @@ ORACLES = {
     "w2_promoted": """WITH r AS (SELECT page_id AS id, domain, language, row_number() OVER (ORDER BY pagerank DESC NULLS LAST, page_id) AS pos FROM pages), t AS (SELECT *, coalesce(nullif(regexp_extract(domain, '([^.]*[.][^.]*)$', 1), ''), domain) AS site,
         CASE language WHEN 'de' THEN 2 WHEN 'en' THEN 1 ELSE 0 END AS ls FROM r WHERE pos <= 300), a AS (SELECT *, min(pos) OVER (PARTITION BY site) AS first_, max(ls) OVER (PARTITION BY site) AS top FROM t),
         b AS (SELECT *, min(CASE WHEN ls = top AND top > 0 THEN pos END) OVER (PARTITION BY site) AS best FROM a) SELECT id, domain, language, CAST(row_number() OVER (ORDER BY CASE WHEN pos = best THEN first_ - 0.5 ELSE pos END, pos) AS INTEGER) AS pos FROM b""",
+    "ft13_images": f"WITH {index_sql(dict.fromkeys(('title', 'description', 'content'), 1.0))}, {bm25_sql(_terms(BOTH) + " UNION ALL SELECT t || '*', id, sum(w) FROM post, (VALUES ('river'), ('museum')) v(t) WHERE starts_with(term, t) GROUP BY t, id")} SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 20",
+    "w3_diversified": """WITH RECURSIVE r AS (SELECT page_id AS id, domain, language, row_number() OVER (ORDER BY pagerank DESC NULLS LAST, page_id) AS pos FROM pages), t AS (SELECT * FROM r WHERE pos <= 300), d AS (SELECT list(coalesce(domain, '') ORDER BY pos) AS doms FROM t),
+        s AS (SELECT range(1, len(doms) + 1) AS waiting, []::BIGINT[] AS later, []::BIGINT[] AS done, []::VARCHAR[] AS seen, len(doms) AS pass FROM d
+        UNION ALL SELECT CASE WHEN len(waiting) > 0 THEN waiting[2:] ELSE later END, CASE WHEN len(waiting) = 0 THEN [] WHEN ok THEN later ELSE list_append(later, waiting[1]) END, CASE WHEN len(waiting) > 0 AND ok THEN list_append(done, waiting[1]) ELSE done END,
+        CASE WHEN len(waiting) > 0 AND ok THEN list_append(seen, dom) ELSE seen END, CASE WHEN len(waiting) > 0 THEN pass ELSE len(later) END
+        FROM (SELECT waiting, later, done, seen, pass, dom, len(list_filter(seen, lambda x: x = dom)) < CASE WHEN len(done) < 3 THEN 1 WHEN len(done) < 10 THEN 2 ELSE 3 END AS ok FROM (SELECT s.*, doms[waiting[1]] AS dom FROM s, d))
+        WHERE len(waiting) > 0 OR (len(later) > 0 AND len(later) < pass)),
+        o AS (SELECT list_concat(done, later) AS places FROM s WHERE len(waiting) = 0 AND (len(later) = 0 OR len(later) = pass) LIMIT 1)
+        SELECT id, domain, language, CAST(list_position(places, pos) AS INTEGER) AS pos FROM t, o""",
     "t3_paging": "SELECT page_id FROM pages ORDER BY crawled_at DESC NULLS LAST, page_id LIMIT 10 OFFSET 20",
     "url13_registered": "SELECT DISTINCT domain, regexp_extract(domain, '([^.]*[.][^.]*)$', 1) AS registered, regexp_extract(domain, '([^.]*)[.][^.]*$', 1) AS label FROM pages WHERE domain <> ''",
 }
