@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
+from ..sources import materialize
 
 # Weights of the fields, and the constants of BM25.
 WEIGHTS = {"title": 10.0, "h1": 8.0, "description": 5.0, "schema_title": 6.0, "schema_description": 4.0, "content": 1.0}
@@ -737,6 +738,8 @@ def search(index: Index, pages: DataFrame, query: str, as_of: datetime, limit: i
 def search_images(images: DataFrame, query: str, limit: int = 20, offset: int = 0, key: str = "image_id", stem: bool = True) -> DataFrame:
     """Images by BM25 over alt text, title and context, all fields alike; any word or beginning counts."""
     index = build(images, key, {"alt_text": 1.0, "title": 1.0, "context": 1.0}, stem)
+    # Read several times below, so it is made once.
+    index.postings = materialize(index.postings)
     q = parse(query)
     q = replace(q, idf=idf_map(index, q.tokens))
     return bm25(index, q.by_weight()[:4], 1, True).orderBy(F.col("score").desc(), "id").offset(offset).limit(limit)
