@@ -123,3 +123,35 @@ def test_upserts_rewrite_only_their_buckets(spark, tmp_path):
     t.upsert(frame([("new", 1), (None, 2)]), 2, merge)
     assert t.read().count() == 42 and len([d for d in os.listdir(f"{tmp_path}/t/v0") if d.startswith("bucket")]) == 7
     assert state.VersionedTable(spark, f"{tmp_path}/none", "k string, v int", ["k"]).read().count() == 0
+
+
+def test_life_cycle(spark, tmp_path):
+    from webloom.streaming import state
+
+    spark.range(10).write.parquet(f"{tmp_path}/n.parquet")
+    engine = Engine(spark, str(tmp_path))
+    assert engine.status()["status"] == "idle"
+    with pytest.raises(RuntimeError):
+        engine.stop()
+    sink = lambda: state.stream(spark, str(tmp_path), "n").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").start()
+    assert engine.start(sink)["status"] == "running"
+    with pytest.raises(RuntimeError):
+        engine.start(sink)
+    engine.streams[0].processAllAvailable()
+    assert engine.stop()["status"] in ("stopping", "idle")
+    engine.streams[0].awaitTermination(30)
+    assert engine.status() == {"status": "idle", "rows": 10, "failed": 0}
+
+
+def test_schema_versions_and_resources(spark):
+    from webloom.operators import storage
+
+    df = spark.createDataFrame([(1, "x")], "id long, region string")
+    steps = [(2, "region", "string"), (1, "title", "string"), (3, "rank", "double")]
+    new, version = storage.migrated(df, 0, steps)
+    assert (new.columns, version) == (["id", "region", "title", "rank"], 3) and new.first()["region"] == "x"
+    assert storage.migrated(new, version, steps)[0].columns == new.columns and storage.migrated(df, 2, steps)[0].columns == ["id", "region", "rank"]
+    log = spark.createDataFrame([("https://a.example/s.css", "TEXT/CSS; x", 200, 1, 1), ("https://a.example/s.css", "text/css", 404, 2, 2), ("https://a.example/", "text/html", 200, 1, 3), (None, "text/css", 200, 1, 4), ("https://a.example/x", None, 200, 1, 5)], "url string, content_type string, status int, ts int, fetch_id int")
+    got = storage.discovered_resources(log).collect()
+    assert [(r["url"], r["kind"], r["status"]) for r in got] == [("https://a.example/s.css", "css", 404)]
+    assert storage.discovered_resources(log.limit(0)).count() == 0

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .functions import urls as U
 from .operators import frontier, graph, profile, storage
@@ -23,6 +25,8 @@ class Engine:
     root: str
     index: S.Index | None = None
     indexed: tuple | None = None
+    streams: list[StreamingQuery] = field(default_factory=list)
+    stopping: bool = False
 
     def _t(self, name: str) -> DataFrame:
         return table(self.spark, self.root, name)
@@ -106,6 +110,31 @@ class Engine:
     def ingest(self, pages: DataFrame) -> DataFrame:
         return storage.ingest(pages)
 
+    # --- life cycle of the streams that keep the tables up to date ---
+
+    def start(self, *starts: Callable[[], StreamingQuery]) -> dict[str, object]:
+        """Start the given streams; an engine that runs already refuses."""
+        if self.status()["status"] == "running":
+            raise RuntimeError("already running")
+        self.streams, self.stopping = [start() for start in starts], False
+        return self.status()
+
+    def stop(self) -> dict[str, object]:
+        """Ask all streams to end after the batch that they are in; an engine that doesn't run refuses."""
+        if self.status()["status"] != "running":
+            raise RuntimeError("not running")
+        self.stopping = True
+        for query in self.streams:
+            query.stop()
+        return self.status()
+
+    def status(self) -> dict[str, object]:
+        """idle, running or stopping, with the rows that the streams have read and how many of them failed."""
+        active = [q for q in self.streams if q.isActive]
+        state = "idle" if not active else "stopping" if self.stopping else "running"
+        rows = sum(p["numInputRows"] for q in self.streams for p in q.recentProgress)
+        return {"status": state, "rows": rows, "failed": sum(q.exception() is not None for q in self.streams)}
+
     def rank(self) -> DataFrame:
         """Rank and referring domains of each page."""
         pages, links = self._t("pages"), self._t("links")

@@ -41,6 +41,35 @@ def upsert_pages(rows: DataFrame) -> DataFrame:
     return base.join(extra, base["url"].eqNullSafe(extra["_u"])).drop("_u").select(*rows.columns)
 
 
+def discovered_resources(log: DataFrame) -> DataFrame:
+    """(url, url_fingerprint, kind, status, last_crawled): what was fetched and holds links without being a page.
+
+    One row for each url, from its latest fetch: an upsert by url in the order of the log's times.
+    """
+    kept = log.where(U.discovery_type(F.col("content_type")) & ~U.html_type(F.col("content_type")) & F.col("url").isNotNull())
+    rows = kept.select("url", U.fingerprint(F.col("url")).alias("url_fingerprint"), U.asset_kind(F.col("content_type")).alias("kind"), "status", F.col("ts").alias("last_crawled"), "fetch_id")
+    return last_write_wins(rows, ["url"], [F.col("last_crawled"), F.col("fetch_id")]).drop("fetch_id")
+
+
+def known_addresses(pages: DataFrame, resources: DataFrame) -> DataFrame:
+    """(url, url_fingerprint) of everything that was fetched, to seed what is seen."""
+    return pages.select("url", "url_fingerprint").unionByName(resources.select("url", "url_fingerprint"))
+
+
+def migrated(df: DataFrame, version: int, steps: Sequence[tuple[int, str, str]]) -> tuple[DataFrame, int]:
+    """A table brought from its schema version to the last of ``steps`` (version, column, type), in their order.
+
+    A step adds a column of NULLs; a column that is there already is left as it is. Steps up to ``version`` are
+    skipped, so a second run changes nothing. Gives the table and its version now.
+    """
+    for number, column, kind in sorted(steps):
+        if number > version:
+            if column not in df.columns:
+                df = df.withColumn(column, F.lit(None).cast(kind))
+            version = number
+    return df, version
+
+
 def insert_or_ignore(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Old rows and the first new row of each key that the old ones lack."""
     rest = [c for c in new.columns if c not in key]

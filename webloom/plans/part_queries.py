@@ -48,6 +48,15 @@ def snk4_images(spark, root):
     return W.last_write_wins(_images(spark, root), ["url"], [F.col("at"), F.col("source_id")]).select("url", "source_id", "alt_text")
 
 
+def snk7_resources(spark, root):
+    return W.discovered_resources(_t(spark, root, "fetch_log")).select("url", "kind", "status", "last_crawled")
+
+
+def src2_resources(spark, root):
+    """Addresses and shapes of pages and of other resources."""
+    return W.known_addresses(_t(spark, root, "pages"), W.discovered_resources(_t(spark, root, "fetch_log")))
+
+
 def snk6_outlinks(spark, root):
     """Outlinks pushed with a page: http addresses with a host, three at most, as link rows."""
     rows = _t(spark, root, "pages").select("page_id", F.array(F.col("url"), F.lit("ftp://x"), F.lit("https://"), F.concat(F.lit("https://"), "domain"), F.lit("http://a.example/1"), F.lit("http://a.example/2")).alias("out"))
@@ -354,12 +363,17 @@ from .search_queries import _terms, bm25_sql  # noqa: E402
 from .url_queries import ORACLES as _URL, _CANON  # noqa: E402
 
 _SHAPE = _URL["url5_fingerprint"].replace("SELECT page_id, ", "").replace(" AS fingerprint FROM pages", "")
+_RESOURCES = """SELECT url, CASE WHEN contains(c, 'text/css') THEN 'css' WHEN regexp_matches(c, 'javascript|ecmascript') THEN 'js' WHEN contains(c, 'json') THEN 'json' WHEN contains(c, 'rss') THEN 'rss' WHEN contains(c, 'atom') THEN 'atom' WHEN contains(c, 'xml') THEN 'xml' ELSE 'other' END AS kind, status, ts AS last_crawled
+    FROM (SELECT *, lower(coalesce(content_type, '')) AS c, row_number() OVER (PARTITION BY url ORDER BY ts DESC, fetch_id DESC) AS k FROM fetch_log WHERE url IS NOT NULL AND NOT regexp_matches(lower(coalesce(content_type, '')), 'text/html|application/xhtml[+]xml')
+    AND regexp_matches(lower(coalesce(content_type, '')), 'text/css|(application|text)/javascript|application/(x-javascript|ecmascript|json|ld[+]json|xml|rss[+]xml|atom[+]xml)|text/xml')) WHERE k = 1"""
 ORACLES = {
     "snk3_flush": """WITH k AS (SELECT url, arg_max(page_id, struct_pack(c := coalesce(crawled_at, TIMESTAMP '1970-01-01'), p := page_id)) AS kept FROM pages GROUP BY url),
         m AS (SELECT DISTINCT kept, target_hash FROM links JOIN pages p ON p.page_id = source_id JOIN k ON k.url = p.url)
         SELECT 'pages' AS what, CAST(count(*) AS BIGINT) AS n FROM k UNION ALL SELECT 'links', (SELECT count(*) FROM m) + (SELECT count(*) FROM links WHERE source_id NOT IN (SELECT kept FROM m))""",
     "ex12_cut": """SELECT page_id, CASE WHEN content IS NOT NULL THEN true END AS fits, CAST(CASE WHEN title IS NOT NULL THEN list_max(list_filter(range(0, 21), lambda k: strlen(left(title, k)) <= 20 AND k <= length(title))) END AS INTEGER) AS chars FROM pages""",
     "snk4_images": "SELECT url || '#img' AS url, page_id AS source_id, title AS alt_text FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY coalesce(crawled_at, TIMESTAMP '1970-01-01') DESC, page_id DESC) AS k FROM pages) WHERE k = 1",
+    "snk7_resources": f"WITH r AS ({_RESOURCES}) SELECT url, kind, status, last_crawled FROM r",
+    "src2_resources": f"WITH r AS ({_RESOURCES}) SELECT url, url_fingerprint FROM pages UNION ALL SELECT url, {_SHAPE} FROM r",
     "snk6_outlinks": """WITH o AS (SELECT page_id, list_filter([url, 'ftp://x', 'https://', 'https://' || domain, 'http://a.example/1', 'http://a.example/2'], lambda x: regexp_matches(x, '^https?://[^/]+'))[1:3] AS o FROM pages) SELECT page_id, CAST(i AS INTEGER) AS pos, o[i + 1] AS target FROM o, LATERAL (SELECT unnest(range(0, len(o))) AS i) r""",
     "snk13_index_update": f"WITH {INDEX} SELECT term, CAST(count(*) AS BIGINT) AS doc FROM post GROUP BY term",
     "ex25_persisted": "SELECT page_id, sha256(coalesce(content, '')) AS content_hash, '' AS region, left(title, 500) AS title FROM pages",
