@@ -430,6 +430,10 @@ def test_marginals_are_exact(tree):
         if p >= 0:
             assert np.allclose(both[i].sum(0), b[i], atol=1e-6) and np.allclose(both[i].sum(1), b[p], atol=1e-6)
     assert [len(m) for m in tree.marginals([dom.page_tree([], ""), t])] == [0, 4]
+    # The entries may tell their lines first: the lines' marginals are the same.
+    more = [t, dom.page_tree(["x", "A | B | C | D", EN], ""), dom.page_tree(["a · b · c", "a / b / c", "z"], "")]
+    for tr, m in zip(more, tree.marginals(more)):
+        assert np.allclose(m, tree.beliefs([tr])[0][tr.line, : dom.MAIN].sum(1))
 
 
 def test_main_body(spark, tree):
