@@ -107,6 +107,23 @@ def test_filler_words_are_learned():
     assert notices.message(" ".join(made), learned) == "filler" and notices.message(" ".join(made)) == ""
 
 
+def test_filler_words_come_from_all_pages(spark):
+    """Each word stands twice among 9,000 pages, or only in a long page; what other pages use otherwise is not learned."""
+    from pyspark.sql import functions as F
+
+    rare = [f"cam{a}{b}" for a in "bdfgklmnprst" for b in ("us", "em", "ora")]
+    lines = [f"Lorem, ipsum dolor amet {' '.join(rare[i : i + 6])}." for i in range(0, len(rare), 6) for _ in range(2)]
+    lines += ["lorem ipsum dolor amet noxus noxem lampae lampora"] * 3
+    lines.append(f"{EN} " * 150 + "\n" + "lorem ipsum dolor amet longus longem longae longora\n" * 2)
+    texts = [*lines, *["The lampae stood near the gate."] * 50]
+    first = spark.createDataFrame(list(enumerate(texts)), "page_id long, content string")
+    pages = first.union(spark.range(len(texts), 9000).select("id", F.lit(EN)))
+    got = screen.filler_words(pages)
+    assert {*rare, "longus", "longora", "lampora"} <= got and not {"lampae", "river"} & got
+    assert got == notices.learn_filler(x for t in [*texts, EN] for x in t.split("\n"))
+    assert screen.filler_words(pages.limit(0)) == notices.FILLER_WORDS
+
+
 def test_messages_of_any_length():
     assert notices.message("The page you are looking for is gone. " * 40) == "error"
     assert notices.message(f"{EN} {EN} It said that the page you are looking for may have been moved.") == ""

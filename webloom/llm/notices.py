@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable, Iterator
+from itertools import chain
 
 from .furniture import has_digit
 
@@ -171,24 +172,40 @@ def _latin(words: list[str]) -> bool:
     return len(FILLER_WORDS.intersection(words)) >= 2 and sum(map(FUNCTION.__contains__, words)) < 0.15 * len(words)
 
 
-def learn_filler(lines: Iterable[str], rounds: int = 4) -> frozenset[str]:
+#: Rounds in which filler words are learned, at most.
+LEARN_ROUNDS = 4
+#: Different words that one worker counts before it hands them on; it bounds memory and changes no result.
+COUNTED_WORDS = 200_000
+
+
+def _wordy(words: list[str]) -> bool:
+    """May a line of these words be filler: eight words or more, hardly any function word?"""
+    return len(words) >= 8 and sum(map(FUNCTION.__contains__, words)) < 0.15 * len(words)
+
+
+def _inside(words: list[str], known: Collection[str]) -> bool:
+    return _latin(words) or 2 * sum(w in known for w in words) >= len(words)
+
+
+def learn_filler(lines: Iterable[str], rounds: int = LEARN_ROUNDS) -> frozenset[str]:
     """Vocabulary of the corpus' filler text, grown from FILLER_WORDS.
 
     A line of eight words or more with hardly any function word is filler when it holds two of the words at first
     known, or half of its words are known by now; words that stand in such lines nearly always are learned.
+    ``screen.filler_words`` does the same over a table.
     """
     coded: list[list[str]] = []
     every: Counter[str] = Counter()
     for line in lines:
         words = _bare_words(line)
         every.update(words)
-        if len(words) >= 8 and sum(map(FUNCTION.__contains__, words)) < 0.15 * len(words) and all(w.isalpha() for w in words):
+        if _wordy(words) and all(w.isalpha() for w in words):
             coded.append(words)
     known: set[str] = set(FILLER_WORDS)
     for _ in range(rounds):
         inside: Counter[str] = Counter()
         for words in coded:
-            if _latin(words) or 2 * sum(w in known for w in words) >= len(words):
+            if _inside(words, known):
                 inside.update(words)
         more = {w for w, c in inside.items() if c >= 2 and c >= 0.8 * every[w] and w not in FUNCTION}
         if more <= known:
@@ -197,6 +214,45 @@ def learn_filler(lines: Iterable[str], rounds: int = 4) -> frozenset[str]:
     return frozenset(known)
 
 
+def count_words(contents: Iterable[str]) -> Iterator[tuple[Counter[str], Counter[str]]]:
+    """Counts of the words that may be learned and of the lines that may be filler, their words joined by spaces."""
+    rough: Counter[str] = Counter()
+    coded: Counter[str] = Counter()
+
+    def bare() -> Counter[str]:
+        words: Counter[str] = Counter()
+        for t, n in rough.items():
+            w = t.strip(".,;:!?")
+            if w.isalpha() and w not in FUNCTION:
+                words[w] += n
+        return words
+
+    for content in contents:
+        lines = [x.split() for x in content.lower().split("\n")]
+        rough.update(chain.from_iterable(lines))
+        for line in lines:
+            # Signs at the words only hide function words, so that few lines need a closer look.
+            if _wordy(line):
+                words = [w.strip(".,;:!?") for w in line]
+                if _wordy(words) and all(map(str.isalpha, words)):
+                    coded[" ".join(words)] += 1
+        if len(rough) + len(coded) > COUNTED_WORDS:
+            yield bare(), coded
+            rough, coded = Counter(), Counter()
+    yield bare(), coded
+
+
+def count_inside(lines: Iterable[tuple[str, int]], known: Collection[str]) -> Counter[str]:
+    """Words of the filler among (line, how often) of ``count_words``."""
+    inside: Counter[str] = Counter()
+    for line, n in lines:
+        words = line.split(" ")
+        if _inside(words, known):
+            for w in words:
+                inside[w] += n
+    return inside
+
+
 def message(line: str, filler: frozenset[str] = FILLER_WORDS, low: str | None = None, rough: list[str] | None = None) -> str:
     """'error', 'script', 'filler' or '' for one squeezed main line, of any length.
 

@@ -7,8 +7,8 @@ hashed; the hashes are grouped across sources. A message is known by its phrase
 its group: spread widely over sources, nearly always on pages made of such lines, and either sent with an error
 status more often than not or without any run of sentences around it. So an article that many sites print, or a line
 that many articles hold, is no message. A page is a case when it holds an unfilled placeholder, or when its main text,
-furniture aside, is mostly filler, errors or script notices. The words of filler text are learned from a bounded
-sample of pages (``FILLER_PAGES``).
+furniture aside, is mostly filler, errors or script notices. The words of filler text are learned from all lines of
+all pages (``filler_words``).
 
 Keyword pages (``spam_pages``): bagged decision trees on content and link features, trained on weak labels from
 a bounded sample of rows (``TRAIN_ROWS``), then smoothed by the rate of spam of the page's host.
@@ -34,7 +34,7 @@ from ..operators.skew import split_join
 from ..sources import materialize
 from . import forest
 from .furniture import ends_sentence, kinds, page_lines
-from .notices import FUNCTION, learn_filler, mask, message, unfilled, worded
+from .notices import FILLER_WORDS, FUNCTION, LEARN_ROUNDS, count_inside, count_words, mask, message, unfilled, worded
 from .sampling import lists, sample
 
 #: Share of the main characters that must be messages.
@@ -43,8 +43,6 @@ MESSAGE_SHARE = 0.6
 WIDE_SOURCES, WIDE_PAGES, WIDE_SHARE = 5, 8, 0.9
 #: Share of its pages sent with an error status, or else most sentences that these pages hold on average.
 ERROR_SHARE, FEW_SENTENCES = 0.3, 4
-#: Pages from which the words of filler text are learned; at most twice as many.
-FILLER_PAGES = 4000
 #: Pages that a worker holds split into words at a time.
 CHUNK = 400
 TRAIN_ROWS = 8000
@@ -125,8 +123,31 @@ FACTS = "page_id string, domain string, failed boolean, main_chars int, unfilled
 SENTENCES = 14
 
 
-def filler_words(pages: DataFrame, key: str = "page_id") -> frozenset[str]:
-    return learn_filler((x for (content,) in sample(pages, key, FILLER_PAGES, "content") for x in content.split("\n")))
+def filler_words(pages: DataFrame) -> frozenset[str]:
+    """``learn_filler`` over all lines of all pages; only the words that it learns come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, lines in count_words(x for b in batches for x in b.column(0).to_pylist()):
+            text = pa.array([*words, *lines], "string")
+            yield pa.RecordBatch.from_arrays([text, pa.array([False] * len(words) + [True] * len(lines), "bool"), pa.array([*words.values(), *lines.values()], "int64")], names=["text", "line", "n"])
+
+    counted = materialize(pages.where("content <> ''").select("content").mapInArrow(count, "text string, line boolean, n bigint"))
+    lines = materialize(counted.where("line").groupBy("text").agg(F.sum("n").alias("n")))
+    every = materialize(counted.where("not line").groupBy("text").agg(F.sum("n").alias("every")))
+    known = FILLER_WORDS
+    for _ in range(LEARN_ROUNDS):
+
+        def inside(batches: Iterator[pa.RecordBatch], known: frozenset[str] = known) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                words = count_inside(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), known)
+                yield pa.RecordBatch.from_arrays([pa.array([*words], "string"), pa.array([*words.values()], "int64")], names=["text", "n"])
+
+        found = lines.mapInArrow(inside, "text string, n bigint").groupBy("text").agg(F.sum("n").alias("n")).where("n >= 2")
+        more = {r[0] for r in found.join(every, "text").where(F.col("n") >= 0.8 * F.col("every")).select("text").collect()}
+        if more <= known:
+            break
+        known |= more
+    return known
 
 
 def page_facts(pages: DataFrame, key: str = "page_id", extra: Callable[[], Callable[..., pa.Array]] | None = None, extra_type: str = "") -> DataFrame:
@@ -136,7 +157,7 @@ def page_facts(pages: DataFrame, key: str = "page_id", extra: Callable[[], Calla
     the Arrow array of one more column ``extra``; so operators that exclude these pages read the content only once.
     """
     kind = pages.schema[key].dataType.simpleString()
-    filler = filler_words(pages, key)
+    filler = filler_words(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
