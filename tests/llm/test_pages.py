@@ -147,6 +147,30 @@ def test_forest_learns_and_handles_one_class():
     assert forest.train(x[:0], y[:0]).probability(x[:1]).tolist() == [0]
 
 
+def test_forest_learns_from_all_rows(spark):
+    """20 rows of 40,000 are of a kind of their own; a sample of them would hold few. The values need bins."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.random((40_000, 4)).astype("float32")
+    x[:, 0] = x[:, 0] > 0.5
+    x[:20, 2] = 50 + np.arange(20)
+    y = ((x[:, 1] > 0.7) | (x[:, 2] > 1)).astype(int)
+    rows = spark.createDataFrame([(i * 7919, r, c) for i, (r, c) in enumerate(zip(x.tolist(), y.tolist()))], "k long, x array<float>, y int")
+    got = forest.train_table(rows)
+    p = got.probability(x.astype(float))
+    assert ((p > 0.5) == y).mean() > 0.99 and (p[:20] > 0.5).all()
+    assert [t.tolist() for t in forest.train_table(rows.repartition(3)).trees] == [t.tolist() for t in got.trees]
+    assert forest.train_table(rows.where("y = 0")).probability(x[:2].astype(float)).tolist() == [0, 0]
+    assert forest.train_table(rows.limit(0)).probability(x[:1].astype(float)).tolist() == [0]
+
+
+def test_every_labelled_page_trains(spark):
+    facts = spark.range(20_000).selectExpr("id as page_id", "'' as domain", "cast(if(id % 2 = 0, array(0, 6, 0, 0, 0, 0, 0, 0, 0, 0, 6, 0, 0, 0, 0, 0), array(0.9, 6, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 5, 0)) as array<float>) as features")
+    got = {(r["y"], r["n"]) for r in screen._labelled(facts).groupBy("y").agg({"k": "count"}).toDF("y", "n").collect()}
+    assert got == {(1, 10_000), (0, 10_000)}
+
+
 @pytest.mark.parametrize("transform", [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp1250"), ("utf-8", "cp437"), ("utf-8", "mac-roman")])
 def test_round_trip_of_encodings(transform):
     for text in (ES, DE, "L’été – «là-bas» à 5 €"):

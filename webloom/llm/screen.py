@@ -10,8 +10,8 @@ that many articles hold, is no message. A page is a case when it holds an unfill
 furniture aside, is mostly filler, errors or script notices. The words of filler text are learned from all lines of
 all pages (``filler_words``).
 
-Keyword pages (``spam_pages``): bagged decision trees on content and link features, trained on weak labels from
-a bounded sample of rows (``TRAIN_ROWS``), then smoothed by the rate of spam of the page's host.
+Keyword pages (``spam_pages``): bagged decision trees on content and link features, trained on the weak labels
+of all rows, then smoothed by the rate of spam of the page's host.
 
 Pages with NULL, empty or blank content, or with furniture only, are no case of either. Repeated page ids give
 one row each. Every page is read as a whole.
@@ -35,7 +35,7 @@ from ..sources import materialize
 from . import forest
 from .furniture import ends_sentence, kinds, page_lines
 from .notices import FILLER_WORDS, FUNCTION, LEARN_ROUNDS, count_inside, count_words, mask, message, unfilled, worded
-from .sampling import lists, sample
+from .sampling import lists
 
 #: Share of the main characters that must be messages.
 MESSAGE_SHARE = 0.6
@@ -45,7 +45,6 @@ WIDE_SOURCES, WIDE_PAGES, WIDE_SHARE = 5, 8, 0.9
 ERROR_SHARE, FEW_SENTENCES = 0.3, 4
 #: Pages that a worker holds split into words at a time.
 CHUNK = 400
-TRAIN_ROWS = 8000
 TREES = 25
 
 FEATURES = 16
@@ -234,7 +233,7 @@ def residue_pages(facts: DataFrame) -> DataFrame:
 def spam_pages(facts: DataFrame) -> DataFrame:
     """(page_id, score) of keyword-stuffed pages and link lists."""
     rows = facts.where((F.col("main_chars") > 0) & ~F.col("unfilled") & (F.col("ruled_chars") < MESSAGE_SHARE * F.col("main_chars"))).select("page_id", "domain", "features")
-    trees = forest.train(*_sample(rows), trees=TREES)
+    trees = forest.train_table(_labelled(rows), trees=TREES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -263,8 +262,15 @@ def excluded(facts: DataFrame) -> DataFrame:
     return residue_pages(facts).union(spam_pages(facts).select("page_id")).distinct()
 
 
-def _sample(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and weak labels of at most 2 * TRAIN_ROWS rows, chosen by the hash of their id."""
-    x = np.array([r[0] for r in sample(rows, "page_id", TRAIN_ROWS, "features")], float).reshape(-1, FEATURES)
-    y = np.array([weak_label(f) for f in x], int)
-    return x[y >= 0, LABEL_ONLY:], y[y >= 0]
+def _labelled(rows: DataFrame) -> DataFrame:
+    """(k, x, y): features and weak labels of all rows that have one, with a hash of the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("features").flatten().to_numpy().reshape(-1, FEATURES)
+            y = np.array([weak_label(f) for f in x.tolist()], "int32")
+            on = y >= 0
+            values = pa.array(np.ascontiguousarray(x[on, LABEL_ONLY:]).ravel())
+            yield pa.RecordBatch.from_arrays([b.column("k").filter(pa.array(on)), lists([FEATURES - LABEL_ONLY] * int(on.sum()), values), pa.array(y[on])], names=["k", "x", "y"])
+
+    return materialize(rows.select(F.xxhash64("page_id", "domain", "features").alias("k"), "features").mapInArrow(run, "k bigint, x array<float>, y int"))
