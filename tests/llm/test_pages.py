@@ -326,6 +326,26 @@ def test_label_codes():
     assert [language.label_code(x) for x in ("en", "EN", "en-US", "es_AR", "eng", "deu", "und", "xx", "", None, "unknown", "nl")] == ["en", "en", "en", "es", "en", "de", None, None, None, None, None, "nl"]
 
 
+def test_words_come_from_all_pages(spark, monkeypatch):
+    """The same model as from all rows at once; a page of more than 20,000 characters teaches too, and so do two pages among 9,000."""
+    import numpy as np
+
+    monkeypatch.setattr(language, "PACK_SIZE", 100)
+    rare = EN.replace("river", "zwelby").replace("museum", "tarnoq")
+    rows = [("en", EN), ("es", ES), ("de", DE), ("ru", RU), ("es", EN), (None, DE), ("en", rare), ("en-GB", rare), ("xx", RU), ("de", f"{DE} gorlund " * 200), ("en", None), ("en", "")]
+    first = spark.createDataFrame(rows, "language string, content string")
+    got, want = language.train_table(first), language.train(rows)
+    words = {w.strip(language._STRIP) for _, c in rows if c for w in c.lower().split()}
+    for w in words | {"gorlund", "zwelby", "unheard"}:
+        a, b = got.table.get(w), want.table.get(w)
+        assert (a is None) == (b is None) and (a is None or np.allclose(a, b)), w
+    assert got.ends.keys() == want.ends.keys() and all(np.allclose(x, want.ends[e]) for e, x in got.ends.items())
+    many = spark.range(9000).selectExpr("id as page_id", "'en' as language", f"'{EN}' as content")
+    model = language.train_table(first.union(many.select("language", "content")))
+    assert all(model.table.get(w) is not None for w in ("tarnoq", "gorlund", "zwelby"))
+    assert language.train_table(many.limit(0)).table == {}
+
+
 @pytest.fixture(scope="module")
 def model():
     return language.train([("en", EN), ("es", ES), ("de", DE), ("ru", RU), ("fr", "Le bus de nuit a réparé un escalier en bois derrière la mairie, alors que personne ne l’avait demandé à la bibliothèque.")] * 3 + [("es", EN), (None, DE)])

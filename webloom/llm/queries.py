@@ -36,7 +36,7 @@ def p2_found(spark, root):
 
 def _languages(spark, root):
     pages = _pages(spark, root, "page_id", "domain", "url", "title", "content", "language", "status_code")
-    model = language.train(language.sample_pages(pages))
+    model = language.train_table(spread(pages))
     return materialize(screen.page_facts(spread(pages), extra=language.batch_labeller(model), extra_type=language.LINES))
 
 
