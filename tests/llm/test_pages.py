@@ -124,6 +124,15 @@ def test_filler_words_come_from_all_pages(spark):
     assert screen.filler_words(pages.limit(0)) == notices.FILLER_WORDS
 
 
+def test_filler_of_long_pages_has_no_main_body(spark):
+    """Words that only a page of more than 20,000 characters teaches name the filler of another page, which p6 leaves out."""
+    made = "longus longem longae longora pontus pontem pontae pontora"
+    rows = [{"content": f"{EN} " * 150 + "\n" + f"lorem ipsum {made}\n" * 9}, {"content": made}, {"content": f"{EN}\n{ES}"}]
+    facts = screen.page_facts(table(spark, rows), extra=dom.batch_marginals(dom.TreeModel()), extra_type=dom.LINES).cache()
+    # An untrained model calls every line furniture, so each page that is not left out has rows.
+    assert {r["page_id"] for r in dom.furniture_lines(facts, screen.excluded(facts)).collect()} == {0, 2}
+
+
 def test_messages_of_any_length():
     assert notices.message("The page you are looking for is gone. " * 40) == "error"
     assert notices.message(f"{EN} {EN} It said that the page you are looking for may have been moved.") == ""
