@@ -524,3 +524,66 @@ def test_returns_are_counted_over_all_pages(spark):
     assert dom.site_urls(pages, []) == {}
     model = dom.learn(pages.limit(0))
     assert model.marginals([dom.page_tree(["x"], "")])[0].shape == (1,)
+
+
+def test_page_model_comes_from_all_pages(spark):
+    """Pages of more than 20,000 characters teach the model of p6 as well, and states come from the returns on all pages."""
+    import numpy as np
+
+    given = pages_of_sites(60)
+    rows = [(d, t, [*lines[:4], " ".join([lines[4]] * 150), *lines[5:]]) for d, t, lines in given] + [("", "A | B | C", ["A | B | C", "x", "", "1. y", f"Note: {EN}"])]
+    pages = table(spark, [{"domain": d, "title": t, "content": "\n".join(lines)} for d, t, lines in rows]).repartition(3)
+    facts = screen.page_facts(pages, extra=dom.batch_trees(), extra_type=dom.TREES).cache()
+    trees = dom.trees_of(facts)
+    found, labels = dom.Returns(trees), dom.Labels([r for r in rows if dom.sound(r[2])], {})
+    assert found.n == labels.n and len(found.wide) == len(labels.wide) and len(found.heads) == len(labels.heads) > 0
+    got = {}
+    for r in trees.toArrow().to_batches():
+        for keys, p in zip(r.column("pages"), dom.Packed.rows(iter([r]))):
+            y = found.states(p)
+            got |= {int(k.as_py()): y[p.of == i].tolist() for i, k in enumerate(keys.values)}
+    assert got == {i: labels.states(*r) for i, r in enumerate(rows)}
+    model = dom.learn(pages)
+    own = dom.page_tree(given[7][2], given[7][1], "velby2")
+    assert [x >= 0.5 for x in model.marginals([own])[0]] == [i in (1, 3, 4) for i in range(10)]
+    # The packed trees give the marginals of the trees.
+    lines = dom.furniture_lines(dom.marked_pages(trees, model), pages.limit(0)).collect()
+    want = screen.page_facts(pages, extra=dom.batch_marginals(model), extra_type=dom.LINES)
+    want = dom.furniture_lines(want, pages.limit(0)).collect()
+    assert sorted(r[:2] for r in lines) == sorted(r[:2] for r in want) and np.allclose([r[2] for r in sorted(lines)], [r[2] for r in sorted(want)], atol=1e-5)
+
+
+def test_gradient_of_packed_trees(spark):
+    """Packed trees have the gradient of the plain ones."""
+    import numpy as np
+
+    rows = pages_of_sites(3)
+    facts = screen.page_facts(table(spark, [{"domain": d, "title": t, "content": "\n".join(x)} for d, t, x in rows]).coalesce(1), extra=dom.batch_trees(), extra_type=dom.TREES)
+    (p,) = dom.Packed.rows(iter(dom.trees_of(facts).toArrow().to_batches()))
+    rng = np.random.default_rng(2)
+    model = dom.TreeModel()
+    model.node += rng.normal(0, 0.3, model.node.shape).astype("float32")
+    model.pair += rng.normal(0, 0.3, model.pair.shape)
+    y = rng.integers(0, dom.K, len(p.node)).astype("int8")
+    p = dom.Packed(p.some(np.arange(3), y))
+    node, pair = dom._gradient(p, model)
+    trees = [dom.page_tree(x, t, dom.site_name(d)) for d, t, x in rows]
+    states, lines = [], iter(y.tolist())
+    for t in trees:
+        own = [next(lines) if e != dom.ENTRY else -1 for e in t.edge]
+        states += [own[i] if s < 0 else s for s, i in zip(own, t.parent)]
+    b, both, flat, owner = model.beliefs(trees, pairs=True)
+    b[np.arange(len(b)), states] -= 1
+    want = np.zeros_like(node)
+    np.add.at(want, flat, b[owner])
+    assert np.allclose(node, want, atol=1e-4)
+    edge = np.concatenate([t.edge for t in trees])
+    first = np.repeat(np.cumsum([0] + [len(t.edge) for t in trees])[:-1], [len(t.edge) for t in trees])
+    up = np.concatenate([t.parent for t in trees]) + first
+    states = np.array(states)
+    for e in range(1, dom.EDGES):
+        on = edge == e
+        right = both[on].sum(0)
+        np.subtract.at(right, (states[up[on]], states[on]), 1)
+        assert np.allclose(pair[e], right, atol=1e-4)
+    assert np.allclose(pair[dom.ROOT, 0], b[edge == dom.ROOT].sum(0), atol=1e-4)

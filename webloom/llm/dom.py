@@ -8,11 +8,12 @@ potentials, and each node potentials from hashed features of its text and place.
 text or headline of the main body, or one of several kinds of furniture. Sum-product messages go up the tree and
 down again, and give every node its exact marginal of being content.
 
-Training pages are a bounded sample (``TRAIN_PAGES``), labelled by structure and repetition (``Labels``), not by
+The model is trained on all pages that are mostly sentences, labelled by structure and repetition (``Labels``), not by
 wording: lines that return on several sites, but for the site's name and numbers, short lines that return on several
 urls of their site, menus of entries that return everywhere, pointers below a returning heading or behind a
-returning lead, the line between headline and text. How often a line returns on its site is counted over all pages. Node and edge potentials are fitted together, by
-gradient steps on the likelihood of the labelled trees.
+returning lead, the line between headline and text. What returns is counted over all pages. Node and edge potentials are fitted together, by
+gradient steps on the likelihood of the labelled trees (``fit``). Trees are built once, packed (``Packed``), and serve both the
+training and the marginals. ``train`` does the same on given pages.
 
 A line is furniture when its marginal of content is below one half. Blank lines have no node. NULL, empty and blank
 contents give no rows. Lines are numbered from 0, blank ones included. Lines are read as a whole.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 from zlib import crc32
 
@@ -30,9 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
+from ..sources import materialize
+from . import screen
 from .furniture import ends_sentence, has_digit, page_lines
-from .sampling import lists, sample
+from .sampling import lists
 
 #: The first two are main content: text, and headlines.
 STATES = ("text", "title", "return", "menu", "lead", "byline", "head", "point")
@@ -42,16 +46,24 @@ K = len(STATES)
 #: Kinds of edges to the parent: none, short line, paragraph, list entry, entry of a line.
 ROOT, NEXT, BLOCK, ITEM, ENTRY = range(5)
 EDGES = 5
-TRAIN_PAGES = 2500
 BITS = 17
+#: ``train``: passes over the pages, and the rate of its steps on a few trees each.
 EPOCHS = 6
 RATE = 0.3
-#: A line returns when so many urls of its site, or so many sites of the sample, have it.
+#: ``fit``: passes over all pages, and the rate of its steps; each pass takes the pages in so many parts, by the hash of their key, a step for each.
+PASSES, PARTS, STEP = 1, 8, 0.5
+#: Pages whose trees a worker takes together in a step; it bounds memory.
+ROW_PAGES = 1000
+#: Tasks of a step, at most: each sends at most 4 MB of gradient to the driver.
+TASKS = 32
+#: A line returns when so many urls of its site, or so many sites, have it.
 RETURN_URLS, RETURN_SITES = 3, 3
+#: Pages a site, at least, of a short line that doesn't name its site; articles that many sites print have hardly more than one.
+RETURN_SHARE = 1.5
 #: Sites that must have a sentence that doesn't name its site.
 SENTENCE_SITES = 6
-#: Share of sample pages on which entries of menus, and leads before a colon, are at home.
-COMMON_ENTRY, COMMON_LEAD = 0.01, 0.003
+#: Share of the pages on which entries of menus, leads before a colon, and lines that return on several sites are at home.
+COMMON_ENTRY, COMMON_LEAD, COMMON_LINE = 0.01, 0.003, 0.001
 #: Nodes that one batch of trees may take, padded.
 BATCH_NODES = 60_000
 
@@ -137,7 +149,7 @@ def node_features(s: str, place: str, site: str = "", words: list[str] | None =
 class Tree:
     """Nodes of one page in an order in which parents come first; the first ``len(lines)`` lines are in ``line``."""
 
-    __slots__ = ("parent", "edge", "features", "line", "texts")
+    __slots__ = ("parent", "edge", "features", "line", "texts", "parts")
 
     def __init__(self) -> None:
         self.parent: list[int] = []
@@ -145,6 +157,7 @@ class Tree:
         self.features: list[list[int]] = []
         self.line: list[int] = []
         self.texts: list[str] = []
+        self.parts: list[str] = []
 
 
 def page_tree(lines: list[str], title: str, site: str = "", memo: dict | None = None, split: list[list[str]] | None = None) -> Tree:
@@ -170,7 +183,8 @@ def page_tree(lines: list[str], title: str, site: str = "", memo: dict | None =
         key = (s, place, site) if len(s) <= MEMO_CHARS else None
         got = memo.get(key)
         if got is None:
-            got = node_features(s, place, site, split[no] if split else None), [memo.get(e) or memo.setdefault(e, node_features(e, "e")) for e in entries(s)]
+            parts = entries(s)
+            got = node_features(s, place, site, split[no] if split else None), [memo.get(e) or memo.setdefault(e, node_features(e, "e")) for e in parts], parts
             if key:
                 if len(memo) >= MEMO_LINES:
                     memo.clear()
@@ -180,6 +194,7 @@ def page_tree(lines: list[str], title: str, site: str = "", memo: dict | None =
         tree.features.append(got[0])
         tree.line.append(me)
         tree.texts.append(s)
+        tree.parts += got[2]
         for f in got[1]:
             tree.parent.append(me)
             tree.edge.append(ENTRY)
@@ -316,8 +331,19 @@ def batches(trees: list[Tree]) -> list[list[int]]:
     return out
 
 
+def masked(s: str, site: str) -> str:
+    """The line in lower case without its numbers and the name of its site."""
+    low = s.lower()
+    if has_digit(low):
+        low = _NUM.sub("0", low)
+    return low.replace(_NUM.sub("0", site) if has_digit(site) else site, "\1") if site else low
+
+
 class Labels:
-    """Kinds of lines by structure and repetition, from sample pages (domain, title, lines) and counts of returns."""
+    """Kinds of lines by structure and repetition, from pages (domain, title, lines) and counts of returns.
+
+    ``fit`` finds the same over a table.
+    """
 
     def __init__(self, pages: list[tuple[str, str, list[str]]], urls: dict[tuple[str, str], int]) -> None:
         self.urls = urls
@@ -338,8 +364,8 @@ class Labels:
                 self.lead[x] += 1
                 leads[x].add(domain)
             self.entry.update({e.lower() for x in full for e in entries(x)})
-        # A sentence that doesn't name its site must return within the sites too: many sites may print the same article.
-        self.wide = {x for x, d in sites.items() if len(d) >= RETURN_SITES and (is_short(x) or "\1" in x or len(d) >= SENTENCE_SITES and on[x] >= RETURN_URLS * len(d))}
+        # A line that doesn't name its site must return within the sites too: many sites may print the same article.
+        self.wide = {x for x, d in sites.items() if len(d) >= RETURN_SITES and on[x] >= COMMON_LINE * self.n and ("\1" in x or on[x] >= RETURN_SHARE * len(d) if is_short(x) or "\1" in x else len(d) >= SENTENCE_SITES and on[x] >= RETURN_URLS * len(d))}
         # The heading of a list of links: two short lines follow, most times, that do not return themselves.
         before: Counter[str] = Counter()
         seen: Counter[str] = Counter()
@@ -354,8 +380,7 @@ class Labels:
 
     @staticmethod
     def masked(s: str, domain: str) -> str:
-        site, low = site_name(domain), _NUM.sub("0", s.lower())
-        return low.replace(_NUM.sub("0", site), "\1") if site else low
+        return masked(s, site_name(domain))
 
     def states(self, domain: str, title: str, lines: list[str]) -> list[int]:
         """State of each non-blank line."""
@@ -469,10 +494,360 @@ def site_urls(pages: DataFrame, rows: list[Row]) -> dict[tuple[str, str], int]:
     return {(r["domain"], s): r["n"] for r in found.collect() for s in asked[r["domain"], r["h"]]}
 
 
-def learn(pages: DataFrame, key: str = "page_id", rows: int = TRAIN_PAGES) -> TreeModel:
-    """Model of the pages (domain, url, title, content), from a sample of at most 2 * rows of them."""
-    picked = sample(pages, key, rows, "domain", "title", "content")
-    return train([(r["domain"] or "", r["title"] or "", page_lines(r["content"])) for r in picked], site_urls(pages, picked))
+#: Arrays of the packed trees of several pages. For each page: hashes of its domain (0: none), url and key, whether it is mostly sentences, how many
+#: lines it has. For each line: its number, its parent among the page's lines, the kind of edge, its node. For each entry: its line among all, its node.
+#: For each different node: its number of features, these, hashes of its text, of the text masked, and of its lead (0: none), and its FLAGS.
+PACKED = {
+    **{"site": "int64", "url": "int64", "page": "int64", "sound": "bool", "count": "int32"},
+    **{"no": "int32", "parent": "int32", "edge": "int8", "node": "int32", "line": "int32", "part": "int32"},
+    **{"size": "int32", "features": "int32", "text": "int64", "mark": "int64", "lead": "int64", "flags": "int8"},
+}
+TREES = "struct<pages: array<string>, " + ", ".join(f"{c}: binary" for c in PACKED) + ">"
+SHORT, NAMED, LISTED, OWN, PARTED = 1, 2, 4, 8, 16
+#: What ``_marks`` counts: lines that name their site, other short lines, sentences, leads, entries, pages.
+_NAMED, _SHORT, _SENTENCE, _LEAD, _MENU, _PAGE = range(6)
+
+
+def _hash(s: str) -> int:
+    return xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def batch_trees() -> Callable[[], Callable[..., pa.Array]]:
+    """For ``screen.page_facts``: the packed trees of a batch, in the row of its first page."""
+    kind = pa.struct([("pages", pa.list_(pa.string())), *((c, pa.binary()) for c in PACKED)])
+
+    def make() -> Callable[..., pa.Array]:
+        memo: dict = {}
+
+        def run(page: dict[str, list], pages_lines: list[list[str]], pages_split: list[list[list[str]]]) -> pa.Array:
+            n = len(pages_lines)
+            urls = page.get("url", [None] * n)
+            sites = list(map(site_name, page["domain"], urls))
+            trees = [page_tree(lines, title or "", site, memo, split) for lines, split, title, site in zip(pages_lines, pages_split, page["title"], sites)]
+            out: dict[str, list] = {c: [] for c in PACKED}
+            out["site"] = [_hash(d) if d else 0 for d in page["domain"]]
+            out["url"] = [_hash(u or "") for u in urls]
+            out["page"] = [_hash(k or "") for k in page["k"]]
+            out["sound"] = list(map(sound, pages_lines))
+            out["count"] = [len(t.line) for t in trees]
+            # Nodes that the memo gives are the same object; all are held by their trees.
+            known: dict[int, int] = {}
+            sizes, features, text, mark, lead, flags = (out[c] for c in ("size", "features", "text", "mark", "lead", "flags"))
+
+            def add(f: list[int], *values: int) -> int:
+                known[id(f)] = me = len(known)
+                sizes.append(len(f))
+                features.extend(f)
+                for c, v in zip((text, mark, lead, flags), values):
+                    c.append(v)
+                return me
+
+            for tree, lines, title, site in zip(trees, pages_lines, page["title"], sites):
+                own = " ".join((title or "").split())
+                out["no"] += [no for no, s in enumerate(lines) if s]
+                at = {node: i for i, node in enumerate(tree.line)}
+                first = len(out["node"])
+                texts, parts = iter(tree.texts), iter(tree.parts)
+                for parent, edge, f, below in zip(tree.parent, tree.edge, tree.features, [*tree.edge[1:], ROOT]):
+                    s = next(parts if edge == ENTRY else texts)
+                    me = known.get(id(f))
+                    if edge == ENTRY:
+                        out["line"].append(first + at[parent])
+                        out["part"].append(add(f, 0, _hash(s.lower()), 0, 0) if me is None else me)
+                        continue
+                    if me is None:
+                        low, short = masked(s, site), is_short(s)
+                        flag = SHORT * short | NAMED * ("\1" in low) | LISTED * (edge == ITEM or bool(_ITEM.match(s))) | OWN * (s == own) | PARTED * (below == ENTRY)
+                        # Only short lines are looked up as they stand.
+                        me = add(f, _hash(s) if short else 0, _hash(low), _hash(s.split(":")[0]) if short and ":" in s else 0, flag)
+                    out["node"].append(me)
+                    out["parent"].append(at[parent] if parent >= 0 else -1)
+                    out["edge"].append(edge)
+            packed = {c: np.array(out[c], t).tobytes() for c, t in PACKED.items()}
+            return pa.array([{"pages": page["k"], **packed}] + [None] * (n - 1), kind)
+
+        return run
+
+    return make
+
+
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Numbers of several spans, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+class Packed:
+    """The arrays PACKED of a row, with the page of each line."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]) -> None:
+        self.__dict__.update(arrays)
+        self.first = np.concatenate(([0], np.cumsum(self.count)[:-1])).astype("int64")
+        self.of = np.repeat(np.arange(len(self.count)), self.count)
+
+    @staticmethod
+    def rows(batches: Iterator[pa.RecordBatch], columns: dict[str, str] = PACKED) -> Iterator[Packed]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield Packed({c: np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in columns.items()})
+
+    def flag(self, bit: int) -> np.ndarray:
+        return (self.flags[self.node] & bit) > 0
+
+    def some(self, pages: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """What ``_gradient`` needs of some pages, ``y`` being the states of all lines."""
+        lines = _spans(self.first[pages], self.count[pages])
+        place = np.full(len(self.node), -1)
+        place[lines] = np.arange(len(lines))
+        on = place[self.line] >= 0
+        used, node = np.unique(np.concatenate((self.node[lines], self.part[on])), return_inverse=True)
+        starts = np.cumsum(self.size) - self.size
+        return {
+            **{"count": self.count[pages], "parent": self.parent[lines], "edge": self.edge[lines], "node": node[: len(lines)], "y": y[lines]},
+            **{"line": place[self.line[on]], "part": node[len(lines) :], "size": self.size[used], "features": self.features[_spans(starts[used], self.size[used])]},
+        }
+
+    def groups(self) -> Iterator[np.ndarray]:
+        """Pages that have lines, in groups of like size and bounded memory."""
+        order = np.argsort(self.count, kind="stable")
+        order = order[self.count[order] > 0]
+        at = 0
+        while at < len(order):
+            end = min(at + 512, len(order))
+            while end > at + 1 and (end - at) * self.count[order[end - 1]] > BATCH_NODES:
+                end = at + (end - at) // 2
+            yield order[at:end]
+            at = end
+
+    def potentials(self, model: TreeModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log potentials of the different nodes, what they tell their lines as entries, and the potentials of all lines with those below."""
+        starts = np.cumsum(self.size) - self.size
+        u = np.add.reduceat(model.node[self.features], starts, axis=0).astype("float64") if len(starts) else np.zeros((0, K))
+        told = _lse(model.pair[ENTRY][None] + u[:, None, :], 2)
+        lines = u[self.node]
+        np.add.at(lines, self.line, told[self.part])
+        return u, told, lines
+
+    def beliefs(self, model: TreeModel, lines: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """As ``TreeModel.beliefs``, for the lines."""
+        b, both = np.zeros((len(lines), K)), np.zeros((len(lines), K, K)) if pairs else None
+        for pages in self.groups():
+            on = _spans(self.first[pages], self.count[pages])
+            got = model._sum_product(lines[on], self.count[pages], self.parent[on], self.edge[on], pairs)
+            b[on] = got[0]
+            if pairs:
+                both[on] = got[1]
+        return b, both
+
+
+def _gradient(p: Packed, model: TreeModel) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log likelihood of the states ``y`` of whole trees, by features and by pairs; see ``TreeModel.step``."""
+    u, told, lines = p.potentials(model)
+    b, both = p.beliefs(model, lines, pairs=True)
+    # Entries have nothing below them: they learn from their line what it knows without them. An entry has the state of its line.
+    rest = (np.log(np.maximum(b, 1e-300))[p.line] - told[p.part])[:, :, None] + model.pair[ENTRY] + u[p.part][:, None, :]
+    below = np.exp(rest - rest.max((1, 2), keepdims=True))
+    below /= below.sum((1, 2), keepdims=True)
+    pair = np.zeros((EDGES, K, K))
+    inner = p.edge != ROOT
+    parent = p.parent + np.repeat(p.first, p.count)
+    np.add.at(pair, p.edge[inner], both[inner])
+    np.subtract.at(pair, (p.edge[inner], p.y[parent[inner]], p.y[inner]), 1)
+    pair[ENTRY] += below.sum(0)
+    np.subtract.at(pair[ENTRY], (p.y[p.line], p.y[p.line]), 1)
+    b[np.arange(len(b)), p.y] -= 1
+    pair[ROOT, 0] = b[~inner].sum(0)
+    below = below.sum(1)
+    below[np.arange(len(below)), p.y[p.line]] -= 1
+    nodes, each = np.concatenate((p.node, p.part)), np.concatenate((b, below))
+    owner = np.repeat(np.arange(len(p.size)), p.size)
+    sums = [np.bincount(p.features, np.bincount(nodes, each[:, k], len(p.size))[owner], 1 << BITS) for k in range(K)]
+    return np.stack(sums, 1), pair
+
+
+def _marks(p: Packed) -> tuple[np.ndarray, ...]:
+    """(kind, h, site, n): on how many of the sound pages lines, leads and entries stand, each page counted once."""
+    line, part = p.sound[p.of], p.sound[p.of[p.line]]
+    lead = line & (p.lead[p.node] != 0)
+    kind = np.concatenate((np.select([p.flag(NAMED), p.flag(SHORT)], [_NAMED, _SHORT], _SENTENCE)[line], np.full(lead.sum(), _LEAD), np.full(part.sum(), _MENU), np.full(p.sound.sum(), _PAGE)))
+    h = np.concatenate((p.mark[p.node[line]], p.lead[p.node[lead]], p.mark[p.part[part]], np.zeros(p.sound.sum(), "int64")))
+    page = np.concatenate((p.of[line], p.of[lead], p.of[p.line][part], np.flatnonzero(p.sound)))
+    once = _starts(kind, h, page)
+    kind, h, site = kind[once], h[once], p.site[page[once]]
+    site[(kind == _MENU) | (kind == _PAGE)] = 0
+    first = _starts(kind, h, site, kept := np.lexsort((site, h, kind)))
+    return kind[kept][first], h[kept][first], site[kept][first], np.diff(np.append(first, len(kept)))
+
+
+def _starts(a: np.ndarray, b: np.ndarray, c: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of the first of equal triples; with their sorted ``order`` given, numbers within that."""
+    by = np.lexsort((c, b, a)) if order is None else order
+    a, b, c = a[by], b[by], c[by]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))))
+    return by[first] if order is None else first
+
+
+def _at_site(p: Packed) -> np.ndarray:
+    """Hash of each line with its domain."""
+    with np.errstate(over="ignore"):
+        z = p.text[p.node].astype("uint64") ^ (p.site[p.of].astype("uint64") * np.uint64(0x9E3779B97F4A7C15))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (z ^ (z >> np.uint64(27))).astype("int64")
+
+
+class Returns:
+    """Sorted hashes of what returns: the sets of ``Labels``, from counts over all pages."""
+
+    def __init__(self, trees: DataFrame) -> None:
+        def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for p in Packed.rows(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(_marks(p), ("int32", "int64", "int64", "int64"))], names=["kind", "h", "site", "n"])
+
+        def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for p in Packed.rows(batches):
+                on = p.flag(SHORT) & (p.site[p.of] != 0)
+                yield pa.RecordBatch.from_arrays([pa.array(_at_site(p)[on]), pa.array(p.url[p.of[on]])], names=["h", "u"])
+
+        def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for p in Packed.rows(batches):
+                wide = self.has("wide", p.mark)[p.node]
+                # The heading of a list of links: two short lines follow, most times, that do not return themselves.
+                plain = np.concatenate((p.flag(SHORT) & ~wide & ~p.flag(PARTED), [False, False]))
+                page = np.concatenate((p.of, [-1, -1]))
+                before = plain[1:-1] & plain[2:] & (page[2:] == p.of)
+                on = wide & p.sound[p.of]
+                h, at = np.unique(p.mark[p.node[on]], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.bincount(at, minlength=len(h))), pa.array(np.bincount(at, before[on], len(h)).astype("int64"))], names=["h", "seen", "before"])
+
+        counted = trees.mapInArrow(marks, "kind int, h bigint, site bigint, n bigint").groupBy("kind", "h", "site").agg(F.sum("n").alias("n"))
+        counted = materialize(counted.groupBy("kind", "h").agg(F.count("*").alias("sites"), F.sum("n").alias("n")).where(f"n >= 3 or kind = {_PAGE}"))
+        self.n = next((r[0] for r in counted.where(f"kind = {_PAGE}").select("n").collect()), 0)
+        # See Labels: a line that doesn't name its site must return within the sites too.
+        within = f"kind = {_SHORT} and n >= {RETURN_SHARE} * sites or kind = {_SENTENCE} and sites >= {SENTENCE_SITES} and n >= {RETURN_URLS} * sites"
+        self.wide = self._sorted(counted.where(f"sites >= {RETURN_SITES} and n >= {COMMON_LINE * self.n!r}D and (kind = {_NAMED} or {within})"))
+        self.lead = self._sorted(counted.where(f"kind = {_LEAD} and sites >= {RETURN_SITES} and n >= {max(3.0, COMMON_LEAD * self.n)!r}D"))
+        self.entry = self._sorted(counted.where(f"kind = {_MENU} and n >= {max(3.0, COMMON_ENTRY * self.n)!r}D"))
+        urls = trees.mapInArrow(spots, "h bigint, u bigint").distinct().groupBy("h").agg(F.count("*").alias("n"))
+        self.urls = self._sorted(urls.where(f"n >= {RETURN_URLS}"))
+        seen = trees.mapInArrow(heads, "h bigint, seen bigint, before bigint").groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("before").alias("before"))
+        self.heads = self._sorted(seen.where("before * 10 >= 6 * seen"))
+
+    @staticmethod
+    def _sorted(rows: DataFrame) -> np.ndarray:
+        return np.sort(rows.select("h").toArrow()["h"].to_numpy())
+
+    def has(self, name: str, h: np.ndarray) -> np.ndarray:
+        known = getattr(self, name)
+        return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+    def states(self, p: Packed) -> np.ndarray:
+        """State of each line; see ``Labels.states``."""
+        short, parted = p.flag(SHORT), p.flag(PARTED)
+        common = np.bincount(p.line, self.has("entry", p.mark)[p.part], len(p.node))
+        menu = parted & (3 * common >= 2 * np.bincount(p.line, minlength=len(p.node)))
+        back = self.has("wide", p.mark)[p.node] | short & (p.site[p.of] != 0) & self.has("urls", _at_site(p))
+        head = self.has("heads", p.mark)[p.node] & short & ~parted
+        lead = short & (p.lead[p.node] != 0) & self.has("lead", p.lead)[p.node]
+        by_itself = [p.flag(OWN), back & head, back, menu, lead, ~short]
+        base = np.select(by_itself, [_AT[s] for s in ("title", "head", "return", "menu", "lead", "text")], -1).tolist()
+        title, byline, point, text = (_AT[s] for s in ("title", "byline", "point", "text"))
+        pointed = (_AT["head"], point)
+        last = page = -1
+        for i, (state, of, listed) in enumerate(zip(base, p.of.tolist(), p.flag(LISTED).tolist())):
+            if of != page:
+                page, last = of, -1
+            if state < 0:
+                base[i] = state = byline if last == title else point if last in pointed else text if listed else title
+            last = state
+        return np.array(base, "int8")
+
+
+#: Arrays of the labelled trees that training reads.
+LABELLED = {**{c: PACKED[c] for c in ("count", "parent", "edge", "size", "features")}, **dict.fromkeys(("node", "line", "part"), "int32"), "y": "int8"}
+
+
+def _joined(rows: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """One row of the trees of several."""
+    lines, nodes = (np.cumsum([0] + [len(r[c]) for r in rows]) for c in ("node", "size"))
+    shift = {"node": nodes, "part": nodes, "line": lines}
+    return {c: np.concatenate([r[c] + shift[c][i] if c in shift else r[c] for i, r in enumerate(rows)]) for c in LABELLED}
+
+
+def fit(trees: DataFrame) -> TreeModel:
+    """Model of all pages of the packed ``trees``: each step adds up the gradients of a part of all pages, and each pass takes all parts."""
+    found = Returns(trees)
+    model = TreeModel()
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[dict[str, np.ndarray]]] = [[] for _ in range(PARTS)]
+
+        def row(i: int) -> pa.RecordBatch:
+            r, held[i] = _joined(held[i]), []
+            return pa.RecordBatch.from_arrays([pa.array([i], "int32"), *(pa.array([r[c].astype(t).tobytes()], "binary") for c, t in LABELLED.items())], names=["at", *LABELLED])
+
+        for p in Packed.rows(batches):
+            y = found.states(p)
+            for i in range(PARTS):
+                on = np.flatnonzero(p.sound & (p.count > 0) & (p.page % PARTS == i))
+                if len(on):
+                    held[i].append(p.some(on, y))
+                if sum(len(r["count"]) for r in held[i]) >= ROW_PAGES:
+                    yield row(i)
+        yield from (row(i) for i in range(PARTS) if held[i])
+
+    labelled = materialize(trees.mapInArrow(label, "at int, " + ", ".join(f"{c} binary" for c in LABELLED)))
+    context = trees.sparkSession.sparkContext
+    labelled = labelled.coalesce(min(context.defaultParallelism, TASKS))
+    g_node, g_pair = np.ones((1 << BITS, 1)), np.ones((EDGES, K, K))
+    for at in list(range(PARTS)) * PASSES:
+        # The model of each step is dropped after it, so that no copies of them pile up.
+        sent = context.broadcast(model)
+
+        def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            node, pair = np.zeros((1 << BITS, K)), np.zeros((EDGES, K, K))
+            for p in Packed.rows(batches, LABELLED):
+                got = _gradient(p, sent.value)
+                node += got[0]
+                pair += got[1]
+            on = np.flatnonzero(node.any(1)).astype("int32")
+            blobs = on.tobytes(), node[on].astype("float32").tobytes(), pair.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], "binary") for x in blobs], names=["f", "node", "pair"])
+
+        node, pair = np.zeros((1 << BITS, K)), np.zeros((EDGES, K, K))
+        for r in labelled.where(F.col("at") == at).mapInArrow(gradient, "f binary, node binary, pair binary").toArrow().to_batches():
+            for f, n, e in zip(*r.columns):
+                node[np.frombuffer(f.as_buffer(), "int32")] += np.frombuffer(n.as_buffer(), "float32").reshape(-1, K)
+                pair += np.frombuffer(e.as_buffer(), "float64").reshape(pair.shape)
+        sent.destroy()
+        g_node += (node * node).sum(1, keepdims=True)
+        g_pair += pair * pair
+        model.node -= (STEP * node / np.sqrt(g_node)).astype("float32")
+        model.pair -= STEP * pair / np.sqrt(g_pair)
+    return model
+
+
+def trees_of(facts: DataFrame) -> DataFrame:
+    """The packed trees in materialized facts of pages, made with ``batch_trees``."""
+    return facts.where("extra is not null").select("extra.*")
+
+
+def learn(pages: DataFrame, key: str = "page_id") -> TreeModel:
+    """Model of all pages (domain, url, title, content)."""
+    return fit(trees_of(materialize(screen.page_facts(pages, key, extra=batch_trees(), extra_type=TREES))))
+
+
+def marked_pages(trees: DataFrame, model: TreeModel, kind: str = "bigint") -> DataFrame:
+    """(page_id, extra): the furniture lines of each page as ``batch_marginals`` gives them; ``kind``: type of the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, p in zip(b.column("pages"), Packed.rows(iter([b]))):
+                m = p.beliefs(model, p.potentials(model)[2])[0][:, :MAIN].sum(1)
+                on = np.flatnonzero(m < 0.5)
+                found = pa.StructArray.from_arrays([pa.array(p.no[on]), pa.array(m[on].astype("float32"))], names=["line_no", "content"])
+                yield pa.RecordBatch.from_arrays([keys.values, lists(np.bincount(p.of[on], minlength=len(p.count)), found)], names=["page_id", "extra"])
+
+    return trees.mapInArrow(run, f"page_id string, extra {LINES}").withColumn("page_id", F.col("page_id").cast(kind))
 
 
 def furniture_lines(facts: DataFrame, out: DataFrame) -> DataFrame:

@@ -87,8 +87,11 @@ def p5_cleaned(spark, root):
 
 def p6_lines(spark, root):
     pages = _pages(spark, root, "page_id", "domain", "url", "title", "content", "status_code")
-    facts = materialize(screen.page_facts(spread(pages), extra=dom.batch_marginals(dom.learn(pages)), extra_type=dom.LINES))
-    return dom.furniture_lines(facts, screen.excluded(facts))
+    both = materialize(screen.page_facts(spread(pages), extra=dom.batch_trees(), extra_type=dom.TREES))
+    # The packed trees are large; the other facts are read several times.
+    facts, trees = materialize(both.drop("extra")), dom.trees_of(both)
+    lines = dom.marked_pages(trees, dom.fit(trees), facts.schema["page_id"].dataType.simpleString())
+    return dom.furniture_lines(lines, screen.excluded(facts))
 
 
 def p6_found(spark, root):
