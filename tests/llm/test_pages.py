@@ -587,3 +587,43 @@ def test_gradient_of_packed_trees(spark):
         np.subtract.at(right, (states[up[on]], states[on]), 1)
         assert np.allclose(pair[e], right, atol=1e-4)
     assert np.allclose(pair[dom.ROOT, 0], b[edge == dom.ROOT].sum(0), atol=1e-4)
+
+
+def test_lines_are_prepared_once(monkeypatch):
+    """p6 doesn't mask a line that its tree has masked, and each garbled sequence of a text is decoded once."""
+    import pyarrow as pa
+
+    lines = ["News | Home | Contact | Search", "", "The gate 12 – Velby", EN, f"{EN} Velby, 3٣", "- one", "Things: a", "News | Home | Contact | Search"]
+    sites, masked, calls = ["velby", "velby2", "norby"], dom.masked, []
+    given = [[x.replace("Velby", s.title()) for x in lines] for s in sites]
+    monkeypatch.setattr(dom, "masked", lambda s, site: calls.append(site) or masked(s, site))
+    lows = [[x.lower() for x in page] for page in given]
+    page = {"k": ["a", "b", "c"], "domain": [f"www.{s}.example" for s in sites], "title": ["t", None, "Things: a"]}
+    got = dom.batch_trees()()(page, given, [[x.split() for x in low] for low in lows], lows)
+    # Numbers in the site's own name are masked before it, so only those lines are masked by themselves.
+    assert set(calls) == {"velby2"}
+    (p,) = dom.Packed.rows(iter([pa.RecordBatch.from_struct_array(got.drop_null())]))
+    kept = [(x, s) for page, s in zip(given, sites) for x in page if x]
+    assert p.mark[p.node].tolist() == [dom._hash(masked(x, s)) for x, s in kept]
+    assert p.flag(dom.SHORT).tolist() == [dom.is_short(x) for x, _ in kept] and p.flag(dom.LISTED).tolist() == [x == "- one" for x, _ in kept]
+    assert p.flag(dom.OWN).tolist() == [s == "norby" and x == "Things: a" for x, s in kept] and p.flag(dom.PARTED).tolist() == ["|" in x for x, _ in kept]
+    names = [e.lower() for x, _ in kept for e in dom.entries(x)]
+    assert p.mark[p.part].tolist() == list(map(dom._hash, names)) and [kept[i][0] for i in p.line] == [lines[0]] * len(names)
+
+    ungarble, runs = encodings.ungarble, []
+    monkeypatch.setattr(encodings, "ungarble", lambda s, t: runs.append((s, t)) or ungarble(s, t))
+    text = " ".join(["niÃ±o", "aÃ±o", "Ã¡rbol", "seÃ±or"] * 5)
+    assert encodings.untangle(text) == " ".join(["niño", "año", "árbol", "señor"] * 5)
+    assert sorted(r for r, t in runs if t == ("utf-8", "cp1252")) == ["Ã¡", "Ã±"]
+
+
+def test_beliefs_of_far_potentials():
+    """Potentials that lie thousands apart, as those of very long lines may, neither overflow nor vanish."""
+    import numpy as np
+
+    model = dom.TreeModel()
+    u = np.zeros((3, dom.K))
+    u[0, 1], u[1, 2], u[2, 3] = 3000, -4000, 5000
+    b, both = model._sum_product(u, np.array([3]), np.array([-1, 0, 1]), np.array([dom.ROOT, dom.NEXT, dom.BLOCK]), True)
+    assert np.isfinite(b).all() and np.isfinite(both).all() and np.allclose(b.sum(1), 1) and np.allclose(both[1:].sum((1, 2)), 1)
+    assert b[0].argmax() == 1 and b[1, 2] == 0 and b[2].argmax() == 3

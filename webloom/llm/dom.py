@@ -22,6 +22,7 @@ contents give no rows. Lines are numbered from 0, blank ones included. Lines are
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -81,13 +82,17 @@ PLACES = {"0": 0, "1": 1, "2": 2, "3": 3, "o": 4, "e": 5}
 SHAPES = 4096
 
 
+def _bucket(token: str) -> int:
+    return SHAPES + crc32(token.encode("utf-8", "surrogatepass")) % ((1 << BITS) - SHAPES)
+
+
 class _Buckets(dict):
     """Bucket of each token; found once."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > 400_000:
             self.clear()
-        self[token] = got = SHAPES + crc32(token.encode("utf-8", "surrogatepass")) % ((1 << BITS) - SHAPES)
+        self[token] = got = _bucket(token)
         return got
 
 
@@ -99,11 +104,18 @@ def is_short(s: str) -> bool:
     return not ends_sentence(s)
 
 
-def entries(s: str) -> list[str]:
-    """Nodes below a line: its entries where it is split by separators."""
+def _separators(s: str) -> int:
     count = s.count
-    if count("|") + count("»") + count("·") + count("/") + count("•") + count("›") + count(">") + count(" –") + count(" -") < 2:
-        return []
+    return count("|") + count("»") + count("·") + count("/") + count("•")
+
+
+def entries(s: str, separators: int | None = None) -> list[str]:
+    """Nodes below a line: its entries where it is split by separators; ``separators``: the number of the usual ones, where known."""
+    n = _separators(s) if separators is None else separators
+    if n < 2:
+        n += s.count("›") + s.count(">") + ("–" in s and s.count(" –")) + ("-" in s and s.count(" -"))
+        if n < 2:
+            return []
     parts = [p for p in _ENTRY.split(s) if p and not p.isspace()]
     return parts if len(parts) > 2 else []
 
@@ -124,8 +136,13 @@ def node_features(s: str, place: str, site: str = "", words: list[str] | None =
     The name of the site stands for itself wherever it is, so that notices read alike on all sites. ``words`` are
     those of the line in lower case, where known.
     """
+    return _node(s, place, site, words, s.lower(), _separators(s))[0]
+
+
+def _node(s: str, place: str, site: str, words: list[str] | None, low: str, separators: int) -> tuple[list[int], str]:
+    """``node_features`` of a line, ``low`` in lower case, and ``low`` without its numbers and the name of its site."""
     n = len(s)
-    low = given = s.lower()
+    given = low
     if site and site in low:
         low = low.replace(site, "\1")
         words = None
@@ -137,19 +154,25 @@ def node_features(s: str, place: str, site: str = "", words: list[str] | None =
     end = 0 if last in ".!?…" else 1 if last in "”»“\"')" else 2 if last == ":" else 3
     size = min(n // 20, 8) if n < 200 else 9 + min(n // 200, 4)
     first = 0 if starts.isdigit() else 1 if starts.islower() else 2 if starts.isupper() else 3 + ord(starts) % 13
-    seps = min(s.count("|") + s.count("»") + s.count("·") + s.count("/") + s.count("•"), 6)
+    seps = min(separators, 6)
     signs = (low is not given) * 8 + ("," in low) * 4 + ("©" in s) * 2 + (":" in s)
     # Numbered features of shape, each with its own range, and hashed ones of wording.
     shape = [(PLACES[place] * 14 + size) * 4 + end, 1024 + (first * 13 + min(m, 12)) * 4 + end, 2048 + seps, 2056 + signs * 4 + end]
     head = words[0]
     get = _BUCKET.__getitem__
-    return [*shape, get("\0a" + head), get("\0b" + head + " " + words[1] if m > 1 else "\0b"), get("\0c" + words[-1]), get("\0=" + low), *map(get, set(words))]
+    # Long lines hardly return: their buckets aren't kept.
+    whole = get("\0=" + low) if n <= MEMO_CHARS else _bucket("\0=" + low)
+    return [*shape, get("\0a" + head), get("\0b" + head + " " + words[1] if m > 1 else "\0b"), get("\0c" + words[-1]), whole, *map(get, set(words))], low
 
 
 class Tree:
-    """Nodes of one page in an order in which parents come first; the first ``len(lines)`` lines are in ``line``."""
+    """Nodes of one page in an order in which parents come first; ``line`` holds the nodes of its lines.
+
+    ``found`` tells of each line its features, those of its entries, these, the line as ``_node`` gives it, whether it is
+    short, whether it is a list entry, and whether it is the page's own title.
+    """
 
-    __slots__ = ("parent", "edge", "features", "line", "texts", "parts")
+    __slots__ = ("parent", "edge", "features", "line", "texts", "found")
 
     def __init__(self) -> None:
         self.parent: list[int] = []
@@ -157,13 +180,13 @@ class Tree:
         self.features: list[list[int]] = []
         self.line: list[int] = []
         self.texts: list[str] = []
-        self.parts: list[str] = []
+        self.found: list[tuple] = []
 
 
-def page_tree(lines: list[str], title: str, site: str = "", memo: dict | None = None, split: list[list[str]] | None = None) -> Tree:
+def page_tree(lines: list[str], title: str, site: str = "", memo: dict | None = None, split: list[list[str]] | None = None, lows: list[str] | None = None) -> Tree:
     """Tree of the squeezed lines of a page; ``line`` holds the node of each non-blank line.
 
-    ``memo`` keeps the features of lines that may return, ``split`` are the words of the lines in lower case.
+    ``memo`` keeps what is found of lines that may return, ``lows`` are the lines in lower case and ``split`` their words.
     """
     tree = Tree()
     short = flow = -1
@@ -173,32 +196,32 @@ def page_tree(lines: list[str], title: str, site: str = "", memo: dict | None =
         if not s:
             continue
         me = len(tree.parent)
-        if _ITEM.match(s):
-            parent, edge = (flow, ITEM) if flow >= 0 else (short, NEXT)
-        elif is_short(s):
-            parent, edge = short, NEXT
-        else:
-            parent, edge = short, BLOCK
         place = "o" if own and s == own else "0123"[min(me, 3)]
         key = (s, place, site) if len(s) <= MEMO_CHARS else None
         got = memo.get(key)
         if got is None:
-            parts = entries(s)
-            got = node_features(s, place, site, split[no] if split else None), [memo.get(e) or memo.setdefault(e, node_features(e, "e")) for e in parts], parts
+            n = _separators(s)
+            parts = entries(s, n)
+            features, low = _node(s, place, site, split[no] if split else None, lows[no] if lows else s.lower(), n)
+            got = features, [memo.get(e) or memo.setdefault(e, node_features(e, "e")) for e in parts], parts, low, is_short(s), _ITEM.match(s) is not None, place == "o"
             if key:
                 if len(memo) >= MEMO_LINES:
                     memo.clear()
                 memo[key] = got
+        if got[5]:
+            parent, edge = (flow, ITEM) if flow >= 0 else (short, NEXT)
+        else:
+            parent, edge = short, NEXT if got[4] else BLOCK
         tree.parent.append(parent)
         tree.edge.append(edge if parent >= 0 else ROOT)
         tree.features.append(got[0])
         tree.line.append(me)
         tree.texts.append(s)
-        tree.parts += got[2]
-        for f in got[1]:
-            tree.parent.append(me)
-            tree.edge.append(ENTRY)
-            tree.features.append(f)
+        tree.found.append(got)
+        if got[1]:
+            tree.parent += [me] * len(got[1])
+            tree.edge += [ENTRY] * len(got[1])
+            tree.features += got[1]
         if edge == NEXT:
             short = me
         if edge != ITEM:
@@ -211,6 +234,12 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
 
 
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest log potential of each row, and all potentials as shares of it."""
+    top = x.max(1, keepdims=True)
+    return top, np.exp(x - top)
+
+
 class TreeModel:
     """Node weights, one row for each hashed feature, and log potentials of (edge, parent state, child state)."""
 
@@ -261,12 +290,19 @@ class TreeModel:
         u[live], parent[live], edge[live] = u_all, parents, edges
         message = np.zeros((n, size, K))
         everyone = np.arange(n)
+        # Sums over states are products of matrices; each begins from the largest state, which keeps it in range.
+        factor = np.exp(self.pair)
+        to_parent, to_child = (factor.transpose(axes).reshape(K, EDGES * K) for axes in ((2, 0, 1), (1, 0, 2)))
+        own = np.zeros((n, size, K)) if pairs else None
         # Upward: u becomes the potential of a node with all that hangs below it.
         for t in range(size - 1, 0, -1):
             on = everyone[(t < count) & (parent[:, t] >= 0)]
             if len(on):
-                m = _lse(self.pair[edge[on, t]] + u[on, t][:, None, :], 2)
+                top, x = _scaled(u[on, t])
+                m = top + np.log((x @ to_parent).reshape(-1, EDGES, K)[np.arange(len(on)), edge[on, t]])
                 message[on, t] = m
+                if pairs:
+                    own[on, t] = x
                 u[on, parent[on, t]] += m
         # Downward: a parent tells each child what it knows without it.
         down = np.zeros((n, size, K))
@@ -275,11 +311,10 @@ class TreeModel:
             on = everyone[(t < count) & (parent[:, t] >= 0)]
             if len(on):
                 p = parent[on, t]
-                rest = (down[on, p] + u[on, p] - message[on, t])[:, :, None] + self.pair[edge[on, t]]
-                down[on, t] = _lse(rest, 1)
+                top, x = _scaled(down[on, p] + u[on, p] - message[on, t])
+                down[on, t] = top + np.log((x @ to_child).reshape(-1, EDGES, K)[np.arange(len(on)), edge[on, t]])
                 if pairs:
-                    z = rest + u[on, t][:, None, :]
-                    both[on, t] = np.exp(z - z.max((1, 2), keepdims=True))
+                    both[on, t] = x[:, :, None] * factor[edge[on, t]] * own[on, t][:, None, :]
             off = everyone[(t < count) & (parent[:, t] < 0)]
             down[off, t] = self.pair[ROOT, 0]
         b = down + u
@@ -416,7 +451,7 @@ class Labels:
 def sound(lines: list[str]) -> bool:
     """Is most of the page sentences? Others teach nothing about main bodies."""
     chars = sum(map(len, lines))
-    return 2 * sum(len(s) for s in lines if s and not is_short(s) and len(s) > 80) >= chars > 0
+    return 2 * sum(len(s) for s in lines if len(s) > 80 and not is_short(s)) >= chars > 0
 
 
 def train(pages: list[tuple[str, str, list[str]]], urls: dict[tuple[str, str], int], seed: int = 3) -> TreeModel:
@@ -449,9 +484,9 @@ def batch_marginals(model: TreeModel) -> Callable[[], Callable[..., pa.Array]]:
     def make() -> Callable[..., list]:
         memo: dict = {}
 
-        def run(page: dict[str, list], pages_lines: list[list[str]], pages_split: list[list[list[str]]]) -> pa.Array:
+        def run(page: dict[str, list], pages_lines: list[list[str]], pages_split: list[list[list[str]]], pages_lows: list[list[str]]) -> pa.Array:
             sites = map(site_name, page["domain"], page.get("url", page["domain"]))
-            trees = [page_tree(lines, title or "", site, memo, split) for lines, split, title, site in zip(pages_lines, pages_split, page["title"], sites)]
+            trees = [page_tree(lines, title or "", site, memo, split, lows) for lines, split, lows, title, site in zip(pages_lines, pages_split, pages_lows, page["title"], sites)]
             counts, numbers, contents = [], [], []
             for lines, m in zip(pages_lines, model.marginals(trees)):
                 at = np.flatnonzero(m < 0.5)
@@ -503,6 +538,8 @@ PACKED = {
     **{"size": "int32", "features": "int32", "text": "int64", "mark": "int64", "lead": "int64", "flags": "int8"},
 }
 TREES = "struct<pages: array<string>, " + ", ".join(f"{c}: binary" for c in PACKED) + ">"
+#: Codes of these types in Python's arrays.
+_CODES = {"int64": "q", "int32": "i", "int8": "b", "bool": "b"}
 SHORT, NAMED, LISTED, OWN, PARTED = 1, 2, 4, 8, 16
 #: What ``_marks`` counts: lines that name their site, other short lines, sentences, leads, entries, pages.
 _NAMED, _SHORT, _SENTENCE, _LEAD, _MENU, _PAGE = range(6)
@@ -519,51 +556,58 @@ def batch_trees() -> Callable[[], Callable[..., pa.Array]]:
     def make() -> Callable[..., pa.Array]:
         memo: dict = {}
 
-        def run(page: dict[str, list], pages_lines: list[list[str]], pages_split: list[list[list[str]]]) -> pa.Array:
+        def run(page: dict[str, list], pages_lines: list[list[str]], pages_split: list[list[list[str]]], pages_lows: list[list[str]]) -> pa.Array:
             n = len(pages_lines)
             urls = page.get("url", [None] * n)
             sites = list(map(site_name, page["domain"], urls))
-            trees = [page_tree(lines, title or "", site, memo, split) for lines, split, title, site in zip(pages_lines, pages_split, page["title"], sites)]
-            out: dict[str, list] = {c: [] for c in PACKED}
+            trees = [page_tree(lines, title or "", site, memo, split, lows) for lines, split, lows, title, site in zip(pages_lines, pages_split, pages_lows, page["title"], sites)]
+            out: dict = {c: array(_CODES[t]) for c, t in PACKED.items()}
             out["site"] = [_hash(d) if d else 0 for d in page["domain"]]
             out["url"] = [_hash(u or "") for u in urls]
             out["page"] = [_hash(k or "") for k in page["k"]]
             out["sound"] = list(map(sound, pages_lines))
             out["count"] = [len(t.line) for t in trees]
-            # Nodes that the memo gives are the same object; all are held by their trees.
+            # What the memo gives is the same object; all is held by the trees. Numbers of the nodes of entries, and of lines with those of their entries.
             known: dict[int, int] = {}
-            sizes, features, text, mark, lead, flags = (out[c] for c in ("size", "features", "text", "mark", "lead", "flags"))
+            known_lines: dict[int, tuple[int, list[int]]] = {}
+            node, sizes, features, text, mark, lead, flags = (out[c] for c in ("node", "size", "features", "text", "mark", "lead", "flags"))
 
             def add(f: list[int], *values: int) -> int:
-                known[id(f)] = me = len(known)
                 sizes.append(len(f))
                 features.extend(f)
                 for c, v in zip((text, mark, lead, flags), values):
                     c.append(v)
-                return me
-
-            for tree, lines, title, site in zip(trees, pages_lines, page["title"], sites):
-                own = " ".join((title or "").split())
-                out["no"] += [no for no, s in enumerate(lines) if s]
-                at = {node: i for i, node in enumerate(tree.line)}
-                first = len(out["node"])
-                texts, parts = iter(tree.texts), iter(tree.parts)
-                for parent, edge, f, below in zip(tree.parent, tree.edge, tree.features, [*tree.edge[1:], ROOT]):
-                    s = next(parts if edge == ENTRY else texts)
-                    me = known.get(id(f))
-                    if edge == ENTRY:
-                        out["line"].append(first + at[parent])
-                        out["part"].append(add(f, 0, _hash(s.lower()), 0, 0) if me is None else me)
-                        continue
-                    if me is None:
-                        low, short = masked(s, site), is_short(s)
-                        flag = SHORT * short | NAMED * ("\1" in low) | LISTED * (edge == ITEM or bool(_ITEM.match(s))) | OWN * (s == own) | PARTED * (below == ENTRY)
+                return len(sizes) - 1
+
+            for tree, lines, site in zip(trees, pages_lines, sites):
+                out["no"].extend([no for no, s in enumerate(lines) if s])
+                # The tree has the masked lines, unless the site's name has digits: these are masked before the name.
+                has_low = _NUM.search(site) is None
+                if len(tree.line) == len(tree.parent):
+                    out["parent"].extend(tree.parent)
+                    out["edge"].extend(tree.edge)
+                else:
+                    at = {node: i for i, node in enumerate(tree.line)}
+                    out["parent"].extend([at[tree.parent[i]] if tree.parent[i] >= 0 else -1 for i in tree.line])
+                    out["edge"].extend([tree.edge[i] for i in tree.line])
+                for i, (s, got) in enumerate(zip(tree.texts, tree.found), len(node)):
+                    line = known_lines.get(id(got))
+                    if line is None:
+                        f, below, parts, low, short, listed, own = got
+                        if not has_low:
+                            low = masked(s, site)
+                        flag = SHORT * short | NAMED * ("\1" in low) | LISTED * listed | OWN * own | PARTED * bool(parts)
                         # Only short lines are looked up as they stand.
                         me = add(f, _hash(s) if short else 0, _hash(low), _hash(s.split(":")[0]) if short and ":" in s else 0, flag)
-                    out["node"].append(me)
-                    out["parent"].append(at[parent] if parent >= 0 else -1)
-                    out["edge"].append(edge)
-            packed = {c: np.array(out[c], t).tobytes() for c, t in PACKED.items()}
+                        for e, f in zip(parts, below):
+                            if id(f) not in known:
+                                known[id(f)] = add(f, 0, _hash(e.lower()), 0, 0)
+                        line = known_lines[id(got)] = me, [known[id(f)] for f in below]
+                    node.append(line[0])
+                    if line[1]:
+                        out["line"].extend([i] * len(line[1]))
+                        out["part"].extend(line[1])
+            packed = {c: np.asarray(out[c], t).tobytes() for c, t in PACKED.items()}
             return pa.array([{"pages": page["k"], **packed}] + [None] * (n - 1), kind)
 
         return run
@@ -623,9 +667,10 @@ class Packed:
         """Log potentials of the different nodes, what they tell their lines as entries, and the potentials of all lines with those below."""
         starts = np.cumsum(self.size) - self.size
         u = np.add.reduceat(model.node[self.features], starts, axis=0).astype("float64") if len(starts) else np.zeros((0, K))
-        told = _lse(model.pair[ENTRY][None] + u[:, None, :], 2)
-        lines = u[self.node]
-        np.add.at(lines, self.line, told[self.part])
+        top, x = _scaled(u)
+        told = top + np.log(x @ np.exp(model.pair[ENTRY]).T)
+        below = told[self.part]
+        lines = u[self.node] + np.stack([np.bincount(self.line, below[:, k], len(self.node)) for k in range(K)], 1)
         return u, told, lines
 
     def beliefs(self, model: TreeModel, lines: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -645,19 +690,21 @@ def _gradient(p: Packed, model: TreeModel) -> tuple[np.ndarray, np.ndarray]:
     u, told, lines = p.potentials(model)
     b, both = p.beliefs(model, lines, pairs=True)
     # Entries have nothing below them: they learn from their line what it knows without them. An entry has the state of its line.
-    rest = (np.log(np.maximum(b, 1e-300))[p.line] - told[p.part])[:, :, None] + model.pair[ENTRY] + u[p.part][:, None, :]
-    below = np.exp(rest - rest.max((1, 2), keepdims=True))
-    below /= below.sum((1, 2), keepdims=True)
+    factor = np.exp(model.pair[ENTRY])
+    above, own = _scaled(np.log(np.maximum(b, 1e-300))[p.line] - told[p.part])[1], _scaled(u[p.part])[1]
+    below = (above @ factor) * own
+    whole = below.sum(1, keepdims=True)
+    below /= whole
     pair = np.zeros((EDGES, K, K))
     inner = p.edge != ROOT
     parent = p.parent + np.repeat(p.first, p.count)
-    np.add.at(pair, p.edge[inner], both[inner])
+    for kind in range(ROOT + 1, EDGES):
+        pair[kind] += both[p.edge == kind].sum(0)
     np.subtract.at(pair, (p.edge[inner], p.y[parent[inner]], p.y[inner]), 1)
-    pair[ENTRY] += below.sum(0)
+    pair[ENTRY] += factor * ((above / whole).T @ own)
     np.subtract.at(pair[ENTRY], (p.y[p.line], p.y[p.line]), 1)
     b[np.arange(len(b)), p.y] -= 1
     pair[ROOT, 0] = b[~inner].sum(0)
-    below = below.sum(1)
     below[np.arange(len(below)), p.y[p.line]] -= 1
     nodes, each = np.concatenate((p.node, p.part)), np.concatenate((b, below))
     owner = np.repeat(np.arange(len(p.size)), p.size)

@@ -121,10 +121,14 @@ class Repairer:
     @staticmethod
     def _multi(text: str, transform: tuple[str, str], pattern: re.Pattern[str]) -> list[tuple[int, int, str]]:
         found = []
+        known: dict[str, str | None] = {}
         for m in pattern.finditer(text):
-            fixed = ungarble(m.group(), transform)
-            if fixed is not None and _SOUND.fullmatch(fixed):
-                found.append((m.start(), m.end(), fixed))
+            run = m.group()
+            if run not in known:
+                fixed = ungarble(run, transform)
+                known[run] = fixed if fixed is not None and _SOUND.fullmatch(fixed) else None
+            if known[run] is not None:
+                found.append((m.start(), m.end(), known[run]))
         # Two Cyrillic letters can be a sequence by chance; one longer run settles it for the text.
         return found if transform[1] not in ("cp1251", "koi8-r", "cp866") or any(b - a >= 4 for a, b, _ in found) else []
 
@@ -206,6 +210,7 @@ def _high_run(text: str) -> bool:
     return len(high) > 3 and bool((high[:-3] & high[1:-2] & high[2:-1] & high[3:]).any())
 
 
+_HIGH_LETTERS = frozenset(map(chr, range(0xC0, 0x100)))
 _CAPITALS = frozenset("АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 _TURNED_RU = re.compile("[РС][^\\sа-яёА-ЯЁ\\x00-\\x7f]|[а-яё][А-ЯЁ]{2}|[А-ЯЁ]{4}")
 #: Letters of the seven languages and common signs. Others are looked at more closely, in case they stand for some of these.
@@ -229,7 +234,7 @@ def suspicious(text: str) -> bool:
         return True
     if not chars.isdisjoint(_CAPITALS) and _TURNED_RU.search(text):
         return True
-    return _high_run(text)
+    return not chars.isdisjoint(_HIGH_LETTERS) and _high_run(text)
 
 
 REPLACED = "\ufffd"

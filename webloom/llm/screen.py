@@ -19,6 +19,7 @@ one row each. Every page is read as a whole.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections import Counter
@@ -65,12 +66,18 @@ def spam_features(main: list[str], title: str, split: list[list[str]] | None = N
     for s, low in zip(main, split or [s.lower().split() for s in main]):
         if s[:1] in "•-*»>–·[" or s.startswith("http"):
             listed += 1
+        if len(s) <= 24:
+            rest.append(s)
+            continue
         stops = s.count(". ") + s.count("! ") + s.count("? ") + s.count(".” ") + s.count(".» ") + ends_sentence(s, ".!?…")
-        if len(s) <= 24 or not stops:
+        if not stops:
             rest.append(s)
             continue
         n = len(low)
-        known = sum(map(FUNCTION.__contains__, low))
+        # Half of the words mostly has enough function words.
+        known = sum(map(FUNCTION.__contains__, low[: n // 2]))
+        if known * 10 < n:
+            known += sum(map(FUNCTION.__contains__, low[n // 2 :]))
         if 5 * stops <= n <= 60 * stops and (known * 10 >= n or known and len(set(low)) * 2 >= n):
             in_sentences += len(s)
             sentences += stops
@@ -80,7 +87,7 @@ def spam_features(main: list[str], title: str, split: list[list[str]] | None = N
     size = len(text) or 1
     words = _WORD.findall(text.lower())
     n = len(words) or 1
-    function = sum(w in FUNCTION for w in words)
+    function = sum(map(FUNCTION.__contains__, words))
     counts = Counter(w for w in words if w not in FUNCTION and len(w) > 2)
     content = sum(counts.values()) or 1
     pairs = Counter(zip(words, words[1:]))
@@ -89,7 +96,7 @@ def spam_features(main: list[str], title: str, split: list[list[str]] | None = N
         in_sentences / chars,
         math.log1p(chars),
         function / n,
-        sum(c for _, c in counts.most_common(5)) / content,
+        sum(sorted(counts.values())[-5:]) / content,
         len(counts) / content,
         sum(map(text.count, "0123456789")) / size,
         sum(len(u) for u in _URLS.findall(text)) / size if "http" in text else 0.0,
@@ -152,8 +159,8 @@ def filler_words(pages: DataFrame) -> frozenset[str]:
 def page_facts(pages: DataFrame, key: str = "page_id", extra: Callable[[], Callable[..., pa.Array]] | None = None, extra_type: str = "") -> DataFrame:
     """One small row for each page with content: see FACTS; ``row`` numbers them.
 
-    ``extra`` gives, on the worker, a function of a batch (lists of its columns, squeezed lines of each page and their words in lower case) to
-    the Arrow array of one more column ``extra``; so operators that exclude these pages read the content only once.
+    ``extra`` gives, on the worker, a function of a batch (lists of its columns, squeezed lines of each page, their words in lower case, and the
+    lines in lower case) to the Arrow array of one more column ``extra``; so operators that exclude these pages read the content only once.
     """
     kind = pages.schema[key].dataType.simpleString()
     filler = filler_words(pages)
@@ -164,8 +171,10 @@ def page_facts(pages: DataFrame, key: str = "page_id", extra: Callable[[], Calla
         more = extra() if extra else None
         # Arrow batches hold thousands of pages; their words are kept for a few hundred at a time.
         for part in (b.slice(a, CHUNK) for b in batches for a in range(0, b.num_rows, CHUNK)):
+            # Nothing below makes cycles; looking for them among the words of all lines would only take time.
+            gc.disable()
             page = {c: part.column(c).to_pylist() for c in part.schema.names}
-            out, hashes, sizes, pages_lines, pages_split = [], [], [], [], []
+            out, hashes, sizes, pages_lines, pages_split, pages_lows = [], [], [], [], [], []
             for content, title in zip(page["content"], page["title"]):
                 bad = unfilled(content)
                 lines = page_lines(content)
@@ -175,6 +184,7 @@ def page_facts(pages: DataFrame, key: str = "page_id", extra: Callable[[], Calla
                 if more:
                     pages_lines.append(lines)
                     pages_split.append(split)
+                    pages_lows.append(lows)
                 at = [j for j, k in enumerate(named) if k == ""]
                 main = [lines[j] for j in at]
                 chars = sum(map(len, main))
@@ -194,7 +204,8 @@ def page_facts(pages: DataFrame, key: str = "page_id", extra: Callable[[], Calla
             columns.append(lists(counts, pa.StructArray.from_arrays([pa.array(hashes, "int64"), pa.array(sizes, "int32")], names=["h", "n"])))
             columns.append(lists([FEATURES] * len(out), pa.array([x for f in features for x in f], "float32")))
             if more:
-                columns.append(more(page, pages_lines, pages_split))
+                columns.append(more(page, pages_lines, pages_split, pages_lows))
+            gc.enable()
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "domain", "failed", "main_chars", "unfilled", "ruled_chars", "messages", "features", "extra"][: len(columns)])
 
     columns = [c for c in ("language", "url") if extra and c in pages.columns]
